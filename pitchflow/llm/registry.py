@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pitchflow.llm import op5_simhash, op6_packing, op8_rans
+import corpus_pipeline
+from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality
 
-MODULES = (op5_simhash, op6_packing, op8_rans)
+MODULES = (op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality)
 
 
 def queries() -> dict:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
