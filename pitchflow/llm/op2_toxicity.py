@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A first transducer reads the letters of a word and writes a symbol: insult, threat, target, negation, report, other.
-Insults are stems learned from labelled documents; the other symbols start from short lists of common words. A second
-one, composed of four small automata (what was said, at whom, negated, reported), reads the symbols of a clause and
-writes the pattern it matched: insult or threat, aimed or not, and plain, negated or in reported speech. A clause
-without an insult or threat matches nothing, whatever else stands in it. Each pattern has a weight, and a document's
+A first transducer reads the letters of a word and writes a symbol: insult, slight, threat, target, negation, report or
+none. Insults and slights are stems learned from labelled documents, slights those that clean documents show as well;
+the other symbols start from short lists of common words. A second one, composed of four small automata (what was said,
+at whom, negated, reported), reads the symbols of a clause and writes the pattern it matched: slight, insult (or two
+slights) or threat, aimed or not, and plain, negated or in reported speech. A clause
+without any of the three matches nothing, whatever else stands in it. Each pattern has a weight, and a document's
 score is the logistic of the weights of its matched clauses (each pattern counts up to CAP times).
 
 Stems and weights are learned from about SAMPLE labelled rows. Spark counts in how many toxic and other documents each
@@ -33,10 +34,12 @@ from pitchflow.llm.common import fold, table
 SAMPLE = 12_000
 STEMS = 2_000
 FOLDS, HELD_OUT = 5, 0
-SHORTEST, LONGEST = 4, 7
+SHORTEST, LONGEST = 4, 8
 CAP = 3
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = "insult", "threat", "target", "negation", "report"
+SLIGHT, INSULT, THREAT, TARGET, NEGATION, REPORT = "slight", "insult", "threat", "target", "negation", "report"
+#: Share of toxic documents from which a stem is an insult.
+STRONG = 0.95
 #: Common words of English, German, French and Spanish for the symbols that labels don't teach.
 SEEDS = {
     THREAT: "kill hurt destroy murder töten vernichten umbringen tuer détruire frapper matar destruir golpear",
@@ -45,7 +48,7 @@ SEEDS = {
     REPORT: "said says wrote claimed called sagte schrieb behauptete dit écrit affirmé dijo escribió afirmó",
 }
 WORD_OF = {w: symbol for symbol, words in SEEDS.items() for w in words.split()}
-PATTERNS = tuple(product((INSULT, THREAT), (False, True), ("plain", "negated", "reported")))
+PATTERNS = tuple(product((SLIGHT, INSULT, THREAT), (False, True), ("plain", "negated", "reported")))
 _CLAUSE = re.compile(r"[.!?;:\n\"“”«»]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -53,29 +56,30 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def compose() -> tuple[dict[tuple[int, str], int], list[int]]:
     """The clause automaton: moves by (state, symbol), and the pattern each state writes at the clause's end (-1: none).
 
-    A state is what was said (0 nothing, 1 insult, 2 threat), at whom (0, 1), negated (0, 1) and reported (0, 1)."""
-    states = list(product(range(3), range(2), range(2), range(2)))
+    A state is what was said (0 nothing, 1 slight, 2 insult, 3 threat), at whom (0, 1), negated (0, 1) and reported (0, 1)."""
+    states = list(product(range(4), range(2), range(2), range(2)))
     number = {s: i for i, s in enumerate(states)}
-    said = {INSULT: lambda s: s or 1, THREAT: lambda s: 2}
+    said = {SLIGHT: lambda s: min(s + 1, 2) if s < 3 else 3, INSULT: lambda s: max(s, 2), THREAT: lambda s: 3}
     moves = {}
     for (what, aimed, negated, reported), i in number.items():
-        for symbol in (INSULT, THREAT, TARGET, NEGATION, REPORT):
+        for symbol in (SLIGHT, INSULT, THREAT, TARGET, NEGATION, REPORT):
             new = (said[symbol](what) if symbol in said else what, aimed | (symbol == TARGET), negated | (symbol == NEGATION and not what), reported | (symbol == REPORT and not what))
             moves[i, symbol] = number[new]
-    ends = [PATTERNS.index(((INSULT, THREAT)[w - 1], bool(a), "reported" if r else "negated" if n else "plain")) if w else -1 for w, a, n, r in states]
+    ends = [PATTERNS.index(((SLIGHT, INSULT, THREAT)[w - 1], bool(a), "reported" if r else "negated" if n else "plain")) if w else -1 for w, a, n, r in states]
     return moves, ends
 
 
 class Grammar:
-    def __init__(self, stems: list[str]):
-        self.sizes = sorted({len(s) for s in stems})
-        self.stems = frozenset(stems)
+    def __init__(self, stems: dict[str, str]):
+        self.sizes = sorted({len(s) for s in stems}, reverse=True)
+        self.stems = stems
         self.moves, self.ends = compose()
         self.threats = {w for w, s in WORD_OF.items() if s == THREAT}
 
     def symbol(self, word: str) -> str | None:
-        if any(word[:n] in self.stems for n in self.sizes):
-            return INSULT
+        for n in self.sizes:  # the longest stem counts
+            if found := self.stems.get(word[:n]):
+                return found
         return WORD_OF.get(word)
 
     def patterns(self, text: str | None) -> list[int]:
@@ -117,26 +121,33 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id, FOLDS) == HELD_OUT, F.lit(False))
 
 
-def learn_stems(rows: DataFrame) -> list[str]:
-    """Word beginnings whose documents are toxic far more often than chance allows; the shortest that do."""
+def learn_stems(rows: DataFrame) -> dict[str, str]:
+    """Word beginnings whose documents are toxic far more often than chance allows: the shortest that do, made as long as
+    loses next to none of their documents."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     parts = F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= SHORTEST), lambda w: F.array(*[F.substring(w, 1, n) for n in range(SHORTEST, LONGEST + 1)]))))
     total = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, toxic = int(total[0]), int(total[1])
     if not 0 < toxic < n:
-        return []
+        return {}
     counts = rows.select("toxic", F.explode(parts).alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).persist()
     tried, base = counts.count(), toxic / n
     # log of the chance that t of n documents are toxic, bounded by the divergence of t / n from the base rate
     share = F.least(F.col("t") / F.col("n"), F.lit(1 - 1e-9))
     chance = F.col("n") * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
     best = counts.filter(share > max(0.6, 3 * base)).withColumn("gain", chance).filter(F.col("gain") > math.log(max(tried, 1)) + 2)
-    found = {r["stem"]: r["gain"] for r in best.orderBy(F.desc("gain"), "stem").limit(STEMS).collect()}
+    shown = {r["stem"]: (r["n"], r["t"]) for r in best.orderBy(F.desc("gain"), "stem").limit(STEMS).collect()}
     counts.unpersist()
-    kept: list[str] = []
+    found = {stem: n for stem, (n, _) in shown.items()}
+    short: list[str] = []
+    kept: dict[str, str] = {}
     for stem in sorted(found, key=lambda s: (len(s), s)):
-        if not any(stem.startswith(k) for k in kept):
-            kept.append(stem)
+        if not any(stem.startswith(k) for k in short):
+            short.append(stem)
+            # as many letters as nearly all of its documents share
+            name = max((s for s in found if s.startswith(stem) and found[s] >= 0.95 * found[stem]), key=lambda s: (len(s), s))
+            n, t = shown[name]
+            kept[name] = INSULT if (t + base) / (n + 1) >= STRONG else SLIGHT
     return kept
 
 
@@ -146,7 +157,7 @@ def learn_weights(counts: list[tuple[tuple[int, ...], int, int]]) -> list[float]
     n, t = (np.array([c[k] for c in counts], dtype=float) for k in (1, 2))
     weights = np.zeros(1 + len(PATTERNS))
     # what labels don't show keeps this: plain and aimed clauses weigh most, negated and reported ones little
-    prior = np.array([-2.0, *[{"plain": 2.5, "negated": 0.5, "reported": 0.5}[how] + 0.5 * aimed for _, aimed, how in PATTERNS]])
+    prior = np.array([-2.0, *[{"plain": 2.5, "negated": 0.5, "reported": 0.5}[how] + 0.5 * aimed - (what == SLIGHT) for what, aimed, how in PATTERNS]])
     ridge = np.array([0.01, *[0.5] * len(PATTERNS)])
     weights[:] = prior
     for _ in range(50):  # Newton steps
@@ -160,7 +171,7 @@ def learn_weights(counts: list[tuple[tuple[int, ...], int, int]]) -> list[float]
     return weights.tolist()
 
 
-def _matcher(stems: list[str]):
+def _matcher(stems: dict[str, str]):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems)
         for batch in batches:
@@ -170,12 +181,12 @@ def _matcher(stems: list[str]):
     return match
 
 
-def matched(rows: DataFrame, stems: list[str]) -> DataFrame:
+def matched(rows: DataFrame, stems: dict[str, str]) -> DataFrame:
     """(key, patterns) of rows (key long, text)."""
     return rows.mapInArrow(_matcher(stems), "key long, patterns array<int>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[float]]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, str], list[float]]:
     rows = labelled_sample(docs, labels, sample).persist()
     stems = learn_stems(rows)
     seen = matched(rows.select(F.col("toxic").cast("long").alias("key"), "text"), stems)
@@ -184,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[
     return stems, learn_weights(sorted((tuple(r["patterns"]), r["n"], r["t"]) for r in counts))
 
 
-def score(docs: DataFrame, model: tuple[list[str], list[float]]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[dict[str, str], list[float]]) -> DataFrame:
     """(doc_id, held_out, score, predicted, patterns) of every row."""
     stems, (base, *weights) = model
     found = matched(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), stems)

@@ -28,6 +28,8 @@ SAMPLE = 20_000
 WORDS = 20_000
 GRAMS = 5_000
 ORDERS = (4, 3, 2, 1)
+#: Letters of a word that n-grams are taken from.
+LETTERS = 40
 FOLDS, HELD_OUT = 4, 2
 MIN_SCORE = 0.5
 #: Words whose scores a worker keeps.
@@ -42,14 +44,16 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     if n > sample:  # about as many, chosen by a hash of the text
         rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < math.ceil(1e6 * sample / n))
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item"))
-    words = words.groupBy("lang", "item").agg(F.count("*").alias("n")).persist()
-    marked = F.concat(F.lit("^"), F.substring("item", 1, 40), F.lit("$"))
-    tables = [_top(words.select("lang", "item", "n", F.lit(0).alias("order")), WORDS)]
-    for order in ORDERS:
-        grams = words.filter(F.length(marked) >= order).select("lang", "n", F.explode(F.expr(f"transform(sequence(1, length(concat('^', substring(item, 1, 40), '$')) - {order - 1}), i -> substring(concat('^', substring(item, 1, 40), '$'), i, {order}))")).alias("item"))
-        tables.append(_top(grams.groupBy("lang", "item").agg(F.sum("n").alias("n")).withColumn("order", F.lit(order)), GRAMS))
-    found = [r for t in tables for r in t.collect()]
-    words.unpersist()
+    words = words.groupBy("lang", "item").agg(F.count("*").alias("n"))
+    # a word gives itself, as order 0, and all n-grams of its marked first letters
+    grams = ", ".join(f"transform(sequence(1, greatest(length(m) - {k - 1}, 1)), i -> named_struct('order', {k}, 'item', substring(m, i, {k})))" for k in ORDERS)
+    parts = F.expr(f"element_at(transform(array(concat('^', substring(item, 1, {LETTERS}), '$')), m -> concat(array(named_struct('order', 0, 'item', item)), {grams})), 1)")
+    items = words.select("lang", "n", F.explode(parts).alias("part")).groupBy("lang", "part.order", "part.item").agg(F.sum("n").alias("n"))
+    totals = items.groupBy("lang", "order").agg(F.sum("n").alias("total"))
+    order = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "item")
+    best = items.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(WORDS, GRAMS))
+    best = best.filter((F.col("place") <= GRAMS) | (F.col("order") == 0) & (F.col("place") <= WORDS))
+    found = best.join(totals, ["lang", "order"]).collect()  # at most WORDS and GRAMS items of a language and order
     langs = sorted({r["lang"] for r in found})
     model: dict = {"langs": langs, "tables": {}}
     for order in (0, *ORDERS):
@@ -64,14 +68,6 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     return model
 
 
-def _top(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent items of each language, with the count of all."""
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
-    best = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    return best.join(totals, "lang").select("lang", "item", "n", "order", "total")
-
-
 class Scorer:
     def __init__(self, model: dict):
         self.langs, self.tables = model["langs"], model["tables"]
@@ -83,7 +79,7 @@ class Scorer:
             self.rows[: len(words)] = list(words.values())
 
     def back_off(self, word: str) -> list[float]:
-        marked = f"^{word[:40]}$"
+        marked = f"^{word[:LETTERS]}$"
         for order in ORDERS:
             grams = self.tables[order]
             if got := [g for k in range(len(marked) - order + 1) if (g := grams.get(marked[k : k + order]))]:

@@ -19,12 +19,14 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ LIMIT = 512
 CHUNK = 256
 WINDOW = 1 << 21
 #: States kept in a worker before the table starts anew.
-STATES = 1_500_000
+STATES = 600_000
 
 LETTER, NUMBER, SPACE, WHITE, QUOTE, OTHER = range(6)
 _MARKED = {"s": 6, "t": 7, "m": 8, "d": 9, "l": 10, "r": 11, "v": 12, "e": 13}
@@ -45,17 +47,29 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHER, ONE_SPACE, ENDS_SPACE, ONE_WHITE, ENDS_
 @cache
 def character_classes() -> np.ndarray:
     out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for i in range(0x110000):
-        kind = unicodedata.category(chr(i))[0]
-        if kind in "LN":
-            out[i] = LETTER if kind == "L" else NUMBER
+    every = "".join(map(chr, [*range(0xD800), *[0] * 0x800, *range(0xE000, 0x110000)]))  # surrogates don't occur
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+        for run in regex.finditer(pattern, every):
+            out[run.start() : run.end()] = kind
     out[[9, 10, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = WHITE
     out[32], out[ord("'")] = SPACE, QUOTE
     for c, k in _MARKED.items():
         out[ord(c)] = k
+    _ask_library(out)
     return out
 
 
+def _ask_library(out: np.ndarray) -> None:
+    """Where two versions of Unicode at hand differ, the library's own counts."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    pieces = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for i in np.nonzero(out <= OTHER)[0].tolist():
+        kind = unicodedata.category(chr(i))[0]
+        if out[i] in (LETTER, NUMBER) and kind not in "LN":
+            out[i] = next((k for k, c in ((LETTER, "a"), (NUMBER, "1")) if len(pieces(c + chr(i))) == 1), OTHER)
+
+
 def _step(state: int, c: int) -> tuple[int, int]:
     """Next state and output: 1 if a piece starts at this character, plus 2 if one starts at the character before."""
     letter = c == LETTER or c > OTHER
@@ -150,14 +164,16 @@ class CountingTransducer:
         self.rank = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.prefixes = {t[:k] for t in self.id_of for k in range(len(t) + 1)}
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._empty()
 
     def _empty(self) -> None:
-        first = (b"", ((-1, 0),))
-        self.states, self.number, self.next = [first], {first: 0}, {}
-        self.bits = 16
-        self._rehash()
+        # a state is kept as bytes: the length of the suffix, the suffix, and a token and a count for each place in it
+        first = b"\0" + struct.pack("<ih", -1, 0)
+        self.states, self.number = [first], {first: 0}
+        self.pairs.clear()
+        self.used, self.bits = 0, 17
+        self._fill(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
 
     def bpe(self, raw: bytes) -> list[bytes]:
         parts = [raw[k : k + 1] for k in range(len(raw))]
@@ -171,15 +187,17 @@ class CountingTransducer:
 
     def _pair(self, a: int, b: int) -> bool:
         """Whether token b can follow token a (-1: the start of a piece)."""
-        if (got := self.pairs.get((a, b))) is None:
+        if (got := self.pairs.get((a + 1) << 24 | b)) is None:
             right = self.bytes_of[b]
             left = self.bytes_of[a] if a >= 0 else b""
-            got = self.pairs[a, b] = self.bpe(left + right) == [x for x in (left, right) if x]
+            got = self.pairs[(a + 1) << 24 | b] = self.bpe(left + right) == [x for x in (left, right) if x]
         return got
 
     def _compile(self, state: int, byte: int) -> int:
         """The transition's next state and count, (state << 10) + change + 512."""
-        suffix, ends = self.states[state]
+        packed = self.states[state]
+        suffix = packed[1 : 1 + packed[0]]
+        ends = list(struct.iter_unpack("<ih", packed[1 + packed[0] :]))
         read = suffix + bytes([byte])
         for k in range(len(read)):
             token = self.id_of.get(read[k:])
@@ -189,28 +207,34 @@ class CountingTransducer:
             raise ValueError("the vocabulary can't encode a byte")
         change = ends[k][1] + 1
         cut = next(j for j in range(len(read) + 1) if read[j:] in self.prefixes)
-        new = (read[cut:], (*((t, n - change) for t, n in ends[cut:]), (token, 0)))
+        new = bytes([len(read) - cut]) + read[cut:] + b"".join([struct.pack("<ih", t, n - change) for t, n in ends[cut:]]) + struct.pack("<ih", token, 0)
         if (to := self.number.get(new)) is None:
             to = self.number[new] = len(self.states)
             self.states.append(new)
-        self.next[state << 8 | byte] = value = (to << 10) + change + 512
+        value = (to << 10) + change + 512
+        self._put(state << 8 | byte, value)
+        self.used += 1
+        if self.used * 2 > len(self.keys):
+            self.bits += 1
+            full = self.keys >= 0
+            self._fill(self.keys[full], self.values[full])
         return value
 
-    def _slot(self, key: int) -> int:
-        return ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
-
-    def _rehash(self) -> None:
-        while len(self.next) * 4 > 1 << self.bits:
-            self.bits += 1
+    def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits, dtype=np.int64)
-        for key, value in self.next.items():
+        for key, value in zip(keys.tolist(), values.tolist()):
             self._put(key, value)
 
+    def _slot(self, key: int) -> int:
+        """Where the transition is, or where it belongs."""
+        at, keys, last = ((key * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits), self.keys, len(self.keys) - 1
+        while (found := keys.item(at)) >= 0 and found != key:
+            at = (at + 1) & last
+        return at
+
     def _put(self, key: int, value: int) -> None:
-        at, keys = self._slot(key), self.keys
-        while keys[at] >= 0:
-            at = (at + 1) & (len(keys) - 1)
-        keys[at], self.values[at] = key, value
+        at = self._slot(key)
+        self.keys[at], self.values[at] = key, value
 
     def _look_up(self, key: np.ndarray) -> np.ndarray:
         """Transitions of all lanes; compiles those that are missing."""
@@ -232,9 +256,7 @@ class CountingTransducer:
             if not len(new):
                 return value
             for k in new.tolist():
-                self._put(k, self._compile(k >> 8, k & 255))
-            if len(self.next) * 2 > len(self.keys):
-                self._rehash()
+                self._compile(k >> 8, k & 255)
 
     def counts(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of each piece raw[begin : begin + length]."""
@@ -255,13 +277,9 @@ class CountingTransducer:
             k = len(live)
         for lane in range(live[k] if k < len(live) else 0):
             s, c = int(state[lane]), 0
-            for byte in raw[begin[lane] + k : begin[lane] + length[lane]].tobytes():
-                value = self.next.get(s << 8 | byte)
-                if value is None:
-                    value = self._compile(s, byte)
-                    self._put(s << 8 | byte, value)
-                    if len(self.next) * 2 > len(self.keys):
-                        self._rehash()
+            for byte in raw[begin[lane] + k : begin[lane] + length[lane]].astype(np.uint8).tobytes():
+                at = self._slot(s << 8 | byte)
+                value = self.values.item(at) if self.keys.item(at) >= 0 else self._compile(s, byte)
                 s, c = value >> 10, c + (value & 1023) - 512
             total[lane] += c
         out = np.empty_like(total)
