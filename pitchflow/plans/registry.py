@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from pitchflow.plans import play
+
+MODULES = (play,)
 
 
 def queries() -> dict:
