@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchflow.plans import play
+from pitchflow.plans import play, scalars
 
-MODULES = (play,)
+MODULES = (play, scalars)
 
 
 def queries() -> dict:
