@@ -104,7 +104,7 @@ def strict_box(p: Params = DEFAULT, edge: int = 30) -> Column:
     return (x2 > x1) & (y2 > y1) & (x1 >= edge) & (y1 >= edge) & (x2 <= p.width - edge) & (y2 <= p.height - edge) & F.coalesce(shape.between(0.2, 4.0), F.lit(False))
 
 
-def xg(mx: Column, my: Column, goal_x: Column | None = None, header=F.lit(False), pressed=F.lit(False)) -> Column:
+def xg(mx: Column, my: Column, goal_x: Column | None = None, header: Column | None = None, pressed: Column | None = None) -> Column:
     """Chance of a shot from this place in metres: a logistic model of distance, offset and angle."""
     if goal_x is None:
         goal_x = F.when(F.abs(mx - 105.0) < F.abs(mx), 105.0).otherwise(0.0)
@@ -113,7 +113,8 @@ def xg(mx: Column, my: Column, goal_x: Column | None = None, header=F.lit(False)
     angle = F.when(angle < 0, angle + math.pi).otherwise(angle)
     # fixed values of the published model
     odds = 0.5103 + 0.6338 * angle - 0.2798 * F.sqrt(x * x + c * c) + 0.1243 * x - 0.0300 * c + 0.0014 * x * x + 0.0041 * c * c - 0.1251 * angle * x
-    chance = 1 / (1 + F.exp(-odds)) * F.when(header, 0.6).otherwise(1.0) * F.when(pressed, 0.75).otherwise(1.0)
+    less = lambda c, share: F.lit(1.0) if c is None else F.when(c, share).otherwise(1.0)
+    chance = 1 / (1 + F.exp(-odds)) * less(header, 0.6) * less(pressed, 0.75)
     return F.least(F.lit(0.95), F.greatest(F.lit(0.01), chance))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchflow.plans import play, scalars
+from pitchflow.plans import identity, play, scalars
 
-MODULES = (play, scalars)
+MODULES = (play, scalars, identity)
 
 
 def queries() -> dict:
