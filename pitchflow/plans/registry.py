@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchflow.plans import identity, play, scalars
+from pitchflow.plans import identity, play, scalars, tracks
 
-MODULES = (play, scalars, identity)
+MODULES = (play, scalars, identity, tracks)
 
 
 def queries() -> dict:
