@@ -139,7 +139,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD
     deal = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int")
     placed = vectors.select("vec_id", "vector", F.size("vector").alias("dim"), deal.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
-    asked = queries.select("vec_id", "vector", F.size("vector").alias("dim"), deal.alias("home"), part.alias("part"))
+    asked = queries.select(F.col("vec_id").alias("vec_id"), F.col("vector").alias("vector"), F.size("vector").alias("dim"), deal.alias("home"), part.alias("part"))
 
     def visit(questions: DataFrame) -> DataFrame:
         return placed.groupBy(*keys).cogroup(questions.groupBy(*keys)).applyInPandas(_answer(k), schema)
