@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchflow.functions import labels as l
+from pitchflow.operators.lineage import cut
 from pitchflow.operators.sequence import debounce
 
 TRACK = ["match_id", "track_id"]
@@ -220,7 +221,7 @@ def resolve_roots(edges: DataFrame, rounds: int = 20) -> DataFrame:
     at = edges.select("match_id", "child", F.col("parent").alias("root"), F.least("child", "parent").alias("low"), F.lit(False).alias("done"))
     for _ in range(rounds):
         step = at.select("match_id", F.col("child").alias("root"), F.col("root").alias("next"), F.col("low").alias("next_low"))
-        at = at.join(step, ["match_id", "root"], "left").select("match_id", "child", F.coalesce("next", "root").alias("root"), F.least("low", F.coalesce("next_low", "low")).alias("low"), F.col("next").isNull().alias("done"))
+        at = cut(at.join(step, ["match_id", "root"], "left").select("match_id", "child", F.coalesce("next", "root").alias("root"), F.least("low", F.coalesce("next_low", "low")).alias("low"), F.col("next").isNull().alias("done")))
         if at.filter("not done").isEmpty():
             break
     return at.select("match_id", "child", F.when(F.col("done"), F.col("root")).otherwise(F.col("low")).alias("root"))
