@@ -8,16 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchflow.operators import play
+from pitchflow.operators.lineage import cut
 from pitchflow.params import DEFAULT
 from pitchflow.plans import fixture
 from pitchflow.plans.fixture import debounced, sql
 
 
 class Match:
-    """The tables that queries share, built when asked for."""
+    """The tables that queries share, built when asked for.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    keep: the small tables (a row for each frame or shot) that several branches of a plan read are checkpointed."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, cut if keep else (lambda df: df)
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -33,7 +36,7 @@ class Match:
 
     @cached_property
     def ball(self) -> DataFrame:
-        return play.ball_track(self.frames, self.detections)
+        return self.kept(play.ball_track(self.frames, self.detections))
 
     @cached_property
     def boxes(self) -> DataFrame:
@@ -45,7 +48,7 @@ class Match:
 
     @cached_property
     def owned(self) -> DataFrame:
-        return play.ownership(self.frames, self.owners)
+        return self.kept(play.ownership(self.frames, self.owners))
 
     @cached_property
     def segs(self) -> DataFrame:
@@ -65,7 +68,7 @@ class Match:
 
     @cached_property
     def shots(self) -> DataFrame:
-        return play.shots(self.ball, self.owned, self.boxes, self.classes)
+        return self.kept(play.shots(self.ball, self.owned, self.boxes, self.classes))
 
     @cached_property
     def dribbles(self) -> DataFrame:
@@ -177,11 +180,11 @@ def fast_balls(s, d):
 
 
 def shot_detect(s, d):
-    return Match(s, d).shots.select("match_id", "frame_idx", "track_id", "goal_x", "pressed", "reach", *_r("xg", "speed"))
+    return Match(s, d, keep=True).shots.select("match_id", "frame_idx", "track_id", "goal_x", "pressed", "reach", *_r("xg", "speed"))
 
 
 def goal_confirm(s, d):
-    m = Match(s, d)
+    m = Match(s, d, keep=True)
     return play.goals(m.shots, m.ball, m.boxes, m.teams, m.directions).select("match_id", "frame_idx", "track_id", "team", "shooter")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchflow.plans import identity, play, scalars, tracks
+from pitchflow.plans import identity, play, report, scalars, tracks
 
-MODULES = (play, scalars, identity, tracks)
+MODULES = (play, scalars, identity, tracks, report)
 
 
 def queries() -> dict:
