@@ -39,6 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a Python worker keeps for its later tasks: one operator's tables at a time, so that memory stays bounded."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def let(value: Column, body) -> Column:
     """Bind value once inside an expression: a lambda variable is never inlined and evaluated again."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import fold, table
+from pitchflow.llm.common import fold, held, table
 
 SAMPLE = 20_000
 WORDS = 20_000
@@ -33,7 +33,7 @@ LETTERS = 40
 FOLDS, HELD_OUT = 4, 2
 MIN_SCORE = 0.5
 #: Words whose scores a worker keeps.
-KEPT = 400_000
+KEPT = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -107,6 +107,7 @@ class Scorer:
 
 def _predictor(model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language", tuple)
         scorer = Scorer(model.value)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column("text")]
@@ -137,10 +138,13 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(~held_out(F.col("doc_id")))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language", tuple)
         scorer = Scorer(model.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column("text")]
-            yield batch.filter(pa.array([x != "und" and s >= min_score for x, s in found], pa.bool_()))
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                found = [scorer.predict(t.as_py()) for t in part.column("text")]
+                yield part.filter(pa.array([x != "und" and s >= min_score for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

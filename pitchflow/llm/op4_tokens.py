@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import table
+from pitchflow.llm import common
 from pitchflow.llm.tokens import BYTE_BPE, vocabulary
 
 LIMIT = 512
@@ -304,7 +304,6 @@ class CountingTransducer:
         return np.bincount(owner, weights=tokens, minlength=len(texts)).astype(np.int64)
 
 
-_OPEN: dict[str, CountingTransducer] = {}
 #: Between two characters that aren't white space, a space always starts a piece.
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
@@ -318,9 +317,7 @@ def _windows(text: str) -> Iterator[str]:
 
 
 def count_tokens(texts: list[str], name: str = BYTE_BPE) -> np.ndarray:
-    if name not in _OPEN:
-        _OPEN[name] = CountingTransducer(vocabulary(name))
-    model = _OPEN[name]
+    model = common.held(f"count {name}", lambda: CountingTransducer(vocabulary(name)))
     special = re.compile("|".join(map(re.escape, sorted(model.special, key=len, reverse=True))) or r"(?!)")
     total = np.zeros(len(texts), dtype=np.int64)
     parts: list[str] = []
@@ -361,7 +358,7 @@ def with_token_counts(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def op4_transducer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_token_counts(table(spark, sf_dir, "documents"))
+    return with_token_counts(common.table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op4_transducer_tokens": op4_transducer_tokens}

@@ -14,6 +14,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from pitchflow.llm.common import held
+
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -90,11 +92,6 @@ class UnitTokenizer:
             yield np.frombuffer(b"".join([known[u] for u in units]), dtype="<u2")
 
 
-_OPEN: dict[str, UnitTokenizer] = {}
-
-
 def unit_tokenizer(name: str) -> UnitTokenizer:
     """One for each Python worker: what it has met serves its later tasks too."""
-    if name not in _OPEN:
-        _OPEN[name] = UnitTokenizer(name)
-    return _OPEN[name]
+    return held(name, lambda: UnitTokenizer(name))
