@@ -22,6 +22,7 @@ MIN_WORDS = 5
 #: Shares of MIN_SITES between which an estimate is checked; several times the sketch's error.
 NEAR = (0.8, 1.2)
 LG_K = 10
+SALTS = 16
 
 
 def line_key(line: Column) -> Column:
@@ -44,14 +45,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sketched = found.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("keeper"))
     sized = sketched.select("key", "keeper", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= NEAR[0] * min_sites)
     near = sized.filter(F.col("sites") <= NEAR[1] * min_sites)
-    exact = found.join(near.select("key", "keeper"), "key").groupBy("key", "keeper", "site").agg(F.lit(1).alias("one"))
+    exact = found.select("key", "site").distinct().join(near.select("key", "keeper"), "key")
     exact = exact.groupBy("key", "keeper").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
     return sized.filter(F.col("sites") > NEAR[1] * min_sites).unionByName(exact).select("key", "keeper")
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """docs with the texts that remain, and columns n_lines and n_removed."""
-    lost = lines(docs).join(boilerplate(docs, min_sites), "key").filter("doc_id <> keeper")
+    # a line may stand in any share of all documents: its key meets them in SALTS parts
+    parted = boilerplate(docs, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = lines(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    lost = own.join(parted, ["key", "salt"]).filter("doc_id <> keeper")
     gone = lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_gone"))
     joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left")
     every = F.split("text", "\n")
