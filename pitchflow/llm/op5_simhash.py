@@ -25,10 +25,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import cut, table
+from pitchflow.llm.common import cut, held, stored, table
 
 SHINGLE = 4
 THRESHOLD = 4
@@ -62,6 +62,7 @@ def simhash(text: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("simhash", tuple)
     for batch in batches:
         fp = np.fromiter((simhash(t.as_py() or b"") for t in batch.column("text")), dtype=np.uint64, count=batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -182,10 +183,14 @@ def near_duplicates(docs: DataFrame, side: int = SIDE) -> DataFrame:
 def keep_one(docs: DataFrame, side: int = SIDE) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the smallest doc_id.
 
-    Repeated rows of that document collapse into one as well."""
-    kept = near_duplicates(docs.select("doc_id", "text"), side).filter("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).filter("_row = 1").select(docs.columns)
+    Repeated rows of that document collapse into one as well; rows without a doc_id stay. What goes is written first,
+    so that its size is known when it meets the texts: these are only shuffled where it is too large to broadcast."""
+    found = near_duplicates(docs.select("doc_id", "text"), side).filter("doc_id is not null")
+    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("root"), F.count("*").alias("n"))
+    out = stored(ids.filter("doc_id <> root or n > 1").select("doc_id", (F.col("doc_id") == F.col("root")).alias("repeated")), "near-duplicates")
+    once = docs.join(out.select("doc_id"), "doc_id", "left_anti")
+    repeated = docs.join(out.filter("repeated").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.select(docs.columns).unionByName(repeated.select(docs.columns))
 
 
 def op5_simhash_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
