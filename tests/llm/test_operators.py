@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, registry
+from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, registry, shingles
 from pitchflow.llm.common import table
 from pitchflow.llm.tokens import BYTE_BPE, WORD_BPE, unit_tokenizer, vocabulary
 
@@ -182,6 +182,51 @@ def test_keep_one(odd, empty):
     assert op5_simhash.near_duplicates(odd).count() == odd.count()
 
 
+def brute_near_copies(docs, least=0.8):
+    def own(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {k: own(v) for k, v in docs.items()}
+    root = {k: k for k in docs}
+    for a in docs:
+        for b in docs:
+            if a < b and root[a] != root[b] and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return root
+
+
+def test_near_copies(spark):
+    """Chains of edits around and below the limit, and one group so large that its blocks are cut."""
+    rng = np.random.default_rng(11)
+    docs = {}
+    for c in range(25):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(3, 150)))]
+        for _ in range(6):
+            docs[len(docs)] = " ".join(words)
+            for k in rng.choice(len(words), int(rng.integers(1, 4)), replace=False):
+                words[k] = f"v{rng.integers(0, 5000)}"
+    hub = [f"h{x}" for x in range(100)]
+    for k in range(40):
+        docs[len(docs)] = " ".join([*hub[:k], f"other{k}", *hub[k + 1 :]])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    for side in (7, 1024):
+        assert dict(shingles.near_copies(df, side).collect()) == brute_near_copies(docs)
+
+
+def test_stage_drops_near_copies(spark, odd, empty):
+    words = [f"word{x}" for x in range(60)]
+    docs = [(k, " ".join([*words[:at], "changed", *words[at + 1 :]])) for k, at in enumerate((0, 20, 30, 40))]  # 0.82 and more to the first
+    docs += [(10, " ".join([*words[:10], "a", *words[11:25], "b", *words[26:45], "c", *words[46:]]))]  # below 0.8 to all
+    docs += [(11, None), (12, " "), (None, " ".join(words))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SMALL).collect()} == {0, 10, 11, None}
+    ids = [r.doc_id for r in shingles.keep_one(odd).collect()]
+    assert None in ids and sorted(i for i in ids if i is not None) == [0, 2, 4, 5, 7, 8]
+    assert shingles.keep_one(empty).count() == 0
+
+
 # --- packing
 
 
