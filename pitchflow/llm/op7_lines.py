@@ -5,13 +5,19 @@ each hash merges by aggregation. Lines whose estimate is clearly above MIN_SITES
 sites are counted exactly. Boilerplate stays in one document, the one with the smallest id that has it, and goes from
 all others. Only hashes and ids are shuffled until the documents meet the hashes that each of them loses.
 
-Cases: null text stays null, empty text stays empty; shorter lines are never touched; a null source is a site of its
+Shorter lines are left alone by the query, as its SQL has it. With short_share (the pipeline's stage) every line that
+isn't blank is counted, and one of fewer words is boilerplate where it stands on that share of all sites, MIN_SITES at
+least.
+
+Cases: null text stays null, empty text stays empty; blank lines are never touched; a null source is a site of its
 own; rows with a null doc_id count as carriers but keep their lines; rows that share a doc_id are one document; a
 document may lose all of its lines and stays with empty text; other columns are kept, n_chars is counted anew.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +27,8 @@ MIN_SITES = 5
 MIN_WORDS = 5
 #: Shares of MIN_SITES between which an estimate is checked; several times the sketch's error.
 NEAR = (0.8, 1.2)
+#: Share of all sites that makes a line of fewer than MIN_WORDS words boilerplate in the pipeline.
+SHORT_SHARE = 0.5
 LG_K = 10
 SALTS = 16
 
@@ -33,33 +41,39 @@ def site(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, site, key) of every line that is long enough."""
+def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, site, key, short) of every line that is long enough; short ones have fewer than MIN_WORDS words."""
     split = docs.filter("text is not null").select(F.col("doc_id"), site(F.col("source")).alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    return split.filter(F.regexp_count("line", F.lit(WORD)) >= MIN_WORDS).select("doc_id", "site", line_key(F.col("line")).alias("key"))
-
-
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(key, keeper) of the lines that at least min_sites sites carry."""
-    found = lines(docs)
-    sketched = found.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("keeper"))
-    sized = sketched.select("key", "keeper", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= NEAR[0] * min_sites)
-    near = sized.filter(F.col("sites") <= NEAR[1] * min_sites)
-    exact = found.select("key", "site").distinct().join(near.select("key", "keeper"), "key")
-    exact = exact.groupBy("key", "keeper").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites)
-    return sized.filter(F.col("sites") > NEAR[1] * min_sites).unionByName(exact).select("key", "keeper")
-
-
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    words = F.regexp_count("line", F.lit(WORD))
+    return split.filter(words >= min_words).select("doc_id", "site", line_key(F.col("line")).alias("key"), (words < MIN_WORDS).alias("short"))
+
+
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share: float | None = None) -> DataFrame:
+    """(key, keeper) of the lines that at least min_sites sites carry; with short_share, of short ones on that share of all sites too."""
+    found, least, short = lines(docs), F.lit(min_sites), []
+    if short_share is not None:
+        all_sites = docs.filter("text is not null").select(site(F.col("source")).alias("site")).distinct().count()
+        found, short = lines(docs, 1), [F.max("short").alias("short")]
+        least = F.when(F.col("short"), max(min_sites, math.ceil(short_share * all_sites))).otherwise(min_sites)
+    sketched = found.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("keeper"), *short)
+    sized = sketched.select("key", "keeper", F.hll_sketch_estimate("sketch").alias("sites"), least.alias("least")).filter(F.col("sites") >= NEAR[0] * F.col("least"))
+    near = sized.filter(F.col("sites") <= NEAR[1] * F.col("least"))
+    exact = found.select("key", "site").distinct().join(near.select("key", "keeper", "least"), "key")
+    exact = exact.groupBy("key", "keeper", "least").agg(F.count("*").alias("sites")).filter(F.col("sites") >= F.col("least"))
+    return sized.filter(F.col("sites") > NEAR[1] * F.col("least")).select("key", "keeper").unionByName(exact.select("key", "keeper"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share: float | None = None) -> DataFrame:
     """docs with the texts that remain, and columns n_lines and n_removed."""
+    min_words = MIN_WORDS if short_share is None else 1
     # a line may stand in any share of all documents: its key meets them in SALTS parts
-    parted = boilerplate(docs, min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = lines(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parted = boilerplate(docs, min_sites, short_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = lines(docs, min_words).select("doc_id", "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     lost = own.join(parted, ["key", "salt"]).filter("doc_id <> keeper")
     gone = lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_gone"))
     joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left")
     every = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), every).otherwise(F.filter(every, lambda x: ~(F.array_contains("_gone", line_key(x)) & (F.regexp_count(x, F.lit(WORD)) >= MIN_WORDS))))
+    kept = F.when(F.col("_gone").isNull(), every).otherwise(F.filter(every, lambda x: ~(F.array_contains("_gone", line_key(x)) & (F.regexp_count(x, F.lit(WORD)) >= min_words))))
     out = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(every)).withColumn("n_removed", F.size(every) - F.size("_kept"))
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
     if "n_chars" in docs.columns:

@@ -334,6 +334,16 @@ def test_lines_odd(odd, empty):
     assert op7_lines.remove_boilerplate(empty).count() == 0
 
 
+def test_stage_removes_short_lines(spark):
+    """Short lines on half of ten sites or more go, with scripts without spaces; those on fewer, and blank lines, stay."""
+    rows = [(i, f"own line of document number {i}\nAll rights reserved.\n\n版权所有保留一切权利" + ("\nFour sites only." if i < 4 else ""), f"site{i % 10}") for i in range(20)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, SMALL).collect()}
+    assert out[0] == rows[0][1] and len(out) == 20
+    assert all(out[i] == f"own line of document number {i}\n" + ("\nFour sites only." if i < 4 else "") for i in range(1, 20))
+    assert all(r.n_removed == 0 for r in op7_lines.remove_boilerplate(docs).collect())  # the query's own rule
+
+
 # --- mixing
 
 
