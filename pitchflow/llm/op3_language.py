@@ -5,7 +5,9 @@ n-grams, the longest first: the mean log frequency of its known 4-grams, else of
 language is the one with the largest sum over all of its words.
 
 The model is fitted on a sample of about SAMPLE labelled rows, counted by Spark, and keeps the WORDS most frequent
-words and the GRAMS most frequent n-grams of each order for every language; these tables are what tasks receive.
+words and the GRAMS most frequent n-grams of each order for every language; these tables are what tasks receive. The
+sample goes by document, not by text alone, so that many copies of one text don't enter or stay out as a whole. N-grams
+come from whole words however long, in learning by pieces of PIECE letters.
 
 Cases: null text, and text without a letter, give `und` with score 0; ties go to the language first in order; with no
 labelled rows every text is `und`; repeated rows are repeated; texts are read whole.
@@ -28,8 +30,8 @@ SAMPLE = 20_000
 WORDS = 20_000
 GRAMS = 5_000
 ORDERS = (4, 3, 2, 1)
-#: Letters of a word that n-grams are taken from.
-LETTERS = 40
+#: Places of a word whose n-grams are taken at a time.
+PIECE = 256
 FOLDS, HELD_OUT = 4, 2
 MIN_SCORE = 0.5
 #: Words whose scores a worker keeps.
@@ -38,17 +40,19 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
-    """Model from (text, lang). Returns languages and, for words and each n-gram order, log frequencies."""
-    rows = labelled.filter("text is not null and lang is not null").select("text", "lang")
+    """Model from (doc_id, text, lang). Returns languages and, for words and each n-gram order, log frequencies."""
+    rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     n = rows.count()
-    if n > sample:  # about as many, chosen by a hash of the text
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1_000_000)) < math.ceil(1e6 * sample / n))
+    if n > sample:  # about as many, chosen by a hash of the id, and of the text for rows that share one or have none
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1_000_000)) < math.ceil(1e6 * sample / n))
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("item"))
     words = words.groupBy("lang", "item").agg(F.count("*").alias("n"))
-    # a word gives itself, as order 0, and all n-grams of its marked first letters
-    grams = ", ".join(f"transform(sequence(1, greatest(length(m) - {k - 1}, 1)), i -> named_struct('order', {k}, 'item', substring(m, i, {k})))" for k in ORDERS)
-    parts = F.expr(f"element_at(transform(array(concat('^', substring(item, 1, {LETTERS}), '$')), m -> concat(array(named_struct('order', 0, 'item', item)), {grams})), 1)")
-    items = words.select("lang", "n", F.explode(parts).alias("part")).groupBy("lang", "part.order", "part.item").agg(F.sum("n").alias("n"))
+    # a word gives itself, as order 0, and all n-grams of its marked letters: those that start in each piece
+    pieces = words.select("lang", "n", "item", F.explode(F.expr(f"sequence(0, (length(item) + 1) div {PIECE})")).alias("p"))
+    grams = ", ".join(f"transform(IF(p > 0 AND length(m) < {k}, array(), sequence(1, greatest(least({PIECE}, length(m) - {k - 1}), 1))), i -> named_struct('order', {k}, 'item', substring(m, i, {k})))" for k in ORDERS)
+    own = "IF(p > 0, array(), array(named_struct('order', 0, 'item', item)))"
+    parts = F.expr(f"element_at(transform(array(substring(concat('^', item, '$'), p * {PIECE} + 1, {PIECE + max(ORDERS) - 1})), m -> concat({own}, {grams})), 1)")
+    items = pieces.select("lang", "n", F.explode(parts).alias("part")).groupBy("lang", "part.order", "part.item").agg(F.sum("n").alias("n"))
     totals = items.groupBy("lang", "order").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "item")
     best = items.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(WORDS, GRAMS))
@@ -79,11 +83,15 @@ class Scorer:
             self.rows[: len(words)] = list(words.values())
 
     def back_off(self, word: str) -> list[float]:
-        marked = f"^{word[:LETTERS]}$"
+        marked = f"^{word}$"
         for order in ORDERS:
-            grams = self.tables[order]
-            if got := [g for k in range(len(marked) - order + 1) if (g := grams.get(marked[k : k + order]))]:
-                return [sum(x) / len(got) for x in zip(*got)]
+            grams, n, total = self.tables[order], 0, [0.0] * len(self.langs)
+            for first in range(0, len(marked) - order + 1, PIECE):
+                last = min(first + PIECE, len(marked) - order + 1)
+                if got := [g for k in range(first, last) if (g := grams.get(marked[k : k + order]))]:
+                    n, total = n + len(got), [t + sum(x) for t, x in zip(total, zip(*got))]
+            if n:
+                return [t / n for t in total]
         return [0.0] * len(self.langs)
 
     def predict(self, text: str | None) -> tuple[str, float]:

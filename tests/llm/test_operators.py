@@ -490,6 +490,28 @@ def test_toxicity(spark, odd, empty):
     assert op2_toxicity.fit(docs, marks.filter("doc_id < 0"))[0] == {} and op2_toxicity.score(empty, model).count() == 0
 
 
+def test_long_runs(spark):
+    """A run of letters is learned and judged by all of it, across pieces; each n-gram counts once."""
+    head = "x" * 300
+    rows = [(k, head + tail * 200, lang) for k, (tail, lang) in enumerate([("ab", "a"), ("cd", "b")] * 3)]
+    model = op3_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = Counter(f"^{rows[0][1]}$"[i : i + 4] for i in range(len(rows[0][1]) - 1))
+    total, known = 3 * sum(want.values()), len(model["tables"][4])
+    for item, n in want.items():
+        assert math.isclose(model["tables"][4][item][0], math.log(3 * n + 0.5) - math.log(total + known * 0.5))
+    scorer = op3_language.Scorer(model)
+    assert [scorer.predict("x" * 290 + t * 199)[0] for t in ("ab", "cd")] == ["a", "b"]
+
+
+def test_sample_splits_copies(spark):
+    """Where one text is most of the rows, the sample still holds about as many rows as asked for."""
+    rows = [(k, "same text" if k % 4 else f"text {k}", "en") for k in range(4000)]
+    model = op3_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=400)
+    # 'text' stands once in every row: its log frequency gives the rows, as nothing else does
+    base = {w: math.exp(v[0]) for w, v in model["tables"][0].items()}
+    assert set(base) == {"same", "text"} and 0.65 < base["same"] / base["text"] < 0.85
+
+
 # --- all
 
 
