@@ -5,11 +5,12 @@ point on a Hilbert curve is the document's key. Documents are range-sorted by ke
 by itself, front to back: neighbours on the curve share sequences. A document is cut where a sequence is full, at a
 multiple of STEP of its own ids, so that at most STEP - 1 places stay empty in a sequence.
 
-Only sizes travel: the tokenizing pass keeps a checksum of each document's ids up to every multiple of STEP, from
-which the checksum of any piece follows, so that no ids are shuffled or kept.
+Only sizes travel: the tokenizing pass keeps a checksum of every STEP ids of a document, from which the checksum of any
+piece follows, so that no ids are shuffled or kept. A crc32 is linear over its bits but for a constant, so the checksums
+of all blocks of many documents are table look-ups and exclusive ors.
 
 Cases: null or empty text is the end id alone; repeated rows are packed each by itself; equal keys are ordered by
-doc_id; a null doc_id sorts first; an empty table gives no rows.
+doc_id; a null doc_id sorts first; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ STEP = 16
 END_ID = 1
 DIMENSIONS, BITS = 4, 10
 BUCKETS = 256
-#: Tokens of one range of the curve.
-RANGE_TOKENS = 8_000_000
+#: Tokens of one range of the curve, and most ranges: beyond, ranges grow, which tasks read as streams.
+RANGE_TOKENS, MOST_RANGES = 8_000_000, 10_000
 
 
 @cache
@@ -73,47 +74,73 @@ def curve_keys(counts: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((u * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def prefix_sums(ids: np.ndarray) -> np.ndarray:
-    """crc32 of the ids up to each multiple of STEP, and of all."""
-    raw, at, crc, out = memoryview(ids.astype("<u4").tobytes()), 0, 0, []
-    while at < len(raw):
-        crc = zlib.crc32(raw[at : at + 4 * STEP], crc)
-        out.append(crc)
-        at += 4 * STEP
-    return np.array(out, dtype="<u4")
+@cache
+def _linear() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What an id adds to the crc32 of a block, by the ids behind it; the crc32 of n zero ids; what becomes of each byte of
+    a crc32 behind n more ids."""
+    zero = np.array([zlib.crc32(bytes(4 * n)) for n in range(STEP + 1)], dtype=np.uint32)
+    adds = np.zeros((STEP, 1 << 16), dtype=np.uint32)
+    for behind in range(STEP):
+        for bit in range(16):
+            alone = zlib.crc32((1 << bit).to_bytes(4, "little") + bytes(4 * behind)) ^ int(zero[behind + 1])
+            adds[behind, 1 << bit : 2 << bit] = adds[behind, : 1 << bit] ^ np.uint32(alone)
+    moves = np.zeros((STEP + 1, 4, 256), dtype=np.uint32)
+    for n in range(STEP + 1):
+        for byte in range(4):
+            for value in range(256):
+                moves[n, byte, value] = zlib.crc32(bytes(4 * n), value << 8 * byte) ^ int(zero[n])
+    return adds.reshape(-1), zero, moves
+
+
+def block_sums(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """crc32 of every STEP ids of each document (its last block may be shorter), and how many blocks each has. ids: of all
+    documents, one after another, none without any."""
+    adds, zero, _ = _linear()
+    blocks = -(-sizes // STEP)
+    last = np.cumsum(blocks) - 1
+    length = np.full(int(blocks.sum()), STEP)
+    length[last] = sizes - (blocks - 1) * STEP
+    start = np.cumsum(length) - length
+    behind = np.repeat(start + length - 1, length) - np.arange(len(ids))
+    return np.bitwise_xor.reduceat(adds[(behind << 16) + ids], start) ^ zero[length], blocks
+
+
+def piece_sums(sums: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """crc32 of pieces, from those of their blocks. first: each piece's first block; length: its ids."""
+    moves = _linear()[2]
+    blocks = -(-length // STEP)
+    order = np.argsort(-blocks, kind="stable")
+    first, blocks, out = first[order], blocks[order], sums[first[order]].copy()
+    tail = length[order] - (blocks - 1) * STEP
+    for k in range(1, int(blocks[0]) if len(blocks) else 0):
+        n = int(np.searchsorted(-blocks, -k, side="left"))  # pieces with more than k blocks
+        c, move = out[:n], np.where(blocks[:n] == k + 1, tail[:n], STEP)
+        moved = moves[move, 0, c & 255]
+        for byte in range(1, 4):
+            moved ^= moves[move, byte, c >> np.uint32(8 * byte) & 255]
+        out[:n] = moved ^ sums[first[:n] + k]
+    back = np.empty_like(out)
+    back[order] = out
+    return back.astype(np.int64)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokenizer = unit_tokenizer(BYTE_BPE)
+    tokenizer, end = unit_tokenizer(BYTE_BPE), np.array([END_ID], dtype="<u2").tobytes()
+    bucket = (np.arange(1 << 16) * 40503 >> 4) % BUCKETS
     for whole in batches:
         for k in range(0, whole.num_rows, 1000):
             batch = whole.slice(k, 1000)
-            counts, sizes, sums = np.zeros((batch.num_rows, BUCKETS)), [], []
-            for i, ids in enumerate(tokenizer.encode(t.as_py() or b"" for t in batch.column("text"))):
-                ids = np.append(ids, np.uint16(END_ID))
-                counts[i] = np.bincount((ids.astype(np.int64) * 40503 >> 4) % BUCKETS, minlength=BUCKETS)
+            counts, sizes, sums = [], [], []
+            group: list[np.ndarray] = []
+            for ids in tokenizer.encode((t.as_py() or b"" for t in batch.column("text")), end):
+                counts.append(np.bincount(bucket[ids], minlength=BUCKETS))
                 sizes.append(len(ids))
-                sums.append(prefix_sums(ids).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(counts)), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], ["doc_id", "key", "doc_tokens", "sums"])
-
-
-@cache
-def _shifts() -> np.ndarray:
-    """[n, b]: what bit b of a crc32 becomes behind n more ids, all zero."""
-    out = np.zeros((LENGTH + 1, 32), dtype=np.uint32)
-    for n in range(LENGTH + 1):
-        zeros = bytes(4 * n)
-        base = zlib.crc32(zeros)
-        out[n] = [zlib.crc32(zeros, 1 << b) ^ base for b in range(32)]
-    return out
-
-
-def piece_sums(before: np.ndarray, after: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """crc32 of pieces, from those of all ids before and up to the end of each."""
-    moved, table_ = np.zeros(len(before), dtype=np.uint32), _shifts()
-    for b in range(32):
-        moved ^= np.where(before >> np.uint32(b) & np.uint32(1), table_[length, b], np.uint32(0))
-    return (after ^ moved).astype(np.int64)
+                group.append(ids)
+                if len(sizes) == batch.num_rows or sum(map(len, group)) > 1 << 20:
+                    found, blocks = block_sums(np.concatenate(group), np.array(sizes[-len(group) :]))
+                    sums += [x.tobytes() for x in np.split(found.astype("<u4"), np.cumsum(blocks)[:-1])]
+                    group = []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(curve_keys(np.array(counts))), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], ["doc_id", "key", "doc_tokens", "sums"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,23 +148,24 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for k in range(0, whole.num_rows, 1000):
             batch = whole.slice(k, 1000)
-            row, start, length, seq, offset, before, after = [], [], [], [], [], [], []
-            for i, (n, raw) in enumerate(zip(batch.column("doc_tokens").to_pylist(), batch.column("sums"))):
-                sums, at = np.frombuffer(raw.as_py(), dtype="<u4"), 0
+            sums = [np.frombuffer(x.as_py(), dtype="<u4") for x in batch.column("sums")]
+            base = np.cumsum([0, *map(len, sums)]).tolist()
+            row, start, length, seq, offset, first = [], [], [], [], [], []
+            for i, n in enumerate(batch.column("doc_tokens").to_pylist()):
+                at = 0
                 while at < n:
                     free = LENGTH - filled
                     take = n - at if n - at <= free else free // STEP * STEP
                     if take:
                         row.append(i), start.append(at), length.append(take), seq.append(sequence), offset.append(filled)
-                        before.append(sums[at // STEP - 1] if at else 0)
-                        after.append(sums[(at + take - 1) // STEP])
+                        first.append(base[i] + at // STEP)
                         at, filled = at + take, filled + take
                     if filled == LENGTH or at < n:
                         sequence, filled = sequence + 1, 0
             whole_rows = batch.take(pa.array(row, pa.int64()))
-            sums = piece_sums(np.array(before, dtype=np.uint32), np.array(after, dtype=np.uint32), np.array(length, dtype=np.int64))
+            crcs = piece_sums(np.concatenate(sums), np.array(first, dtype=np.int64), np.array(length, dtype=np.int64))
             long = lambda x: pa.array(x, pa.int64())
-            yield pa.RecordBatch.from_arrays([whole_rows.column("doc_id"), long(start), long(length), long(sums), whole_rows.column("doc_tokens"), long(seq), long(offset), whole_rows.column("key")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"])
+            yield pa.RecordBatch.from_arrays([whole_rows.column("doc_id"), long(start), long(length), long(crcs), whole_rows.column("doc_tokens"), long(seq), long(offset), whole_rows.column("key")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key"])
 
 
 def pack(docs: DataFrame) -> DataFrame:
@@ -145,7 +173,7 @@ def pack(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     sized = stored(rows.mapInArrow(_measure, "doc_id long, key long, doc_tokens long, sums binary"), "packing")
     total = sized.agg(F.coalesce(F.sum("doc_tokens"), F.lit(0))).first()[0]
-    ranges = sized.repartitionByRange(max(1, total // RANGE_TOKENS), "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    ranges = sized.repartitionByRange(min(max(1, total // RANGE_TOKENS), MOST_RANGES), "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return ranges.mapInArrow(_pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
 
 

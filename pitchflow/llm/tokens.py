@@ -2,8 +2,11 @@
 
 A unit is a stretch of text that the tokenizer is known to treat by itself. Units repeat, so each Python worker keeps
 the ids of the units that it has met in a bounded table and calls the library for the others only, many in one text.
-The ids of such a text fall apart into units again by the lengths of the tokens; where these don't meet the units'
-ends exactly (normalization may change a length), the library is called for each unit instead.
+
+Many units go to the library as one text only where its ids are sure to fall apart into the units' again: where nothing
+is normalized, or where every character is printable ASCII or one of those beyond that the normalizer leaves alone but
+for a change of case of the same length. Tokens then cover exactly the bytes of the text, and the units' ends are found
+by adding up the tokens' lengths. Any other unit is a text of its own.
 """
 
 from __future__ import annotations
@@ -25,71 +28,150 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Beside these a space may belong to a run of white space, which a byte-level tokenizer cuts by other rules.
-_RUNS = tuple(x for c in "\t\n\r\x0b\x0c " for x in (f" {c}".encode(), f"{c} ".encode()))
+_WHITE = "\t\n\x0b\x0c\r "
+#: Two white-space characters in a row are cut by other rules, but for an empty line between two words.
+_RUNS = tuple((a + b).encode() for a in _WHITE for b in _WHITE if a + b != "\n\n") + (b"\n\n\n", b"\n\n<")
 #: Beginnings of white space beyond ASCII in UTF-8.
-_WIDE = tuple(c.encode() for c in "\x85\xa0\u1680\u205f\u3000") + (b"\xe2\x80",)
+_WIDE = tuple(c.encode() for c in "\x85\xa0  　") + (b"\xe2\x80",)
 #: Between two characters that aren't white space, a space starts a new piece.
 _AT_SPACE = re.compile(r"(?<=\S)(?= \S)")
+_SPACED = re.compile(r" \S+")
+#: A word and the marks behind it are pieces of their own. One unit a line.
+_WORD_AND_MARKS = re.compile(rb"^((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?$&%#*]*)$", re.MULTILINE)
+#: Bytes of text that are taken apart at a time, and units that the library gets as one text.
+WINDOW, JOINED = 1 << 20, 4096
 
 
 class UnitTokenizer:
-    """Ids below 65536 as little-endian 16-bit integers. limit: most units kept in a worker's table."""
+    """Ids below 65536 as little-endian 16-bit integers. limit: most units kept in a worker's table.
+
+    Units are named by what stands between two spaces, and mean it with the space before it; a unit that begins with a
+    line break means it without the space, and one behind a space (a name that can't come out of a split) stands as it
+    is. When the table is half full, it becomes the old one, from which units come back as they are met."""
 
     def __init__(self, name: str, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.limit, self.known = Tokenizer.from_file(vocabulary(name)), limit, {}
+        self.model, self.limit = Tokenizer.from_file(vocabulary(name)), limit
         self.by_word = name == WORD_BPE  # drops white space
+        if self.by_word != (self.model.normalizer is not None):
+            raise ValueError(f"units of {name} are not known")
         tokens = self.model.get_vocab(with_added_tokens=True)
         added = {t.content for t in self.model.get_added_tokens_decoder().values()}
         self.sizes = np.zeros(max(tokens.values()) + 1, dtype=np.int64)
         for token, i in tokens.items():  # a byte of text is a character of a token
             self.sizes[i] = len(token) if token in added or not token.endswith("</w>") else len(token) - 4
-
-    def units(self, text: bytes) -> list[bytes]:
-        """Units of a text; joined by nothing (or by spaces, if the tokenizer drops them) they are the text."""
-        if self.by_word:
-            return text.split()  # at ASCII white space, a part of what is dropped
-        if text[:1] == b" " or text[-1:] == b" " or any(x in text for x in _RUNS) or any(x in text for x in _WIDE):
-            return [u.encode() for u in _AT_SPACE.split(text.decode())]
-        first, *rest = text.split(b" ")
-        return [first, *[b" " + x for x in rest]] if first else [b" " + x for x in rest]
-
-    def _learn(self, missing: list[bytes]) -> None:
-        for k in range(0, len(missing), 2048):
-            part = missing[k : k + 2048]
-            if self.by_word or all(u[:1] == b" " for u in part[1:]):
-                joined = (b" " if self.by_word else b"").join(part)
-                ids = np.array(self.model.encode(joined.decode(), add_special_tokens=False).ids, dtype="<u2")
-                ends = np.cumsum([len(u) for u in part])
-                reached = np.cumsum(self.sizes[ids])
-                at = np.searchsorted(reached, ends)
-                if len(ids) and at[-1] == len(ids) - 1 and (reached[at] == ends).all():
-                    raw, start = ids.tobytes(), 0
-                    for unit, end in zip(part, ((at + 1) * 2).tolist()):
-                        self.known[unit] = raw[start:end]
-                        start = end
-                    continue
-            for unit, got in zip(part, self.model.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)):
-                self.known[unit] = np.array(got.ids, dtype="<u2").tobytes()
-
-    def encode(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        self.plain = re.compile(("[" + "".join(re.escape(c) for c in self._unchanged()) + "]+") if self.by_word else r"\S+")
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.line = b"" if self.by_word else self._alone([b"\n"])[0]
+
+    def _unchanged(self) -> Iterator[str]:
+        """Characters below U+0100 whose normal form is as long, whatever stands beside them."""
+        for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x100))):
+            got = self.model.normalizer.normalize_str(c)
+            if len(got.encode()) == len(c.encode()) and self.model.normalizer.normalize_str(f"a{c}a") == f"a{got}a":
+                yield c
+
+    def _alone(self, texts: list[bytes]) -> list[bytes]:
+        found = self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u2").tobytes() for x in found]
+
+    def _joined(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units without white space, each behind a space, as one text."""
+        text = b" " + b" ".join(units)
+        ids = np.array(self.model.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u2")
+        ends, reached = np.cumsum([len(u) + (not self.by_word) for u in units]), np.cumsum(self.sizes[ids])
+        at = np.searchsorted(reached, ends)
+        if not len(ids) or at[-1] != len(ids) - 1 or (reached[at] != ends).any():
+            return self._alone([b" " + u for u in units])
+        raw, stops = ids.tobytes(), ((at + 1) * 2).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        known, odd = self.known, []
+        found = _WORD_AND_MARKS.findall(b"\n".join([u for u in missing if u[:1] != b"\n"]))
+        units, words, marks = [w + m for w, m in found], [w.lower() if self.by_word else w for w, _ in found], [m for _, m in found]
+        for unit in missing.difference(units):
+            if unit[:1] not in b" \n" and self.plain.fullmatch(unit.decode()):
+                units.append(unit)
+                words.append(unit)
+                marks.append(b"")
+            else:
+                odd.append(unit)
+        ids_of = {b"": b""}
+        every = [m for m in dict.fromkeys(marks) if m]
+        ids_of.update(zip(every, self._alone(every)))
+        of_word = {w: known.get(w) for w in words}
+        new = [w for w, ids in of_word.items() if ids is None]
+        for k in range(0, len(new), JOINED):
+            part = new[k : k + JOINED]
+            of_word.update(zip(part, self._joined(part)))
+        known.update([(u, of_word[w] + ids_of[m]) for u, w, m in zip(units, words, marks)])
+        for k in range(0, len(odd), JOINED):
+            part = odd[k : k + JOINED]
+            known.update(zip(part, self._alone([u[1:] if u[:1] == b" " else u if u[:1] == b"\n" or self.by_word else b" " + u for u in part])))
+
+    def _provide(self, units: set[bytes]) -> None:
+        missing = units.difference(self.known)
+        if missing and len(self.known) + len(missing) > self.limit // 2:
+            self.old, self.known, missing = self.known, {}, units
+        old = self.old
+        self.known.update([(u, old[u]) for u in missing if u in old])
+        if missing := missing.difference(old):
+            self._learn(missing)
+
+    def units(self, text: bytes) -> Iterator[list[bytes]]:
+        """The units of each window of a text, as if a line break stood before it where breaks count."""
+        if self.by_word:  # units end at ASCII white space, a part of what is dropped
+            yield from (w.split() for w in _windows(text))
+        elif any(x in text for x in _RUNS) or any(x in text for x in _WIDE) or text[-2:] == b"\n\n":
+            yield [b"\n"]
+            for window in _odd_windows(text.decode()):
+                yield [(u[1:] if _SPACED.fullmatch(u) else " " + u).encode() for u in _AT_SPACE.split(window)]
+        else:
+            for k, window in enumerate(_windows(text)):
+                yield ((b"\n" if not k else b"") + window).replace(b"\n", b" \n").split(b" ")[1:]
+
+    def encode(self, texts: Iterable[bytes], end: bytes = b"") -> Iterator[np.ndarray]:
+        """Ids of each text, and end behind them."""
+        group: list[list[list[bytes]]] = []
+        size = 0
         for text in texts:
-            units, known = self.units(text), self.known
-            if missing := [u for u in dict.fromkeys(units) if u not in known]:
-                if len(known) + len(missing) > self.limit:
-                    known.clear()
-                    missing = list(dict.fromkeys(units))
-                # units that don't begin with a space can't stand behind another one
-                spaced = [u for u in missing if self.by_word or u[:1] == b" "]
-                self._learn(spaced)
-                if len(spaced) < len(missing):
-                    for u in missing:
-                        if not self.by_word and u[:1] != b" ":
-                            self._learn([u])
-            yield np.frombuffer(b"".join([known[u] for u in units]), dtype="<u2")
+            group.append(list(self.units(text)))
+            size += len(text)
+            if size > WINDOW or len(group) >= 1000:
+                yield from self._encode(group, end)
+                group, size = [], 0
+        yield from self._encode(group, end)
+
+    def _encode(self, group: list[list[list[bytes]]], end: bytes) -> Iterator[np.ndarray]:
+        units: set[bytes] = set()
+        for windows in group:
+            units.update(*windows)
+        self._provide(units)
+        get, line = self.known.__getitem__, len(self.line)
+        for windows in group:
+            ids = b"".join(map(get, windows[0])) if len(windows) == 1 else b"".join([b"".join(map(get, w)) for w in windows])
+            yield np.frombuffer(ids[line:] + end, dtype="<u2")
+
+
+def _windows(text: bytes) -> Iterator[bytes]:
+    """Cuts before single spaces."""
+    at = 0
+    while len(text) - at > WINDOW and (found := text.find(b" ", at + WINDOW)) > 0:
+        yield text[at:found]
+        at = found
+    yield text[at:]
+
+
+def _odd_windows(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > WINDOW and (found := _AT_SPACE.search(text, at + WINDOW)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 def unit_tokenizer(name: str) -> UnitTokenizer:
