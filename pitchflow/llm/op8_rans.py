@@ -1,6 +1,6 @@
 """Token ids in files of interleaved static range asymmetric numeral systems (rANS).
 
-Documents are range-sorted by id. A task encodes its range segment by segment. A segment holds whole documents, about
+Texts become ids first, which are stored, and range-sorted by the documents' ids. A task encodes its range segment by segment. A segment holds whole documents, about
 SEGMENT ids, and one static frequency table that all of its blocks share. A block holds up to BLOCK ids, dealt over
 LANES interleaved coder states, and can be decoded without any other: the directory of a segment is its checkpoints,
 with the first id's place, the number of ids, the word offset of each block, and the crc32 of its ids.
@@ -13,7 +13,8 @@ A segment (a row of the written Parquet files, payload column) is, little-endian
     u32 words of all blocks; each block's are the LANES final states (two words each), then the emitted words
 
 Cases: null or empty text is the end id alone; repeated rows are written one after another; a null doc_id sorts first
-and is flagged in the row; an empty table gives an empty file set and no rows. A wrong checksum raises an error.
+and is flagged in the row; an empty table gives an empty file set and no rows; other columns, whatever their names, are
+not read. A wrong checksum raises an error.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ SCALE = 20
 LANES = 64
 BLOCK = 1 << 14
 SEGMENT = 1 << 20
-#: Bytes of text in one range of documents.
-RANGE_BYTES = 32 << 20
+#: Ids in one range of documents, and most ranges: beyond, ranges grow, which tasks read as streams.
+RANGE_IDS, MOST_RANGES = 8 << 20, 10_000
 _LOW = np.uint64(1 << 31)
 _HEAD = b"RNS1"
 
@@ -147,11 +148,20 @@ def unpack_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, sizes, ids
 
 
+def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tokenizer, end = unit_tokenizer(WORD_BPE), np.array([END_ID], dtype="<u2").tobytes()
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1000):
+            batch = whole.slice(k, 1000)
+            ids = [x.tobytes() for x in tokenizer.encode((t.as_py() or b"" for t in batch.column("text")), end)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+
 _FILE = "part int, segment int, local_start long, n_tokens long, no_id boolean, payload binary"
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokenizer, part = unit_tokenizer(WORD_BPE), TaskContext.get().partitionId()
+    part = TaskContext.get().partitionId()
     ids: list[int] = []
     docs: list[np.ndarray] = []
     held = start = segment = 0
@@ -162,13 +172,13 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unknown = False
     for batch in batches:
         known = batch.column("doc_id").to_pylist()
-        for doc_id, got in zip(known, tokenizer.encode(t.as_py() or b"" for t in batch.column("text"))):
+        for doc_id, got in zip(known, batch.column("ids")):
             if docs and (held >= SEGMENT or unknown != (doc_id is None)):
                 yield row(unknown)
                 start, segment, ids, docs, held = start + held, segment + 1, [], [], 0
             unknown = doc_id is None
             ids.append(doc_id or 0)
-            docs.append(np.append(got, np.uint16(END_ID)))
+            docs.append(np.frombuffer(got.as_py(), dtype="<u2"))
             held += len(docs[-1])
     if docs:
         yield row(unknown)
@@ -177,8 +187,9 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_ids(docs: DataFrame) -> DataFrame:
     """Writes the files and returns the table of segments read from them."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    ranges = rows.repartitionByRange(max(1, size // RANGE_BYTES), "doc_id").sortWithinPartitions("doc_id")
+    ids = stored(rows.mapInArrow(_tokenize, "doc_id long, ids binary"), "document-ids")
+    total = ids.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 2
+    ranges = ids.repartitionByRange(min(max(1, total // RANGE_IDS), MOST_RANGES), "doc_id").sortWithinPartitions("doc_id")
     return stored(ranges.mapInArrow(_write, _FILE), "token-ids")
 
 
