@@ -18,13 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names; a temporary one only where none is named and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pitchflow-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitchflow-"))
     return sc.getCheckpointDir()
 
 
+def unused(docs: DataFrame) -> str:
+    """The beginning of names that docs doesn't use, for columns that come and go inside an operator."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint, so that lost executors never repeat what is above."""
     checkpoint_dir(df.sparkSession)

@@ -5,10 +5,13 @@ are learned one after another: a rule grows by the threshold condition that gain
 no earlier rule covers, and is pruned back on the last third. The list becomes one ordered CASE expression.
 
 Words in repeated windows: each 3-word window's hash and place are packed into one long (as many low bits as places
-need), the longs are sorted, and equal neighbours mark the windows found twice or more.
+need) and the longs are sorted. Windows with an equal neighbour may be found twice; these, mostly few, are sorted by
+their words, and equal neighbours are the windows found twice or more, whatever their hashes.
 
 Cases: null and empty text have no words and fail the base rule; repeated rows are repeated; without labelled rows the
-list is empty and the base rule alone decides; a document with several labels counts with its lowest quality.
+list is empty and the base rule alone decides; a document with several labels counts with its lowest quality; rows that
+share a doc_id all count in learning; a null doc_id has no label; an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import WORD, table
+from pitchflow.llm.common import WORD, stored, table
 
 #: Labelled rows from which rules are learned, about.
 SAMPLE = 10_000
@@ -36,9 +39,11 @@ element_at(transform(array(filter(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+
           coalesce(shiftleft(shiftrightunsigned(xxhash64(w[i], w[i + 1], w[i + 2]), b), b) | cast(i as bigint), 0L)))), s ->
         element_at(transform(array(sort_array(transform(
             filter(s, (x, j) -> shiftrightunsigned(x, b) = shiftrightunsigned(get(s, j - 1), b) OR shiftrightunsigned(x, b) = shiftrightunsigned(get(s, j + 1), b)),
-            x -> coalesce(x & (shiftleft(1L, b) - 1L), 0L)))), p ->
-          CASE WHEN size(p) = 0 THEN 0L ELSE
-            aggregate(sequence(0, size(p) - 1), 0L, (sum, k) -> sum + least(3L, coalesce(get(p, k + 1) - p[k], 3L))) END), 1)), 1)), 1) END)), 1)
+            x -> element_at(transform(array(cast(x & (shiftleft(1L, b) - 1L) as int)), i -> named_struct('t', concat_ws(' ', w[i], w[i + 1], w[i + 2]), 'i', i)), 1)))), c ->
+          element_at(transform(array(sort_array(transform(
+              filter(c, (x, j) -> x.t <=> get(c, j - 1).t OR x.t <=> get(c, j + 1).t), x -> x.i))), p ->
+            CASE WHEN size(p) = 0 THEN 0L ELSE
+              aggregate(sequence(0, size(p) - 1), 0L, (sum, k) -> sum + least(3, coalesce(get(p, k + 1) - p[k], 3))) END), 1)), 1)), 1)), 1) END)), 1)
 """
 
 #: What rules look at.
@@ -143,13 +148,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[C
     n = rows.count()
     if n > sample:
         rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1_000_000)) < math.ceil(1e6 * sample / n))
-    # about sample rows of two numbers, whatever the input
-    joined = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    learned = statistics(joined).filter(~base_failed()).select("quality", *features()).orderBy("doc_id").collect()
-    if not learned:
-        return []
-    values = np.array([tuple(r) for r in learned], dtype=float)
-    return learn_list(values[:, 1:], values[:, 0] == 0)
+    # about sample rows of two numbers, whatever the input; the texts they meet are written before anything is counted,
+    # for the optimizer would count the whole corpus first
+    rows = rows.select(F.col("doc_id").alias("labelled"), "quality")
+    joined = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("labelled")).select("quality", "text")
+    counted = statistics(stored(joined, "quality-sample")).select("quality", "n_words", "n_repeat_words", *[f.alias(f"feature{i}") for i, f in enumerate(features())])
+    values = np.array([tuple(r) for r in counted.collect()], dtype=float).reshape(-1, 3 + len(FEATURES))
+    values = values[(values[:, 1] >= 50) & (100 * values[:, 2] <= 50 * values[:, 1])]
+    values = values[np.lexsort(values.T)]  # the same order in every run
+    return learn_list(values[:, 3:], values[:, 0] == 0) if len(values) else []
 
 
 def verdict(rules: list[list[Condition]]) -> Column:
