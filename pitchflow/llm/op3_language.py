@@ -2,15 +2,18 @@
 
 A word that training has seen scores by its log frequency in each language. An unseen word backs off to its character
 n-grams, the longest first: the mean log frequency of its known 4-grams, else of its 3-grams, and so on. A text's
-language is the one with the largest sum over all of its words.
+language is the one with the largest mean over all of its words, and its score the logistic share of that mean, so that
+a long text is no surer than its words: a text of two languages in equal parts scores near one half.
 
-The model is fitted on a sample of about SAMPLE labelled rows, counted by Spark, and keeps the WORDS most frequent
-words and the GRAMS most frequent n-grams of each order for every language; these tables are what tasks receive. The
-sample goes by document, not by text alone, so that many copies of one text don't enter or stay out as a whole. N-grams
-come from whole words however long, in learning by pieces of PIECE letters.
+The model is fitted on a sample of about SAMPLE labelled rows, counted by Spark. Every word and n-gram that the sample
+shows at least SEEN times in a language is known, however many there are; rarer ones back off like unseen ones. So the
+tables, which tasks receive, are bounded by the sample. The sample goes by document, not by text alone, so that many
+copies of one text don't enter or stay out as a whole. N-grams come from whole words however long, in learning by
+pieces of PIECE letters.
 
 Cases: null text, and text without a letter, give `und` with score 0; ties go to the language first in order; with no
-labelled rows every text is `und`; repeated rows are repeated; texts are read whole.
+labelled rows every text is `und`; repeated rows are repeated; texts are read whole; an empty table gives no rows;
+other columns are kept by keep_identified, whatever their names, and not read by identify.
 """
 
 from __future__ import annotations
@@ -21,25 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchflow.llm.common import fold, held, table
 
 SAMPLE = 20_000
-WORDS = 20_000
-GRAMS = 5_000
+#: Least count of a word or n-gram of a language that is known.
+SEEN = 5
 ORDERS = (4, 3, 2, 1)
 #: Places of a word whose n-grams are taken at a time.
 PIECE = 256
 FOLDS, HELD_OUT = 4, 2
-MIN_SCORE = 0.5
+#: A text in two languages in equal parts scores about one half, one of three or four less.
+MIN_SCORE = 0.45
 #: Words whose scores a worker keeps.
 KEPT = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
+def fit(labelled: DataFrame, sample: int = SAMPLE, seen: int = SEEN) -> dict:
     """Model from (doc_id, text, lang). Returns languages and, for words and each n-gram order, log frequencies."""
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     n = rows.count()
@@ -53,11 +57,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     own = "IF(p > 0, array(), array(named_struct('order', 0, 'item', item)))"
     parts = F.expr(f"element_at(transform(array(substring(concat('^', item, '$'), p * {PIECE} + 1, {PIECE + max(ORDERS) - 1})), m -> concat({own}, {grams})), 1)")
     items = pieces.select("lang", "n", F.explode(parts).alias("part")).groupBy("lang", "part.order", "part.item").agg(F.sum("n").alias("n"))
-    totals = items.groupBy("lang", "order").agg(F.sum("n").alias("total"))
-    order = Window.partitionBy("lang", "order").orderBy(F.desc("n"), "item")
-    best = items.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(WORDS, GRAMS))
-    best = best.filter((F.col("place") <= GRAMS) | (F.col("order") == 0) & (F.col("place") <= WORDS))
-    found = best.join(totals, ["lang", "order"]).collect()  # at most WORDS and GRAMS items of a language and order
+    totals = items.groupBy("lang", "order").agg(F.sum("n").alias("total"))  # with the rarer ones
+    found = items.filter(F.col("n") >= seen).join(totals, ["lang", "order"]).toArrow().to_pylist()
     langs = sorted({r["lang"] for r in found})
     model: dict = {"langs": langs, "tables": {}}
     for order in (0, *ORDERS):
@@ -109,8 +110,9 @@ class Scorer:
                     self.rows[len(known)] = self.back_off(w)
                     known[w] = len(known)
             total += self.rows[[known[w] for w in part]].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        mean = total / len(words)
+        best = int(np.argmax(mean))
+        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
 def _predictor(model):
