@@ -8,7 +8,8 @@ and prunes from the first node on. Queries come in groups of bounded size; the k
 
 Cases: a vector that is null, empty, or holds a null or non-finite component takes no part, nor does a null id; a
 query meets only vectors with as many components; repeated rows count once, and of different vectors under one id the
-smallest counts (as arrays compare); equal scores rank the smaller id first; fewer than k candidates give all of them.
+smallest counts (as arrays compare); equal scores rank the smaller id first; fewer than k candidates give all of them; an
+empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ token, with the last token and relative count at each place in it, and a transit
 of emitted tokens. States are compiled when first met and kept in a hash table that NumPy reads for all lanes.
 
 Cases: null and empty texts have no bytes and no tokens; the vocabulary's special string counts as one token wherever
-it stands, as in the library; repeated rows are repeated; texts of any length are processed whole, in windows.
+it stands, as in the library; repeated rows are repeated; texts of any length are processed whole, in windows;
+an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ least.
 
 Cases: null text stays null, empty text stays empty; blank lines are never touched; a null source is a site of its
 own; rows with a null doc_id count as carriers but keep their lines; rows that share a doc_id are one document; a
-document may lose all of its lines and stays with empty text; other columns are kept, n_chars is counted anew.
+document may lose all of its lines and stays with empty text; other columns are kept, whatever their names, and n_chars
+is counted anew; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import WORD, table
+from pitchflow.llm.common import WORD, stored, table, unused
 
 MIN_SITES = 5
 MIN_WORDS = 5
@@ -48,13 +49,13 @@ def lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return split.filter(words >= min_words).select("doc_id", "site", line_key(F.col("line")).alias("key"), (words < MIN_WORDS).alias("short"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share: float | None = None) -> DataFrame:
-    """(key, keeper) of the lines that at least min_sites sites carry; with short_share, of short ones on that share of all sites too."""
-    found, least, short = lines(docs), F.lit(min_sites), []
+def boilerplate(found: DataFrame, sites: DataFrame, min_sites: int = MIN_SITES, short_share: float | None = None) -> DataFrame:
+    """(key, keeper) of the lines in found that at least min_sites sites carry; with short_share, of short ones on that
+    share of all sites (site) too."""
+    least, short = F.lit(min_sites), []
     if short_share is not None:
-        all_sites = docs.filter("text is not null").select(site(F.col("source")).alias("site")).distinct().count()
-        found, short = lines(docs, 1), [F.max("short").alias("short")]
-        least = F.when(F.col("short"), max(min_sites, math.ceil(short_share * all_sites))).otherwise(min_sites)
+        short = [F.max("short").alias("short")]
+        least = F.when(F.col("short"), max(min_sites, math.ceil(short_share * sites.distinct().count()))).otherwise(min_sites)
     sketched = found.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min("doc_id").alias("keeper"), *short)
     sized = sketched.select("key", "keeper", F.hll_sketch_estimate("sketch").alias("sites"), least.alias("least")).filter(F.col("sites") >= NEAR[0] * F.col("least"))
     near = sized.filter(F.col("sites") <= NEAR[1] * F.col("least"))
@@ -63,22 +64,28 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share: float
     return sized.filter(F.col("sites") > NEAR[1] * F.col("least")).select("key", "keeper").unionByName(exact.select("key", "keeper"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share: float | None = None) -> DataFrame:
-    """docs with the texts that remain, and columns n_lines and n_removed."""
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share: float | None = None, counts: bool = True) -> DataFrame:
+    """docs with the texts that remain; with counts, also columns n_lines and n_removed, in place of any of these names.
+
+    Every line's hash is written once, and what documents lose before it meets them, so that its size is known: texts are
+    only shuffled where it is too large to broadcast."""
     min_words = MIN_WORDS if short_share is None else 1
+    found = stored(lines(docs, min_words), "line-keys")
     # a line may stand in any share of all documents: its key meets them in SALTS parts
-    parted = boilerplate(docs, min_sites, short_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = lines(docs, min_words).select("doc_id", "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    parted = boilerplate(found, docs.select(site(F.col("source")).alias("site")), min_sites, short_share).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = found.select("doc_id", "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     lost = own.join(parted, ["key", "salt"]).filter("doc_id <> keeper")
-    gone = lost.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("key").alias("_gone"))
-    joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left")
-    every = F.split("text", "\n")
-    kept = F.when(F.col("_gone").isNull(), every).otherwise(F.filter(every, lambda x: ~(F.array_contains("_gone", line_key(x)) & (F.regexp_count(x, F.lit(WORD)) >= min_words))))
-    out = joined.withColumn("_kept", kept).withColumn("n_lines", F.size(every)).withColumn("n_removed", F.size(every) - F.size("_kept"))
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")))
+    u = unused(docs)
+    gone = stored(lost.groupBy(F.col("doc_id").alias(f"{u}doc")).agg(F.collect_set("key").alias(f"{u}gone")), "lost-lines")
+    every, lost_here = F.split("text", "\n"), F.col(f"{u}gone")
+    stays = lambda x: ~(F.array_contains(lost_here, line_key(x)) & (F.regexp_count(x, F.lit(WORD)) >= min_words))
+    out = docs.join(gone, F.col("doc_id") == F.col(f"{u}doc"), "left").withColumn(f"{u}kept", F.when(lost_here.isNotNull(), F.filter(every, stays)))
+    new = {"text": F.when(lost_here.isNull(), F.col("text")).otherwise(F.array_join(f"{u}kept", "\n"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"))
+        new["n_chars"] = F.when(lost_here.isNull(), F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
+    n_lines = F.coalesce(F.size(F.when(F.col("text").isNotNull(), every)), F.lit(0))
+    more = {"n_lines": F.greatest(n_lines, F.lit(0)), "n_removed": F.when(lost_here.isNull(), 0).otherwise(n_lines - F.size(f"{u}kept"))} if counts else {}
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns if c not in more], *[c.alias(name) for name, c in more.items()])
 
 
 def op7_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ Documents of one source and length are dealt to 256 buckets by that hash; bucket
 one where the number is reached, and only within that one documents are ranked, so that no group is ordered as a whole.
 
 Cases: null text has no words; documents without words are taken 0 times a word; a null source comes last in order;
-repeated rows count each; ties in the hash go by doc_id; an empty table gives no rows.
+repeated rows count each; ties in the hash go by doc_id; an empty table gives no rows; other columns are kept by
+mixed_rows, whatever their names. Where only documents are left that are longer than what the budget lacks beyond four
+times BUDGET, the longest that fit are taken first, and dynamic programming fills the rest.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitchflow.llm.common import cut, n_words, table
+from pitchflow.llm.common import cut, n_words, table, unused
 
 REPEATS = 3
 SEED = 9
@@ -110,16 +112,14 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    key = ["doc_id", "sid", "size"]
-    own = mix(docs).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    own = own.filter("copies > 0").select(*[F.col(c).alias(f"_{c}") for c in own.columns])
-    rows = docs.withColumn("_sid0", source_key(F.col("source"))).withColumn("_size0", n_words(F.col("text")))
-    rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_sid0") == F.col("_sid")) & (F.col("_size0") == F.col("_size")))
+    u = unused(docs)
+    own = mix(docs).groupBy("doc_id", "sid", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).filter("copies > 0")
+    own = own.select(*[F.col(c).alias(f"{u}{c}") for c in own.columns])
+    same = F.col("doc_id").eqNullSafe(F.col(f"{u}doc_id")) & (source_key(F.col("source")) == F.col(f"{u}sid")) & (n_words(F.col("text")) == F.col(f"{u}size"))
     # repeated rows of a document share its copies
-    place = F.row_number().over(Window.partitionBy("_doc_id", "_sid", "_size").orderBy(F.xxhash64("text")))
-    share = F.expr("cast((_copies + _rows - _place) div _rows as int)")
-    rows = rows.withColumn("_place", place).withColumn("_share", share).filter("_share > 0")
-    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, _share)"))).select(docs.columns)
+    place = F.row_number().over(Window.partitionBy(f"{u}doc_id", f"{u}sid", f"{u}size").orderBy(F.xxhash64("text")))
+    rows = docs.join(own, same).withColumn(f"{u}place", place).withColumn(f"{u}share", F.expr(f"cast(({u}copies + {u}rows - {u}place) div {u}rows as int)"))
+    return rows.filter(f"{u}share > 0").withColumn(f"{u}copy", F.explode(F.expr(f"sequence(1, {u}share)"))).select(docs.columns)
 
 
 def op9_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@ from __future__ import annotations
 import pytest
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, key string, stem string, extra int"
+#: Names that operators use inside.
+INSIDE = "_doc _gone _kept _doc_id _sid _size _copies _rows _place _share _copy __doc _SIZE sid site size copies rows n_lines n_removed labelled quality counted labels score lang_pred ids fp node root component_id bucket h size0 patterns shown".split()
 
 
 @pytest.fixture(scope="session")
@@ -28,3 +30,13 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], DOCUMENTS)
+
+
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """The same rows with columns of names that operators use inside."""
+    from pyspark.sql import functions as F
+
+    lower = {c.lower() for c in odd.columns}
+    names = [n for k, n in enumerate(INSIDE) if n.lower() not in lower | {x.lower() for x in INSIDE[:k]}]
+    return odd.select("*", *[F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, registry, shingles
 from pitchflow.llm.common import table
-from pitchflow.llm.tokens import BYTE_BPE, WORD_BPE, unit_tokenizer, vocabulary
+from pitchflow.llm import tokens
+from pitchflow.llm.tokens import BYTE_BPE, WORD_BPE, UnitTokenizer, unit_tokenizer, vocabulary
 
 SMALL = "/root/testdata/sf0.001"
 TRICKY = ["", " ", "  a  b \n\n c'll don't 'tis 're' <|endoftext|> x<|endoftext|>y <|startoftext|>", "x 　\xa0y \x85 z", "a" * 3000, "-" * 700, " " * 300, "12 345 6", "''s 'S It'S it's 'l 'r", "é́ Σ ΑΣ İ 漢字😀", "tail \n", "\n\n lead"]
@@ -103,6 +104,24 @@ def test_units(name):
     assert got == ids_of(name, values)
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_units_share_a_table(name):
+    """Random texts of characters that normalizers lengthen, shorten, drop and join, through one small table."""
+    rng = np.random.default_rng(21)
+    alphabet = [*"ab cD.,'!? \n\t\r\x0b\x0c", *"\u0130\x85\x1c\x1d\x1e\x1f\xa0\u0301\u00e9\u00c9\u00df\u00ff\u03a3\u03c2\u6f22\U0001f600\u3000\u2003\u200b\u180e\u2019\u201c\u00b5\u212a\u1e9e\ufb01\u00d7\u00f7\u00aa<>|", "'s", "'re", " the", "Hello", "12", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\n\n", "  ", "$$$", "foo\x85", "</w>", "/w"]
+    values = ["\u0130\x85 \u0130", "\u0130\x85", *("".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(0, 14)))) for _ in range(20_000))]
+    got = [x.tolist() for x in UnitTokenizer(name, limit=3000).encode(v.encode() for v in values)]
+    assert got == ids_of(name, values)
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_units_in_windows(name, monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", 700)
+    monkeypatch.setattr(tokens, "JOINED", 5)
+    values = [" ".join(texts().values()), "a  b" * 900, "a b\n" * 900, *TRICKY]
+    assert [x.tolist() for x in UnitTokenizer(name).encode(v.encode() for v in values)] == ids_of(name, values)
+
+
 def test_counts_odd(odd, empty):
     got = {r.doc_id: r for r in op4_tokens.with_token_counts(odd).collect()}
     assert (got[2].n_bytes, got[2].n_tokens, got[2].over_limit) == (0, 0, False)
@@ -254,6 +273,18 @@ def test_packing(spark):
     assert sum(length.values()) > 0.98 * (sequences - 1) * op6_packing.LENGTH
 
 
+def test_piece_sums():
+    rng = np.random.default_rng(3)
+    sizes = np.array([1, 16, 17, 2048, 5000, 15, 33])
+    ids = rng.integers(0, 1 << 16, int(sizes.sum())).astype("<u2")
+    sums, blocks = op6_packing.block_sums(ids, sizes)
+    base, begin = np.cumsum(blocks) - blocks, np.cumsum(sizes) - sizes
+    pieces = [(0, 0, 1), (1, 0, 16), (2, 0, 17), (2, 16, 1), (3, 0, 2048), (3, 32, 160), (4, 2048, 2048), (4, 4096, 904), (5, 0, 15), (6, 16, 17)]
+    got = op6_packing.piece_sums(sums, np.array([base[d] + at // 16 for d, at, _ in pieces]), np.array([n for _, _, n in pieces]))
+    assert got.tolist() == [crc(ids[begin[d] + at : begin[d] + at + n]) for d, at, n in pieces]
+    assert op6_packing.piece_sums(sums, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)).tolist() == []
+
+
 def test_packing_odd(odd, empty):
     rows = rows_of(op6_packing.pack(odd))
     own = {r.doc_id: r.text or "" for r in odd.collect()}
@@ -453,19 +484,182 @@ def test_language(spark, odd, empty):
     assert kept.columns == odd.columns and {2, 3, 6, 8}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def brute_language(labelled, values, seen):
+    """Every count by hand, and every text's score."""
+    counts = defaultdict(lambda: defaultdict(Counter))
+    for text, lang in labelled:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            counts[lang][0][w] += 1
+            m = f"^{w}$"
+            for k in (4, 3, 2, 1):
+                for i in range(max(1, len(m) - k + 1)):
+                    counts[lang][k][m[i : i + k]] += 1
+    langs = sorted(x for x in counts if any(n >= seen for c in counts[x].values() for n in c.values()))
+    known = {k: {x for lang in langs for x, n in counts[lang][k].items() if n >= seen} for k in range(5)}
+
+    def value(k, item, lang):
+        own = [n for n in counts[lang][k].values() if n >= seen]
+        total = sum(counts[lang][k].values()) if own else 1.0
+        n = counts[lang][k][item]
+        return math.log((n if n >= seen else 0) + 0.5) - math.log(total + len(known[k]) * 0.5)
+
+    def word(w, lang):
+        if w in known[0]:
+            return value(0, w, lang)
+        m = f"^{w}$"
+        for k in (4, 3, 2, 1):
+            own = [value(k, g, lang) for i in range(len(m) - k + 1) if (g := m[i : i + k]) in known[k]]
+            if own:
+                return sum(own) / len(own)
+        return 0.0
+
+    out = []
+    for text in values:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not words or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = [sum(word(w, lang) for w in words) / len(words) for lang in langs]
+        best = max(range(len(langs)), key=lambda i: (mean[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(x - mean[best]) for x in mean)))
+    return out
+
+
+def test_language_by_brute_force(spark, odd):
+    docs = table(spark, SMALL, "documents").filter("length(text) < 3000").limit(60).select("doc_id", "text", "lang").unionByName(odd.filter("doc_id <> 4").select("doc_id", "text", "lang"))
+    rows = docs.collect()
+    model = op3_language.fit(docs, seen=3)
+    want = brute_language([(r.text, r.lang) for r in rows if r.text and r.lang], [r.text for r in rows], 3)
+    got = [op3_language.Scorer(model).predict(r.text) for r in rows]
+    assert [g[0] for g in got] == [w[0] for w in want] and all(math.isclose(g[1], w[1], rel_tol=1e-9) for g, w in zip(got, want))
+
+
+def test_stage_drops_mixed_texts(spark):
+    docs = table(spark, SMALL, "documents")
+    en, de, fr, es = ([r.text for r in docs.filter(f"lang = '{x}' and length(text) between 400 and 5000").limit(3).collect()] for x in ("en", "de", "fr", "es"))
+    parts = [" ".join(x.split()[:60]) for x in (en[0], de[0], fr[0], es[0])]
+    mixed = spark.createDataFrame([(10_000_000, "\n".join(parts), "en", "a", 1), (10_000_001, en[1], "en", "a", 1)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.unionByName(mixed), SMALL).collect()}
+    assert 10_000_000 not in kept and 10_000_001 in kept
+
+
 # --- toxicity
 
 
-def test_clause_automaton():
-    g = op2_toxicity.Grammar({"idiot": op2_toxicity.INSULT, "fool": op2_toxicity.SLIGHT})
-    names = lambda text: {op2_toxicity.PATTERNS[i] for i, n in enumerate(g.patterns(text)) if n}
-    assert names("You idiot.") == {("insult", True, "plain")}
-    assert names("That is not an idiot!") == {("insult", False, "negated")}
-    assert names("She said he was an idiot.") == {("insult", True, "reported")}
-    assert names("A fool.") == {("slight", False, "plain")} and names("fool, foolish fools") == {("insult", False, "plain")}
-    assert names("I will kill you") == {("threat", True, "plain")}
-    assert names("You and they said not this.") == names("") == names(None) == set()
-    assert sum(g.patterns("idiot. " * 9)) == op2_toxicity.CAP
+def brute_clauses(text, kinds):
+    """The grammar by its rules, clause by clause, without any transducer. kinds: word -> symbol."""
+    found = []
+    for sentence in re.split(r"[.!?;\n]+", text.lower()):
+        tokens = [t if t[0].isalpha() else "quote" for t in re.findall(r"[^\W\d_]+(?:'t\b)?|[:\"]", sentence)]
+        kind = [t if t == "quote" else kinds.get(t) for t in tokens]
+        kind = [k for k in kind if k]
+        # reported speech: behind a verb of saying, or before one behind a quotation mark; where else a mark stands, a clause ends
+        clauses, own, verb, quoted, negated = [], [], False, False, False
+        for k in kind:
+            if k == "negation":
+                negated = True
+            elif k == "report":
+                if own and any(x[0] in op2_toxicity.SAID for x in own) and not verb:
+                    own.append(("back", "reported"))
+                    if quoted:
+                        clauses.append(own)
+                        own = []
+                verb, quoted = True, False
+            elif k == "quote":
+                if verb:
+                    continue
+                if own and any(x[0] in op2_toxicity.SAID for x in own):
+                    quoted = True
+                elif not quoted:
+                    clauses.append(own)
+                    own = []
+            elif k in op2_toxicity.SAID:
+                if quoted:
+                    clauses.append(own)
+                    own, quoted = [], False
+                own.append((k, *(["negated"] if negated else []), *(["reported"] if verb else [])))
+            elif not quoted:
+                own.append((k,))
+        clauses.append(own)
+        for own in clauses:
+            aims = [i for i, x in enumerate(own) if x[0] == "target"]
+            said, graver = [], False
+            for i, x in enumerate(own):
+                if x[0] in op2_toxicity.SAID:
+                    before = any(a < i for a in aims)
+                    # a target behind what was said means it if none stood before the first thing said
+                    aimed = before
+                    name = x[0]
+                    if name in ("slight", "slur"):
+                        name, graver = ("slur" if name == "slight" else "insult") if graver else name, True
+                    said.append([i, name, aimed, set(x[1:])])
+            if not said:
+                continue
+            yield_back = [i for i, x in enumerate(own) if x == ("back", "reported")]
+            late = bool([a for a in aims if a > said[0][0]]) and not any(a < said[0][0] for a in aims)
+            kept = []
+            for i, name, aimed, how in said:
+                if name == "threat" and not aimed and not (late and any(a > i for a in aims)):
+                    continue
+                kept.append((i, name, aimed, how))
+            if kept:
+                found.append((max((k[1] for k in kept), key=op2_toxicity.SAID.index), any(k[2] for k in kept) or late, kept, yield_back))
+    return found
+
+
+def test_composition():
+    """A composed transducer writes what its parts write one after another, on random symbols."""
+    rng = np.random.default_rng(6)
+    alphabet = [*((s,) for s in op2_toxicity.SAID), *"abc"]
+    one = op2_toxicity.Transducer(0, lambda s, x: ((s + 1) % 3, (x, "a") if s == 1 and x != "b" else (x,)), alphabet)
+    two = op2_toxicity.Transducer("", lambda s, x: (x if x in ("a", "b") else s, () if x == s else (x, "c") if x == "a" else (x,)), sorted(one.writes(), key=str))
+    both = op2_toxicity.compose(one, two)
+    for _ in range(200):
+        text = [alphabet[i] for i in rng.integers(0, len(alphabet), 12)]
+        assert both.run(text)[1] == two.run(one.run(text)[1])[1]
+
+
+def test_grammar():
+    g = op2_toxicity.Grammar({"idiot": op2_toxicity.INSULT, "fool": op2_toxicity.SLIGHT, "nasty": op2_toxicity.SLUR})
+    for text, want in {
+        "You idiot.": [("insult", "aimed", "plain")],
+        "That is not an idiot!": [("insult", "", "negated")],
+        "She said he was an idiot.": [("insult", "aimed", "reported")],
+        "He said: \"you idiot\".": [("insult", "aimed", "reported")],
+        "\"You idiot\", he said.": [("insult", "aimed", "reported")],
+        "A fool.": [("slight", "", "plain")],
+        "fool, foolish fools": [("slur", "", "plain")],
+        "nasty, nasty": [("insult", "", "plain")],
+        "idiots, all of you": [("insult", "aimed", "plain")],
+        "I will kill you": [("threat", "aimed", "plain")],
+        "Ich töte dich. Je te tuerai. Voy a matarte, matará a ellos": [("threat", "aimed", "plain")] * 3,
+        "They hurt him; don't hurt him": [("threat", "aimed", "plain"), ("threat", "aimed", "negated")],
+        "Kill the process with this command": [],
+        "You and they said not this.": [],
+        "idiot. " * 9: [("insult", "", "plain")] * 9,
+        "": [],
+    }.items():
+        assert g.patterns(text) == want, text
+    assert g.patterns(None) == [] and g.counts("You idiot. Not a fool") == [1, 0, 1, 0, 1, 1, 0]
+
+
+def test_grammar_by_brute_force():
+    """What was said and whether it was aimed, in random clauses, by rules without transducers."""
+    rng = np.random.default_rng(12)
+    kinds = {"idiot": "insult", "fool": "slight", "nasty": "slur", "you": "target", "kill": "threat", "not": "negation", "said": "report"}
+    g = op2_toxicity.Grammar({"idiot": op2_toxicity.INSULT, "fool": op2_toxicity.SLIGHT, "nasty": op2_toxicity.SLUR})
+    words = [*kinds, "table", "table", ".", "."]
+    for _ in range(3000):
+        text = " ".join(words[i] for i in rng.integers(0, len(words), int(rng.integers(1, 14))))
+        assert [(w, bool(a)) for w, a, _ in g.patterns(text)] == [(w, a) for w, a, _, _ in brute_clauses(text, kinds)], text
+
+
+def test_weights_follow_labels():
+    """Labels move every weight that they show, in all patterns; signs stay the grammar's."""
+    none, insult, denied, aimed = (0,) * 7, (0, 0, 1, 0, 0, 0, 0), (0, 0, 1, 0, 0, 1, 0), (0, 0, 1, 0, 1, 0, 0)
+    w = dict(zip(("base", *op2_toxicity.SHOWN), op2_toxicity.learn_weights([(none, 500, 5), (insult, 100, 90), (denied, 100, 2), (aimed, 50, 40)])))
+    assert w["base"] < -3 and w["insult"] > 4 and w["negated"] < -4 and w["aimed"] == 0 and w["threat"] == 2.5
+    assert op2_toxicity.learn_weights([]) == [-2.0, *op2_toxicity.PRIOR]
 
 
 def test_toxicity(spark, odd, empty):
@@ -494,7 +688,7 @@ def test_long_runs(spark):
     """A run of letters is learned and judged by all of it, across pieces; each n-gram counts once."""
     head = "x" * 300
     rows = [(k, head + tail * 200, lang) for k, (tail, lang) in enumerate([("ab", "a"), ("cd", "b")] * 3)]
-    model = op3_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    model = op3_language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), seen=1)
     want = Counter(f"^{rows[0][1]}$"[i : i + 4] for i in range(len(rows[0][1]) - 1))
     total, known = 3 * sum(want.values()), len(model["tables"][4])
     for item, n in want.items():
@@ -532,13 +726,36 @@ def test_pipeline_stages(spark):
     two = corpus_pipeline.line_dedup(spark, one, SMALL)
     assert two.count() == one.count() and two.schema == docs.schema
     three = corpus_pipeline.near_dedup(spark, two, SMALL)
-    roots = brute_components({r.doc_id: brute_fingerprint(r.text) for r in two.select("doc_id", "text").collect()})
+    roots = brute_near_copies({r.doc_id: r.text for r in two.select("doc_id", "text").collect()})
     assert sorted(r.doc_id for r in three.select("doc_id").collect()) == sorted(k for k, v in roots.items() if k == v)
     four = corpus_pipeline.mixing(spark, three, SMALL)
     words = three.agg(F.sum(op9_mixing.n_words(F.col("text")))).first()[0]
     assert abs(four.agg(F.sum(op9_mixing.n_words(F.col("text")))).first()[0] - words) <= 0.01 * words
 
 
+def test_clashing_names(spark, odd, clashing):
+    """Columns by the names that operators use inside change nothing and come out as they went in."""
+    same = lambda df: Counter(map(str, df.select(odd.columns).collect()))
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.near_dedup, corpus_pipeline.mixing):
+        out = stage(spark, clashing, SMALL)
+        assert out.columns == clashing.columns and same(out) == same(stage(spark, odd, SMALL))
+        assert all(r["_doc"] == f"_doc {'none' if r.doc_id is None else r.doc_id}" for r in out.collect())
+    assert corpus_pipeline.language(spark, clashing, SMALL).columns == clashing.columns
+    assert op7_lines.remove_boilerplate(clashing).select("n_removed").dtypes == [("n_removed", "int")]
+    for apply in (op4_tokens.with_token_counts, op3_language.identify, op5_simhash.near_duplicates, op6_packing.pack, op9_mixing.mix, lambda d: op10_quality.judged(d, []), lambda d: op2_toxicity.score(d, ({}, [0.0] * 8)), lambda d: op8_rans.read_ids(op8_rans.write_ids(d))):
+        assert Counter(map(str, apply(clashing).collect())) == Counter(map(str, apply(odd).collect()))
+
+
+def test_empty_tables(spark, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert op2_toxicity.score(empty, op2_toxicity.fit(empty, labels)).count() == 0
+    assert op10_quality.judged(empty, op10_quality.fit(empty, labels)).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, vector array<long>")
+    assert op1_kdtree.top_k(vectors, vectors).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SMALL).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
