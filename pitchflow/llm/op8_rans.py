@@ -206,10 +206,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_ids(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from its segment."""
-    # one number for each range of documents, added up in a single small task
+    # one number for each range of documents, MOST_RANGES at most, added up in a single small task and sent to all
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = totals.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as base")
-    placed = segments.join(bases, "part").select((F.col("base") + F.col("local_start")).alias("start"), "no_id", "payload")
+    placed = segments.join(F.broadcast(bases), "part").select((F.col("base") + F.col("local_start")).alias("start"), "no_id", "payload")
     return placed.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
