@@ -27,12 +27,13 @@ HSV_RANGES = (
     ("Black", (0, 180, 0, 255, 0, 30)),
     ("Gray", (0, 180, 0, 40, 40, 150)),
 )
+# fixed values: names that mean the same, and hues, in the order tested
 KIT_MERGE = {"Maroon": "Red", "Pink": "Red", "Orange": "Red", "Navy": "Blue", "Cyan": "Blue", "Teal": "Blue", "Lime": "Green", "Gold": "Yellow", "Silver": "White", "Gray": "White"}
 HUE_FALLBACK = ((15, "Red"), (20, "Red"), (25, "Yellow"), (35, "Yellow"), (55, "Green"), (85, "Green"), (95, "Blue"), (105, "Blue"), (145, "Blue"), (150, "Purple"))
 BASIC_HUES = ((10, "red"), (25, "orange"), (35, "gold"), (55, "yellow"), (85, "green"), (105, "cyan"), (135, "blue"), (155, "purple"), (170, "magenta"))
 SYNONYMS = {"maroon": "Red", "pink": "Red", "orange": "Red", "crimson": "Red", "navy": "Blue", "cyan": "Blue", "teal": "Blue", "sky": "Blue", "skyblue": "Blue", "lime": "Green", "gold": "Yellow", "silver": "White", "gray": "White", "grey": "White"}
 REFERENCE_HUES = {"red": 0, "orange": 15, "yellow": 30, "gold": 30, "green": 60, "lime": 60, "teal": 75, "cyan": 90, "blue": 120, "navy": 120, "purple": 140, "magenta": 155, "pink": 170, "maroon": 0}
-#: Digit pairs that readers confuse.
+# fixed values: digit pairs that readers confuse
 CONFUSABLE = ("17", "38", "39", "89", "08", "06", "68", "56", "59", "27", "49", "58")
 
 

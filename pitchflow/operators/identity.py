@@ -19,9 +19,9 @@ def _in_order(*keys: str):
 
 
 def majority(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Most frequent value of each key, the smaller of equals, with its votes and all samples."""
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("votes"))
-    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col(value).alias("v"))).alias("best"), F.sum("votes").alias("samples")).select(*keys, F.col("best.v").alias(value), (-F.col("best.n")).alias("votes"), "samples")
+    """Most frequent value of each key, of equals the one seen first, with its votes and all samples."""
+    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("votes"), F.min("frame_idx").alias("seen"))
+    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("votes")).alias("n"), "seen", F.col(value).alias("v"))).alias("best"), F.sum("votes").alias("samples")).select(*keys, F.col("best.v").alias(value), (-F.col("best.n")).alias("votes"), "samples")
 
 
 def scores(reads: DataFrame, floor: float = 0.40) -> DataFrame:
@@ -131,9 +131,9 @@ def roster_snap(numbers: DataFrame, roster: DataFrame) -> DataFrame:
     """numbers(match_id, track_id, team, number) against roster(team, number): kept, snapped to the nearest plausible
     number (of the own team first), or off the roster."""
     on = roster.select("number").distinct().withColumn("on_roster", F.lit(True))
-    cands = roster.select(F.col("team").alias("r_team"), F.col("number").alias("r"))
+    cands = roster.select(F.col("team").alias("r_team"), F.col("number").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("number")).filter(l.plausible_misread(F.col("number"), F.col("r")))
     off = numbers.join(on, "number", "left_anti").select("number", "team").distinct()
-    near = off.join(cands, l.plausible_misread(F.col("number"), F.col("r"))).groupBy("number", "team").agg(F.min(F.struct((F.col("r_team") != F.col("team")).cast("int").alias("away"), F.abs(F.col("r") - F.col("number")).alias("d"), F.col("r"))).alias("b"))
+    near = off.join(cands, "number").groupBy("number", "team").agg(F.min(F.struct((F.col("r_team") != F.col("team")).cast("int").alias("away"), F.abs(F.col("r") - F.col("number")).alias("d"), F.col("r"))).alias("b"))
     out = numbers.join(on, "number", "left").join(near.select("number", "team", F.col("b.r").alias("r")), ["number", "team"], "left")
     status = F.when(F.col("on_roster"), "on_roster").when(F.col("r").isNotNull(), "snapped").otherwise("off_roster")
     return out.select(*TRACK, "team", "number", F.when(F.col("on_roster"), F.col("number")).otherwise(F.coalesce("r", "number")).alias("mapped"), status.alias("status"))
@@ -214,12 +214,14 @@ def first_seen_registry(reads: DataFrame, teams: DataFrame) -> DataFrame:
     return first.select(*TRACK, "team", "number", owner.alias("root"))
 
 
-def resolve_roots(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def resolve_roots(edges: DataFrame) -> DataFrame:
     """Follow child to parent to the end of each chain by pointer doubling; nodes of a cycle end at its smallest id.
+    As many rounds as the match with most edges could need, so that what isn't at an end by then is on or before a cycle.
 
     edges(match_id, child, parent), one parent for each child."""
     at = edges.select("match_id", "child", F.col("parent").alias("root"), F.least("child", "parent").alias("low"), F.lit(False).alias("done"))
-    for _ in range(rounds):
+    longest = edges.groupBy("match_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    for _ in range(int(longest).bit_length() + 1):
         step = at.select("match_id", F.col("child").alias("root"), F.col("root").alias("next"), F.col("low").alias("next_low"))
         at = cut(at.join(step, ["match_id", "root"], "left").select("match_id", "child", F.coalesce("next", "root").alias("root"), F.least("low", F.coalesce("next_low", "low")).alias("low"), F.col("next").isNull().alias("done")))
         if at.filter("not done").isEmpty():

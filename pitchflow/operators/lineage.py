@@ -1,15 +1,34 @@
-"""Cutting lineage in iterative operators."""
+"""Cutting lineage in iterative operators, and sharing tables between the branches of a plan."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; a temporary one only where none is named and all runs on this machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pitchflow-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the cluster names; a temporary one only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pitchflow-"))
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Written once as Parquet into the shared folder and read back: columns are pruned, filters pushed down, and the
+    size is known, so that a small table is broadcast and a large one isn't."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/match-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -110,10 +110,11 @@ def transitions(segs: DataFrame, balls: DataFrame, boxes: DataFrame, teams: Data
     seen = balls.select(*FRAME, F.last(at, ignorenulls=True).over(around.rowsBetween(-7, 0)).alias("before"), F.first(at, ignorenulls=True).over(around.rowsBetween(0, 7)).alias("after"))
     pairs = pairs.join(seen.select("match_id", F.col("frame_idx").alias("a_end"), F.col("before").alias("s")), ["match_id", "a_end"], "left")
     pairs = pairs.join(seen.select("match_id", F.col("frame_idx").alias("b_start"), F.col("after").alias("e")), ["match_id", "b_start"], "left")
-    where = lambda who: boxes.select("match_id", F.col("frame_idx").alias("a_end"), F.col("track_id").alias(who), F.struct("box_idx", "px", "py").alias(f"{who}_box"))
     keys = [c for c in pairs.columns]
-    pairs = pairs.join(where("a"), ["match_id", "a_end", "a"], "left").join(where("b"), ["match_id", "a_end", "b"], "left")
-    pairs = pairs.groupBy(*keys).agg(F.max("a_box").alias("a_box"), F.max("b_box").alias("b_box"))
+    at_end = boxes.select("match_id", F.col("frame_idx").alias("a_end"), "track_id", F.struct("box_idx", "px", "py").alias("box"))
+    who = lambda c: F.max(F.when(F.col("track_id") == F.col(c), F.col("box"))).alias(f"{c}_box")
+    same = (pairs.match_id == at_end.match_id) & (pairs.a_end == at_end.a_end) & at_end.track_id.isin(pairs.a, pairs.b)
+    pairs = pairs.join(at_end, same, "left").select(*[pairs[c] for c in keys], "track_id", "box").groupBy(*keys).agg(who("a"), who("b"))
     team = lambda who: teams.select("match_id", F.col("track_id").alias(who), F.col("team").alias(f"{who}_team"))
     pairs = pairs.join(team("a"), ["match_id", "a"], "left").join(team("b"), ["match_id", "b"], "left")
     contact = g.distance(F.col("a_box.px"), F.col("a_box.py"), F.col("b_box.px"), F.col("b_box.py")) < 0.8

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ def length_histogram(lives: DataFrame, limits: tuple[int, ...] = (5, 15, 50, 100
     return lives.groupBy("match_id", bin_.alias("bin")).agg(F.count("*").alias("tracks"))
 
 
-def dropout(boxes: DataFrame, expected: int = 16) -> DataFrame:
-    """Share of frames with fewer than expected tracks, and mean boxes of a frame."""
-    per_frame = boxes.groupBy(*FRAME).agg(F.count_distinct("track_id").alias("tracks"))
+def dropout(frames: DataFrame, boxes: DataFrame, expected: int = 16) -> DataFrame:
+    """Share of all frames with fewer than expected tracks, and mean tracks of a frame; frames without a box have none."""
+    found = boxes.groupBy(*FRAME).agg(F.count_distinct("track_id").alias("tracks"))
+    per_frame = frames.select(*FRAME).join(found, FRAME, "left").fillna(0, ["tracks"])
     return per_frame.groupBy("match_id").agg(F.avg((F.col("tracks") < expected).cast("double")).alias("dropout"), F.avg("tracks").alias("mean_tracks"))
 
 
@@ -77,6 +80,11 @@ def stitch(lives: DataFrame, known: DataFrame, gap: int = 60, reach: float = 300
     return both.groupBy(*TRACK).agg(F.min(F.struct("gap", "d", "other")).alias("b")).select(*TRACK, "b.other", "b.gap", "b.d")
 
 
+def top_fragments(rows: DataFrame, keys: list[str], *best: Column, most: int = 20) -> DataFrame:
+    """The best rows of each key, so many at most, with their places."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).filter(F.col("place") <= most)
+
+
 def keep_first(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Union by key; rows of first win."""
     return first.unionByName(second.join(first.select(*keys), keys, "left_anti"))
@@ -85,10 +93,10 @@ def keep_first(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFram
 # --- embeddings
 
 
-def mean_embedding(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Element-wise mean of each key's vectors."""
-    parts = rows.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e.x).alias("mean"))
+def mean_embedding(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """Element-wise mean of each key's vectors, summed up before anything is shuffled."""
+    mean = Summarizer.mean(array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    return rows.groupBy(*keys).agg(vector_to_array(mean).alias("mean"))
 
 
 def normalized(v: Column) -> Column:
@@ -101,21 +109,21 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def gallery_best(queries: DataFrame, gallery: DataFrame, least: float) -> DataFrame:
-    """Nearest gallery mean by cosine, if near enough. gallery(track, mean): one vector for each track of a match, which
-    travels as one array of bounded size. queries(vec_id, v)."""
-    whole = gallery.select(F.struct("track", normalized(F.col("mean")).alias("m")).alias("g")).agg(F.array_sort(F.collect_list("g")).alias("gallery"))
-    scored = queries.select("vec_id", normalized(F.col("v")).alias("v")).join(F.broadcast(whole), F.lit(True))
+    """Nearest mean of the query's own match by cosine, if near enough. gallery(match_id, track, mean): one vector for each
+    track, an array for each match. queries(match_id, vec_id, v)."""
+    whole = gallery.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("track", normalized(F.col("mean")).alias("m")))).alias("gallery"))
+    scored = queries.select("match_id", "vec_id", normalized(F.col("v")).alias("v")).join(whole, "match_id")
     best = F.array_max(F.transform("gallery", lambda e: F.struct(dot(e.m, F.col("v")).alias("cosine"), (-e.track).alias("t"))))
-    found = scored.select("vec_id", best.alias("b")).select("vec_id", (-F.col("b.t")).alias("track"), F.col("b.cosine").alias("cosine"))
+    found = scored.select("match_id", "vec_id", best.alias("b")).select("match_id", "vec_id", (-F.col("b.t")).alias("track"), F.col("b.cosine").alias("cosine"))
     return found.withColumn("accepted", F.col("cosine") >= least)
 
 
-def ema(rows: DataFrame, key: str, order: str, vector: str, alpha: float = 0.9) -> DataFrame:
-    """Exponential mean of a key's vectors in order, normalised again after each step."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.transform(vector, lambda x: x.cast("double")).alias("v")))).alias("all"))
+def ema(rows: DataFrame, keys: list[str], order: str, vector: str, alpha: float = 0.9) -> DataFrame:
+    """Exponential mean of the vectors of a match's track in order, normalised again after each step."""
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, F.transform(vector, lambda x: x.cast("double")).alias("v")))).alias("all"))
     first = normalized(F.element_at("all", 1).v)
     fold = F.aggregate(F.slice("all", 2, F.size("all")), first, lambda acc, e: normalized(F.zip_with(acc, normalized(e.v), lambda a, x: alpha * a + (1 - alpha) * x)))
-    return listed.select(key, fold.alias("ema"))
+    return listed.select(*keys, fold.alias("ema"))
 
 
 # --- jobs

@@ -152,7 +152,7 @@ def resolve_root(s, d):
 
 QUERIES = {f.__name__: f for f in (majority_vote, majority_color, vote_scores, weighted_vote, vote_recovery, first_lock, dirichlet_lock, tier_lock, finalize_bindings, rolling_vote, run_of_three, lock_changes, merge_conflicts, first_reader, raw_read_recovery, track_to_jersey, roster_snap, roster_reconcile, color_settle_lock, kit_discovery, team_colors_top2, cadence_throttle, every_nth_capped, best_crop, unique_team_jersey, revoke_lower_conf, collision_winner, first_seen_registry, resolve_root)}
 
-_MAJ = "SELECT match_id, track_id, {v}, votes, CAST(samples AS BIGINT) AS samples FROM (SELECT *, sum(votes) OVER (PARTITION BY match_id, track_id) AS samples, row_number() OVER (PARTITION BY match_id, track_id ORDER BY votes DESC, {v}) AS rn FROM (SELECT match_id, track_id, {v}, count(*) AS votes FROM {t} GROUP BY match_id, track_id, {v}) t) t WHERE rn = 1"
+_MAJ = "SELECT match_id, track_id, {v}, votes, CAST(samples AS BIGINT) AS samples FROM (SELECT *, sum(votes) OVER (PARTITION BY match_id, track_id) AS samples, row_number() OVER (PARTITION BY match_id, track_id ORDER BY votes DESC, seen, {v}) AS rn FROM (SELECT match_id, track_id, {v}, count(*) AS votes, min(frame_idx) AS seen FROM {t} GROUP BY match_id, track_id, {v}) t) t WHERE rn = 1"
 _S = {"scored_": "SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM (SELECT match_id, track_id, number, round(sum(confidence), 6) AS score, count(*) AS tally FROM reads WHERE confidence >= 0.4 GROUP BY match_id, track_id, number) t WINDOW w AS (PARTITION BY match_id, track_id ORDER BY score DESC, CAST(number AS VARCHAR) DESC)"}
 _TIER = "CASE WHEN confidence >= 0.8 THEN 3 WHEN confidence >= 0.5 THEN 2 ELSE 1 END"
 _T = {"tiers": f"SELECT *, max(own) OVER (PARTITION BY match_id, track_id ORDER BY frame_idx) AS most FROM (SELECT *, sum({_TIER}) OVER (PARTITION BY match_id, track_id, number ORDER BY frame_idx) AS own FROM reads) t", "tlock": "SELECT match_id, track_id, arg_min(number, frame_idx) AS number, min(frame_idx) AS frame_idx FROM tiers WHERE own >= 6 AND own >= most GROUP BY match_id, track_id"}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchflow.operators import play
-from pitchflow.operators.lineage import cut
+from pitchflow.operators.lineage import shared
 from pitchflow.params import DEFAULT
 from pitchflow.plans import fixture
 from pitchflow.plans.fixture import debounced, sql
@@ -17,10 +17,10 @@ from pitchflow.plans.fixture import debounced, sql
 class Match:
     """The tables that queries share, built when asked for.
 
-    keep: the small tables (a row for each frame or shot) that several branches of a plan read are checkpointed."""
+    keep: tables that several branches of a plan read are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
-        self.spark, self.sf_dir, self.kept = spark, sf_dir, cut if keep else (lambda df: df)
+        self.spark, self.sf_dir, self.kept = spark, sf_dir, shared if keep else (lambda df: df)
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -40,7 +40,7 @@ class Match:
 
     @cached_property
     def boxes(self) -> DataFrame:
-        return play.players(self.detections)
+        return self.kept(play.players(self.detections))
 
     @cached_property
     def owners(self) -> DataFrame:
@@ -52,15 +52,15 @@ class Match:
 
     @cached_property
     def segs(self) -> DataFrame:
-        return play.segments(self.owned)
+        return self.kept(play.segments(self.owned))
 
     @cached_property
     def trans(self) -> DataFrame:
-        return play.transitions(self.segs, self.ball, self.boxes, self.teams)
+        return self.kept(play.transitions(self.segs, self.ball, self.boxes, self.teams))
 
     @cached_property
     def classes(self) -> DataFrame:
-        return play.dominant_class(self.boxes)
+        return self.kept(play.dominant_class(self.boxes))
 
     @cached_property
     def directions(self) -> DataFrame:
@@ -72,7 +72,7 @@ class Match:
 
     @cached_property
     def dribbles(self) -> DataFrame:
-        return play.dribbles(self.owned, self.ball, self.boxes)
+        return self.kept(play.dribbles(self.owned, self.ball, self.boxes))
 
 
 def _r(*names: str, digits: int = 4):
@@ -136,43 +136,43 @@ _PASS = ["match_id", "a", "b", "a_end", "b_start"]
 
 
 def pass_detect(s, d):
-    return play.passes(Match(s, d).trans).select(*_PASS, *_r("distance"), "complete", "reach", "is_cross")
+    return play.passes(Match(s, d, keep=True).trans).select(*_PASS, *_r("distance"), "complete", "reach", "is_cross")
 
 
 def pass_endpoints(s, d):
-    return Match(s, d).trans.select(*_PASS, *_r("start_x", "start_y", "end_x", "end_y"))
+    return Match(s, d, keep=True).trans.select(*_PASS, *_r("start_x", "start_y", "end_x", "end_y"))
 
 
 def pass_funnel(s, d):
-    return play.pass_funnel(Match(s, d).trans)
+    return play.pass_funnel(Match(s, d, keep=True).trans)
 
 
 def pass_counters(s, d):
-    p = play.passes(Match(s, d).trans)
+    p = play.passes(Match(s, d, keep=True).trans)
     n = lambda c, name: F.count_if(c).alias(name)
     ranges = [x for r in ("short", "medium", "long") for x in (n(F.col("reach") == r, r), n((F.col("reach") == r) & F.col("complete"), f"{r}_accurate"))]
     return p.groupBy("match_id", F.col("a").alias("track_id")).agg(F.count("*").alias("passes_total"), n(F.col("complete"), "passes_complete"), n(F.col("is_cross"), "crosses_total"), *ranges)
 
 
 def cross_detect(s, d):
-    return play.passes(Match(s, d).trans).filter("is_cross").select(*_PASS, "complete")
+    return play.passes(Match(s, d, keep=True).trans).filter("is_cross").select(*_PASS, "complete")
 
 
 def interception_detect(s, d):
-    return play.interceptions(play.passes(Match(s, d).trans)).select("match_id", "track_id", "frame_idx", "half")
+    return play.interceptions(play.passes(Match(s, d, keep=True).trans)).select("match_id", "track_id", "frame_idx", "half")
 
 
 def opponent_near(s, d):
-    m = Match(s, d)
+    m = Match(s, d, keep=True)
     return play.opponent_near(m.owned.filter("owner is not null").select("match_id", "frame_idx", F.col("owner").alias("track_id")), m.boxes, DEFAULT.dribble_radius)
 
 
 def dribble_detect(s, d):
-    return Match(s, d).dribbles
+    return Match(s, d, keep=True).dribbles
 
 
 def tackle_detect(s, d):
-    return play.tackles(Match(s, d).dribbles)
+    return play.tackles(Match(s, d, keep=True).dribbles)
 
 
 def fast_balls(s, d):
@@ -189,7 +189,7 @@ def goal_confirm(s, d):
 
 
 def save_detect(s, d):
-    m = Match(s, d)
+    m = Match(s, d, keep=True)
     return play.saves(m.ball, m.boxes, m.classes, m.owned).select("match_id", "frame_idx", "track_id", "reach", "jumping")
 
 

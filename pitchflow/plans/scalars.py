@@ -112,7 +112,7 @@ def confidence_tiers(s, d):
 
 
 def class_decision(s, d):
-    raw = F.transform(F.slice("embedding", 1, 12), lambda x: F.exp(x.cast("double") * 20))
+    raw = F.transform("embedding", lambda x: F.exp(x.cast("double") * 20))
     total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
     rows = s.read.parquet(f"{d}/embeddings.parquet").withColumn("raw", raw).withColumn("total", total)
     rows = rows.withColumn("d", l.class_decision(F.transform("raw", lambda x: x / F.col("total"))))
@@ -170,7 +170,7 @@ ORACLE = {
     "jersey_from_text": "SELECT conv_id, turn, CASE WHEN len(dg) BETWEEN 1 AND 2 AND TRY_CAST(dg AS INT) BETWEEN 1 AND 99 THEN TRY_CAST(dg AS INT) END AS digits, CASE WHEN len(fr) BETWEEN 1 AND 9 AND TRY_CAST(fr AS INT) BETWEEN 1 AND 99 THEN TRY_CAST(fr AS INT) END AS first, CAST(len(dg) AS INT) AS n_digits FROM (SELECT *, regexp_replace(text, '[^0-9]', '', 'g') AS dg, regexp_extract(text, '[0-9]+') AS fr FROM conversations) t",
     "plausible_misread": sql("SELECT a, b FROM (SELECT *, CAST(a AS VARCHAR) AS x, CAST(b AS VARCHAR) AS y FROM (SELECT DISTINCT number AS a FROM reads) r, (SELECT CAST(range AS INT) AS b FROM range(1, 100)) n) t WHERE len(x) = len(y) AND ((len(x) = 1 AND x <> y AND list_contains(ps, x || y)) OR (len(x) = 2 AND ((x[1] <> y[1] AND x[2] = y[2] AND list_contains(ps, x[1] || y[1])) OR (x[1] = y[1] AND x[2] <> y[2] AND list_contains(ps, x[2] || y[2])))))".replace("ps,", "[" + ", ".join(f"'{q}'" for p in l.CONFUSABLE for q in (p, p[::-1])) + "],")),
     "confidence_tiers": sql("SELECT match_id, CASE WHEN confidence >= 0.8 THEN 3 WHEN confidence >= 0.5 THEN 2 ELSE 1 END AS tier, count(*) AS n, round(sum(CASE WHEN confidence >= 0.8 THEN 0.9e0 WHEN confidence >= 0.5 THEN 0.6e0 ELSE 0.3e0 END), 4) AS score FROM reads GROUP BY match_id, tier"),
-    "class_decision": "SELECT vec_id, CASE WHEN ok THEN number END AS number, round(CASE WHEN ok THEN c ELSE 0 END, 4) AS confidence, round(entropy, 4) AS entropy, CASE WHEN ok THEN 'valid' ELSE 'unknown' END AS status FROM (SELECT *, c >= 0.2 AND entropy <= 4 AS ok FROM (SELECT *, list_max(p) * CASE WHEN number = 1 THEN 0.9e0 ELSE 1e0 END AS c, -list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))) AS entropy FROM (SELECT *, CAST(list_position(p, list_max(p)) - 1 AS INT) AS number FROM (SELECT vec_id, list_transform(raw, lambda x: x / list_sum(raw)) AS p FROM (SELECT vec_id, list_transform(embedding[1:12], lambda x: exp(CAST(x AS DOUBLE) * 20)) AS raw FROM embeddings) t) t) t) t) t",
+    "class_decision": "SELECT vec_id, CASE WHEN ok THEN number END AS number, round(CASE WHEN ok THEN c ELSE 0 END, 4) AS confidence, round(entropy, 4) AS entropy, CASE WHEN ok THEN 'valid' ELSE 'unknown' END AS status FROM (SELECT *, c >= 0.2 AND entropy <= 4 AS ok FROM (SELECT *, list_max(p) * CASE WHEN number = 1 THEN 0.9e0 ELSE 1e0 END AS c, -list_sum(list_transform(p, lambda x: x * ln(x + 1e-10))) AS entropy FROM (SELECT *, CAST(list_position(p, list_max(p)) - 1 AS INT) AS number FROM (SELECT vec_id, list_transform(raw, lambda x: x / list_sum(raw)) AS p FROM (SELECT vec_id, list_transform(embedding, lambda x: exp(CAST(x AS DOUBLE) * 20)) AS raw FROM embeddings) t) t) t) t) t",
     "url_key": "SELECT page_id, sha1(CASE WHEN starts_with(url, 'http') THEN regexp_replace(url, '[?#].*$', '') ELSE url END) AS key, CASE WHEN split_part(u, '/', 2) <> '' THEN split_part(u, '/', 2) WHEN contains(u, '_') THEN split_part(u, '_', 1) ELSE 'unknown' END AS owner FROM (SELECT *, regexp_replace(url, '^https?://', '') AS u FROM pages) t",
     "size_range": sql("SELECT status, count(*) AS n FROM jobs WHERE size_mb * 1048576 / 1048576 BETWEEN 5 AND 50 GROUP BY status"),
     "crop_gates": sql("SELECT match_id, cls, " + _counts({"plain": "y2-y1 >= 20 AND x2-x1 >= 10 AND conf*100 >= 20", "strict": "y2-y1 >= 30 AND conf*100 >= 50", "legible": "y2-y1 >= 30 AND x2-x1 >= 20 AND conf*100 >= 20 AND conf >= 0.65"}) + " FROM detections GROUP BY match_id, cls"),
