@@ -146,3 +146,48 @@ def owner_of_path(path: Column) -> Column:
     prefix = F.when(F.instr(path, "_") > 0, F.substring_index(path, "_", 1))
     second = F.get(parts, F.lit(1))
     return F.coalesce(F.when(F.length(second) > 0, second), prefix, F.lit("unknown"))
+
+
+# fixed values: which kits count as one in team assignment, and the likely opponent of a single known kit
+TEAM_MERGE = {"lime": "green", "teal": "green", "navy": "blue", "cyan": "blue", "maroon": "red", "pink": "red", "orange": "red", "silver": "white", "gray": "white", "gold": "yellow", "purple": "blue"}
+OPPONENT = {"Red": "Blue", "Blue": "Red", "Green": "White", "White": "Red", "Black": "White", "Yellow": "Blue"}
+
+
+def team_color(name: Column) -> Column:
+    """The kit that a colour counts as when teams are assigned; Unknown stays."""
+    merged = F.lower(name)
+    for a, b in TEAM_MERGE.items():
+        merged = F.when(F.lower(name) == a, b).otherwise(merged)
+    return F.initcap(merged)
+
+
+def likely_opponent(kit: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for a, b in OPPONENT.items():
+        out = out.when(kit == a, b)
+    return out.otherwise("TeamB")
+
+
+def reference_hue(name: Column) -> Column:
+    """Null for white, black, gray, silver and unknown names."""
+    out = F.when(F.lit(False), 0)
+    for a, h in REFERENCE_HUES.items():
+        out = out.when(F.lower(name) == a, h)
+    return out
+
+
+def nearer_reference(b: Column, g: Column, r: Column, first: tuple[int, int, int], second: tuple[int, int, int], names: tuple[str, str] = ("first", "second")) -> Column:
+    """The one of two calibrated colours that is nearer in blue, green and red; the second of equals."""
+    d = lambda ref: sum((c - F.lit(x)) * (c - F.lit(x)) for c, x in zip((b, g, r), ref))
+    return F.when(d(first) < d(second), names[0]).otherwise(names[1])
+
+
+def nearest_named(b: Column, g: Column, r: Column, palette: dict[str, tuple[int, int, int]]) -> Column:
+    """Name of the palette's nearest colour by squared distance, the first of equals."""
+    every = F.array(*[F.struct(sum((c - F.lit(x)) * (c - F.lit(x)) for c, x in zip((b, g, r), ref)).alias("d"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, ref) in enumerate(palette.items())])
+    return F.array_min(every)["name"]
+
+
+def jersey_range(number: Column) -> Column:
+    """Whether a number is none, or one that a player can wear."""
+    return number.isNull() | number.between(1, 99)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchflow.plans import identity, play, report, scalars, tracks
+from pitchflow.plans import hygiene, identity, play, report, scalars, teams, tracks
 
-MODULES = (play, scalars, identity, tracks, report)
+MODULES = (play, scalars, identity, teams, tracks, hygiene, report)
 
 
 def queries() -> dict:

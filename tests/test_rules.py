@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pitchflow import sources, streaming
 from pitchflow.functions import geometry as g
 from pitchflow.functions import labels as l
-from pitchflow.operators import identity, play, sequence, tracks, votes
+from pitchflow.operators import hygiene, identity, play, sequence, teams, tracks, votes
 
 DET = "match_id int, frame_idx int, box_idx int, cls int, track_id int, x1 double, y1 double, x2 double, y2 double, conf double"
 PX = 1920 / 105.0
@@ -290,3 +290,46 @@ def test_stream_equals_batch(spark, tmp_path):
     for r in sorted(run(streaming.settle_colors, "colors"), key=lambda r: r.seen):
         settled[r.track_id] = r.color
     assert settled == {r.track_id: r.color for r in identity.color_settle(df).collect()}
+
+
+def test_teams_rebalance(spark):
+    """Twelve against four: those seen least move over, never number 1, until none is more than one and a half times the other."""
+    players = [(0, n, "Red", 2, 100 - n) for n in range(1, 13)] + [(0, n, "White", 2, 50) for n in range(20, 24)] + [(0, 40, "Unknown", 2, 1), (0, 5, "Green", 1, 1), (0, 60, "Orange", 1, 9)]
+    players = [p for p in players if p[:2] != (0, 5) or p[2] == "Green"]  # number 5 keeps goal
+    df = spark.createDataFrame(players, "match_id int, number int, color string, cls int, observations long")
+    none = spark.createDataFrame([], "match_id int, color string, place int")
+    got = {r.number: r.team for r in teams.assign_teams(df, none).collect()}
+    big, small = sorted(n for n in range(1, 13) if n != 5), [20, 21, 22, 23]
+    queue, moved = sorted(big, key=lambda n: 100 - n), []
+    while len(queue) > len(small) and len(queue) - len(small) > 2:
+        n = queue.pop(0)
+        if n == 1:
+            continue
+        small.append(n)
+        moved.append(n)
+        if max(len(queue), len(small)) / min(len(queue), len(small)) <= 1.5:
+            break
+    assert moved and all(got[n] == ("White" if n in moved else "Red") for n in big) and got[40] == "White" and got[5] == "Red" and got[60] == "White"
+
+
+def test_teams_by_kits_and_hue(spark):
+    players = [(0, 1, "Blue", 2, 9), (0, 2, "Blue", 2, 9), (0, 3, "White", 2, 9), (0, 4, "Yellow", 2, 9), (0, 5, "Purple", 2, 9), (1, 7, "Green", 2, 9), (1, 8, "Unknown", 2, 9), (2, 7, "Unknown", 2, 9)]
+    df = spark.createDataFrame(players, "match_id int, number int, color string, cls int, observations long")
+    kits = spark.createDataFrame([(0, "Silver", 1), (0, "Navy", 2)], "match_id int, color string, place int")
+    got = {(r.match_id, r.number): r.team for r in teams.assign_teams(df, kits).collect()}
+    # the kits found are White and Blue; yellow isn't near blue and so counts as white; green's likely opponent is white
+    assert got == {(0, 1): "Blue", (0, 2): "Blue", (0, 3): "White", (0, 4): "White", (0, 5): "Blue", (1, 7): "Green", (1, 8): "White", (2, 7): None}
+
+
+def test_hygiene_rules(spark):
+    calls = []
+    rows = spark.createDataFrame([(i,) for i in range(5)], "i long")
+    out = hygiene.score_batches(rows, lambda b, m: b.assign(x=b["i"] * m), "i long, x long", load=lambda: calls.append(1) or 3).collect()
+    assert sorted((r.i, r.x) for r in out) == [(i, 3 * i) for i in range(5)]
+    scored = spark.createDataFrame([(1, 0.7), (2, 0.5), (3, None)], "k int, cosine double")
+    assert sorted(tuple(r) for r in hygiene.gallery_consistent(scored, ["k"]).collect()) == [(1, True, 0.7), (2, False, 0.5), (3, True, 1.0)]
+    primary = spark.createDataFrame([(1, 11, 0.9, True), (2, 7, 0.9, False), (3, 19, 0.5, True), (4, 8, 0.1, True)], "k int, number int, confidence double, review boolean")
+    second = spark.createDataFrame([(1, 17), (2, 9), (3, 10)], "k int, second int")
+    assert sorted(tuple(r) for r in hygiene.verify(primary, second, ["k"]).collect()) == [(1, 17, True), (2, 7, False), (3, 19, False), (4, 8, False)]
+    stats = spark.createDataFrame([(0, 1, "A", 7, 30, 0.5, False), (0, 2, "A", 7, 90, 0.5, False), (0, 3, "A", 8, 25, 0.5, True), (0, 4, "A", 9, 25, 0.5, False), (0, 5, "A", None, 99, 0.5, False), (0, 6, "B", 120, 99, 0.5, False)], "match_id int, track_id int, team string, number int, observations long, confidence double, recovered boolean")
+    assert sorted(r.track_id for r in hygiene.output_filter(stats).collect()) == [2, 3]
