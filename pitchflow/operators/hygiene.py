@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pitchflow.functions import geometry as g
 from pitchflow.functions import labels as l
 from pitchflow.operators.sequence import frames_window
+from pitchflow.operators.tracks import let
 
 FRAME, TRACK = ["match_id", "frame_idx"], ["match_id", "track_id"]
 _CORNERS = ("x1", "y1", "x2", "y2")
@@ -111,7 +112,7 @@ def scene_cuts(rows: DataFrame, order: str, histogram: str, least: float = 0.6)
     """Rows of a match whose histogram correlates less than that with the one before."""
     before = F.lag(histogram).over(Window.partitionBy("match_id").orderBy(order))
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-    centred = lambda v: F.transform(v, lambda x: x - total(v) / F.size(v))
+    centred = lambda v: let(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean))
     both = rows.withColumn("a", before).filter("a is not null").select("match_id", order, centred(F.col("a")).alias("a"), centred(F.col(histogram)).alias("b"))
     dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
     r = dot(F.col("a"), F.col("b")) / F.sqrt(dot(F.col("a"), F.col("a")) * dot(F.col("b"), F.col("b")))

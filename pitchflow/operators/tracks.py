@@ -99,9 +99,14 @@ def mean_embedding(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
     return rows.groupBy(*keys).agg(vector_to_array(mean).alias("mean"))
 
 
+def let(value: Column, body) -> Column:
+    """Bind value once inside an expression: a lambda variable is never inlined and evaluated again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalized(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / norm)
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x))
+    return let(v, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: x / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
