@@ -4,6 +4,8 @@ reads(match_id, frame_idx, track_id, number, confidence); colors(match_id, frame
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,11 +121,19 @@ def raw_read_recovery(reads: DataFrame, found: DataFrame, least: int = 20) -> Da
     return best.filter(F.col("reads") >= least).join(found.select("match_id", "number").distinct(), ["match_id", "number"], "left_anti").select("match_id", F.col("b.t").alias("track_id"), "number", "reads")
 
 
-def track_to_jersey(reads: DataFrame) -> DataFrame:
-    """Number of each track: a lock, else recovered by votes, else by raw reads; the earlier source wins."""
+def registry(reads: DataFrame, least: float = 0.5) -> DataFrame:
+    """(match_id, track_id, number): the track that is first to read each number of a match with confidence enough."""
+    first = reads.filter(F.col("confidence") >= least).groupBy("match_id", "number").agg(F.min(F.struct("frame_idx", "track_id")).alias("f"))
+    return first.select("match_id", F.col("f.track_id").alias("track_id"), "number")
+
+
+def track_to_jersey(reads: DataFrame, registered: DataFrame) -> DataFrame:
+    """Number of each track: a lock, else registered, else recovered by votes, else by raw reads; the earlier source wins.
+    A track that registered several numbers takes the smallest."""
     locks, votes = tier_lock(reads).select(*TRACK, "number"), vote_recovery(reads)
-    raw = raw_read_recovery(reads, locks.unionByName(votes)).select(*TRACK, "number")
-    every = locks.withColumn("source", F.lit(1)).unionByName(votes.withColumn("source", F.lit(2))).unionByName(raw.withColumn("source", F.lit(3)))
+    sources = [locks, registered.select(*TRACK, "number"), votes]
+    raw = raw_read_recovery(reads, reduce(DataFrame.unionByName, sources)).select(*TRACK, "number")
+    every = reduce(DataFrame.unionByName, [rows.withColumn("source", F.lit(k)) for k, rows in enumerate([*sources, raw], 1)])
     return every.groupBy(*TRACK).agg(F.min(F.struct("source", "number")).alias("b")).select(*TRACK, "b.number", "b.source")
 
 

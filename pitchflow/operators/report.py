@@ -49,12 +49,12 @@ def rate_caps(stats: DataFrame, frames: DataFrame, p: Params = DEFAULT) -> DataF
 
 
 def presence_filter(stats: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """stats(frames, goals, active, dominant_class): without those seen under 1.5 s, and ghosts under 200 frames that do
-    nothing and keep no goal."""
+    """stats(frames, goals, active, dominant_class, recovered): without those seen under 1.5 s, and ghosts under 200 frames
+    that do nothing and keep no goal; numbers recovered by votes are exempt from both."""
     seconds = F.col("frames") / p.effective_fps
     short = (seconds < 1.5) & (F.col("goals") == 0)
     ghost = (seconds > 2.0) & (F.col("frames") < 200) & (F.col("goals") == 0) & ~F.col("active") & (F.col("dominant_class") != 1)
-    return stats.filter(~short & ~ghost)
+    return stats.filter(F.col("recovered") | (~short & ~ghost))
 
 
 def roles(tracks: DataFrame, kits: DataFrame) -> DataFrame:

@@ -81,7 +81,8 @@ def raw_read_recovery(s, d):
 
 
 def track_to_jersey(s, d):
-    return op.track_to_jersey(fixture.reads(s, d))
+    reads = fixture.reads(s, d)
+    return op.track_to_jersey(reads, op.registry(reads))
 
 
 def _mapped(s, d):
@@ -179,7 +180,7 @@ ORACLE = {
     "merge_conflicts": sql("SELECT match_id, track_id, count(*) AS numbers, CAST(sum(n) AS BIGINT) AS reads FROM (SELECT match_id, track_id, number, count(*) AS n FROM reads WHERE confidence > 0.6 GROUP BY match_id, track_id, number HAVING count(*) >= 3) t GROUP BY match_id, track_id HAVING count(*) >= 2"),
     "first_reader": sql("SELECT f.*, (SELECT arg_max(color, c.frame_idx) FROM color_obs c WHERE c.match_id = f.match_id AND c.track_id = f.track_id AND c.frame_idx <= f.frame_idx) AS color FROM (SELECT match_id, number, frame_idx, track_id FROM (SELECT *, row_number() OVER (PARTITION BY match_id, number ORDER BY frame_idx, track_id) AS rn FROM reads) t WHERE rn = 1) f"),
     "raw_read_recovery": sql(_RAW.format(f="tlock"), _T),
-    "track_to_jersey": sql("SELECT match_id, track_id, arg_min(number, source) AS number, min(source) AS source FROM (SELECT match_id, track_id, number, 1 AS source FROM tlock UNION ALL SELECT match_id, track_id, number, 2 FROM voted UNION ALL SELECT match_id, track_id, number, 3 FROM rawrec) t GROUP BY match_id, track_id", _T | _V | {"held": "SELECT match_id, number FROM tlock UNION SELECT match_id, number FROM voted", "rawrec": _RAW.format(f="held")}),
+    "track_to_jersey": sql("SELECT match_id, track_id, arg_min(number, struct_pack(a := source, b := number)) AS number, min(source) AS source FROM (SELECT match_id, track_id, number, 1 AS source FROM tlock UNION ALL SELECT match_id, track_id, number, 2 FROM registered UNION ALL SELECT match_id, track_id, number, 3 FROM voted UNION ALL SELECT match_id, track_id, number, 4 FROM rawrec) t GROUP BY match_id, track_id", _T | _V | {"registered": "SELECT match_id, number, arg_min(track_id, struct_pack(a := frame_idx, b := track_id)) AS track_id FROM reads WHERE confidence >= 0.5 GROUP BY match_id, number", "held": "SELECT match_id, number FROM tlock UNION SELECT match_id, number FROM registered UNION SELECT match_id, number FROM voted", "rawrec": _RAW.format(f="held")}),
     "roster_snap": sql(f"SELECT match_id, track_id, team, number, CASE WHEN on_ THEN number ELSE coalesce(r, number) END AS mapped, CASE WHEN on_ THEN 'on_roster' WHEN r IS NOT NULL THEN 'snapped' ELSE 'off_roster' END AS status FROM (SELECT n.*, EXISTS (SELECT 1 FROM roster q WHERE q.number = n.number) AS on_, (SELECT arg_min(q.number, struct_pack(a := CASE WHEN q.team <> n.team THEN 1 ELSE 0 END, b := abs(q.number - n.number), c := q.number)) FROM roster q WHERE {_MIS.format(a=_AS.format(x='n.number'), b=_AS.format(x='q.number'))}) AS r FROM (SELECT DISTINCT match_id, track_id, number, team FROM reads JOIN teams USING (match_id, track_id)) n) t", {"roster": _ROSTER}),
     "roster_reconcile": sql(f"SELECT match_id, track_id, number FROM rated WHERE number IN (SELECT number FROM roster) UNION ALL SELECT match_id, track_id, arg_min(r, struct_pack(a := -s, b := r)) AS number FROM (SELECT m.match_id, m.track_id, q.number AS r, sum(CASE WHEN c.number = q.number THEN c.n WHEN {_MIS.format(a=_AS.format(x='c.number'), b=_AS.format(x='q.number'))} THEN 0.5e0 * c.n ELSE 0 END) AS s FROM rated m JOIN (SELECT match_id, track_id, number, count(*) AS n FROM reads GROUP BY match_id, track_id, number) c USING (match_id, track_id) JOIN roster q ON q.team = m.team WHERE m.number NOT IN (SELECT number FROM roster) GROUP BY m.match_id, m.track_id, q.number) t WHERE s >= 1 GROUP BY match_id, track_id", {"roster": _ROSTER} | _RATED),
     "color_settle_lock": sql("SELECT match_id, track_id, arg_max(color, k) AS color FROM (SELECT *, row_number() OVER (PARTITION BY match_id, track_id ORDER BY frame_idx) AS k FROM color_obs WHERE cls <> 3 AND color <> 'Unknown') t WHERE k = 1 OR (k = 10 AND cls <> 1) GROUP BY match_id, track_id"),

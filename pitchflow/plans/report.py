@@ -58,6 +58,8 @@ def player_documents(s, d):
 def presence_filter(s, d):
     active = (F.col("passes_total") > 0) | (F.col("shots") > 0) | (F.col("touches") > 0)
     rows = _stats(s, d).withColumnRenamed("weight", "frames").withColumn("active", active).join(Match(s, d).classes, TRACK)
+    found = identity.vote_recovery(fixture.reads(s, d)).filter("number % 2 = 0").select("match_id", "number", F.lit(True).alias("recovered")).distinct()
+    rows = rows.join(found, ["match_id", "number"], "left").fillna(False, ["recovered"])
     return op.presence_filter(rows).select(*TRACK, "frames", "goals")
 
 
@@ -147,7 +149,7 @@ ORACLE = {
     "rate_caps": sql("SELECT m.match_id, team, number, " + ", ".join(f"least({m}, greatest(1, round_even({c} * r, 0))) AS {m}" for m, c in (("passes_total", 160), ("passes_complete", 150), ("shots", 14))) + " FROM merged m JOIN (SELECT match_id, greatest(0.05e0, count(*) / (25e0/3) / 60 / 90) AS r FROM frames GROUP BY match_id) f ON f.match_id = m.match_id", _merged(20)),
     "team_totals": sql("SELECT match_id, team, " + ", ".join(f"round(sum({m}), 4) AS {m}" for m in METRICS) + " FROM stats GROUP BY match_id, team", _C),
     "player_documents": sql("SELECT match_id, CASE WHEN number IS NOT NULL THEN 'Player ' || number ELSE 'Unknown_' || primary_ END AS player_name, number AS jersey_number, coalesce(team, 'White') AS team, weight AS observations, round(least(1, weight / 100), 2) AS confidence_score, passes_total, CASE WHEN passes_total > 0 THEN round(100 * passes_complete / passes_total, 1) ELSE 0 END AS pass_accuracy, goals, round(touches / (25e0/3), 2) AS time_on_ball FROM merged", _merged(20)),
-    "presence_filter": sql("SELECT s.match_id, s.track_id, weight AS frames, goals FROM stats s JOIN classes c ON c.match_id = s.match_id AND c.track_id = s.track_id WHERE NOT (weight / (25e0/3) < 1.5 AND goals = 0) AND NOT (weight / (25e0/3) > 2 AND weight < 200 AND goals = 0 AND passes_total = 0 AND shots = 0 AND touches = 0 AND dominant_class <> 1)", _C),
+    "presence_filter": sql("SELECT s.match_id, s.track_id, weight AS frames, goals FROM stats s JOIN classes c ON c.match_id = s.match_id AND c.track_id = s.track_id LEFT JOIN (SELECT DISTINCT match_id, number FROM voted WHERE number % 2 = 0) r ON r.match_id = s.match_id AND r.number = s.number WHERE r.number IS NOT NULL OR NOT (weight / (25e0/3) < 1.5 AND goals = 0) AND NOT (weight / (25e0/3) > 2 AND weight < 200 AND goals = 0 AND passes_total = 0 AND shots = 0 AND touches = 0 AND dominant_class <> 1)", _C | names._V),
     "presence": sql("SELECT match_id, number, max(f) AS frames, round(max(f) / (25e0/3) / 60, 4) AS minutes FROM (SELECT b.match_id, b.track_id, n.number, count(*) AS f FROM boxes b JOIN named n ON n.match_id = b.match_id AND n.track_id = b.track_id GROUP BY b.match_id, b.track_id, n.number) t GROUP BY match_id, number", {"named": _C["named"]}),
     "role_assignment": sql("SELECT match_id, track_id, CASE WHEN number = 1 THEN 'Goalkeeper' WHEN kit IS NULL AND number IS NULL THEN 'Referee' WHEN kit IS NULL AND in_box > 0.8 THEN 'Goalkeeper' ELSE 'Player' END AS role FROM (SELECT w.match_id, w.track_id, n.number, k.color AS kit, r.frames_in_box / r.n AS in_box FROM worn w LEFT JOIN named n ON n.match_id = w.match_id AND n.track_id = w.track_id JOIN resident r ON r.match_id = w.match_id AND r.track_id = w.track_id LEFT JOIN kits k ON k.match_id = w.match_id AND k.color = w.color) t", _KITS),
     "role_by_class": sql("SELECT w.match_id, w.track_id, CASE WHEN cls = 1 THEN 'Goalkeeper' WHEN cls = 3 THEN 'Referee' WHEN k.color IS NULL AND (x < 15.75 OR x > 89.25) THEN 'Goalkeeper' ELSE 'Player' END AS role FROM worn w JOIN (SELECT match_id, track_id, max(cls) AS cls, avg(px) AS x FROM boxes GROUP BY match_id, track_id) b ON b.match_id = w.match_id AND b.track_id = w.track_id LEFT JOIN kits k ON k.match_id = w.match_id AND k.color = w.color", _KITS),

@@ -80,8 +80,21 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.mode("overwrite").partitionBy("match_id").parquet(path)
 
 
-def write_flat_report(players: DataFrame, path: str) -> None:
-    players.write.mode("overwrite").option("header", True).csv(path)
+def write_flat_report(players: DataFrame, path: str, kind: str = "csv") -> None:
+    """A row for each player, as csv with a header or as json."""
+    players.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def write_kits(kits: DataFrame, path: str) -> None:
+    """kits(match_id, color, place): a document for each match, kits in order."""
+    listed = kits.groupBy("match_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "color"))), lambda k: k.color).alias("players"))
+    listed.write.mode("overwrite").partitionBy("match_id").json(path)
+
+
+def write_accuracy(report: DataFrame, path: str) -> None:
+    """Rows of the accuracy report (metric, team, truth, found, accuracy), a document for each metric."""
+    listed = report.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct("team", "truth", "found", "accuracy"))).alias("teams"))
+    listed.write.mode("overwrite").json(path)
 
 
 def upsert(current: DataFrame, changes: DataFrame) -> DataFrame:

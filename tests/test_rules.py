@@ -130,6 +130,27 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in sources.read_listing(spark, str(tmp_path / "page.json")).collect()] == [("a", "f", "x", 1.0)]
 
 
+def test_sinks(spark, tmp_path):
+    kits = spark.createDataFrame([(4, "White", 2), (4, "Red", 1), (5, "Blue", 1)], "match_id int, color string, place int")
+    sources.write_kits(kits, f"{tmp_path}/kits")
+    assert {(r.match_id, tuple(r.players)) for r in spark.read.json(f"{tmp_path}/kits").collect()} == {(4, ("Red", "White")), (5, ("Blue",))}
+    report = spark.createDataFrame([("goals", "A", 2.0, 1.0, 50.0), ("goals", "B", 0.0, 0.0, 100.0)], "metric string, team string, truth double, found double, accuracy double")
+    sources.write_accuracy(report, f"{tmp_path}/accuracy")
+    assert [[t.accuracy for t in r.teams] for r in spark.read.json(f"{tmp_path}/accuracy").collect()] == [[50.0, 100.0]]
+    for kind in ("csv", "json"):
+        sources.write_flat_report(report, f"{tmp_path}/{kind}", kind)
+        assert spark.read.option("header", True).format(kind).load(f"{tmp_path}/{kind}").count() == 2
+    sources.write_events(report.withColumn("match_id", F.lit(3)), f"{tmp_path}/events")
+    sources.write_player_stats(report.withColumn("match_id", F.lit(3)), f"{tmp_path}/players")
+    assert spark.read.parquet(f"{tmp_path}/events").count() == spark.read.json(f"{tmp_path}/players").count() == 2
+    log = spark.createDataFrame([(1, 2)], "frame_idx int, det_count int")
+    sources.append_log(log, f"{tmp_path}/log")
+    sources.append_log(log, f"{tmp_path}/log")
+    assert [r.det_count for r in sources.read_log(spark, f"{tmp_path}/log").collect()] == [2, 2]
+    (tmp_path / "tracking_7.json").write_text(json.dumps([{"frame_idx": 9, "boxes": []}]))
+    assert [(r.match_id, r.frame_idx) for r in sources.read_tracking(spark, str(tmp_path / "tracking_7.json")).collect()] == [(7, 9)]
+
+
 def test_upsert(spark):
     schema = "unique_id string, status string, created_at int, updated_at int"
     old = spark.createDataFrame([("a", "queued", 1, 1), ("b", "queued", 2, 2)], schema)
