@@ -67,8 +67,7 @@ def boilerplate(found: DataFrame, sites: DataFrame, min_sites: int = MIN_SITES,
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share: float | None = None, counts: bool = True) -> DataFrame:
     """docs with the texts that remain; with counts, also columns n_lines and n_removed, in place of any of these names.
 
-    Every line's hash is written once, and what documents lose before it meets them, so that its size is known: texts are
-    only shuffled where it is too large to broadcast."""
+    Every line's hash is written once. What documents lose meets them by a hash join on both sides' ids, at every size."""
     min_words = MIN_WORDS if short_share is None else 1
     found = stored(lines(docs, min_words), "line-keys")
     # a line may stand in any share of all documents: its key meets them in SALTS parts
@@ -76,10 +75,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, short_share:
     own = found.select("doc_id", "key").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     lost = own.join(parted, ["key", "salt"]).filter("doc_id <> keeper")
     u = unused(docs)
-    gone = stored(lost.groupBy(F.col("doc_id").alias(f"{u}doc")).agg(F.collect_set("key").alias(f"{u}gone")), "lost-lines")
+    gone = lost.groupBy(F.col("doc_id").alias(f"{u}doc")).agg(F.collect_set("key").alias(f"{u}gone"))
     every, lost_here = F.split("text", "\n"), F.col(f"{u}gone")
     stays = lambda x: ~(F.array_contains(lost_here, line_key(x)) & (F.regexp_count(x, F.lit(WORD)) >= min_words))
-    out = docs.join(gone, F.col("doc_id") == F.col(f"{u}doc"), "left").withColumn(f"{u}kept", F.when(lost_here.isNotNull(), F.filter(every, stays)))
+    out = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(f"{u}doc"), "left").withColumn(f"{u}kept", F.when(lost_here.isNotNull(), F.filter(every, stays)))
     new = {"text": F.when(lost_here.isNull(), F.col("text")).otherwise(F.array_join(f"{u}kept", "\n"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(lost_here.isNull(), F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
