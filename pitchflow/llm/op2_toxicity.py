@@ -295,8 +295,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn_stems(rows: DataFrame) -> dict[str, str]:
-    """Word beginnings whose documents are toxic far more often than chance allows: the shortest that do, made as long as
-    loses next to none of their documents."""
+    """Word beginnings whose documents are toxic far more often than chance allows: the least likely first (of equals the
+    longest), without those that begin one that is kept already or go on from it."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     stems = lambda w: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length(w), F.lit(LONGEST))), lambda n: F.substring(w, F.lit(1), n))
     parts = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= SHORTEST), lambda w: F.when(F.length(w) > LONGEST, F.array_append(stems(w), w)).otherwise(stems(w))))
@@ -312,17 +312,14 @@ def learn_stems(rows: DataFrame) -> dict[str, str]:
     # a word doubtful by itself can't pass, however few were tried
     likely = stored(counts.withColumn("tried", F.lit(1)).withColumn("gain", F.when(share > max(0.6, 3 * base), chance).otherwise(0)).groupBy((F.col("gain") > 2).alias("likely"), F.when(F.col("gain") > 2, F.col("stem")).alias("stem")).agg(F.sum("tried").alias("tried"), F.max("n").alias("n"), F.max("t").alias("t"), F.max("gain").alias("gain")), "stems")
     tried = likely.agg(F.coalesce(F.sum("tried"), F.lit(1))).first()[0]
-    shown = {r["stem"]: (r["n"], r["t"]) for r in likely.filter(F.col("likely") & (F.col("gain") > math.log(tried) + 2)).collect()}
-    found = {stem: n for stem, (n, _) in shown.items()}
-    short: set[str] = set()
+    found = likely.filter(F.col("likely") & (F.col("gain") > math.log(tried) + 2)).collect()
     kept: dict[str, str] = {}
-    for stem in sorted(found, key=lambda s: (len(s), s)):
-        if not any(stem[:k] in short for k in range(SHORTEST, len(stem))):
-            short.add(stem)
-            # as many letters as nearly all of its documents share
-            name = max((s for s in found if s.startswith(stem) and found[s] >= 0.95 * found[stem]), key=lambda s: (len(s), s))
-            n, t = shown[name]
-            kept[name] = max([SLIGHT, *(s for least, s in STRONG if (t + base) / (n + 1) >= least)], key=SAID.index)
+    begins: set[str] = set()  # of stems kept
+    for r in sorted(found, key=lambda r: (-round(r["gain"], 9), -len(r["stem"]), r["stem"])):
+        stem, own = r["stem"], (r["t"] + base) / (r["n"] + 1)
+        if stem not in begins and not any(stem[:k] in kept for k in range(SHORTEST, len(stem))):
+            kept[stem] = max([SLIGHT, *(s for least, s in STRONG if own >= least)], key=SAID.index)
+            begins |= {stem[:k] for k in range(SHORTEST, len(stem) + 1)}
     return kept
 
 
