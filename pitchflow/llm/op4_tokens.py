@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchflow.llm import common
-from pitchflow.llm.tokens import BYTE_BPE, vocabulary
+from pitchflow.llm.tokens import BYTE_BPE, _bytes_of_characters, vocabulary
 
 LIMIT = 512
 CHUNK = 256
@@ -144,13 +144,6 @@ def piece_starts(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return starts.astype(bool)
 
 
-def _bytes_of_characters() -> dict[str, int]:
-    """The characters that stand for the 256 bytes in byte-level vocabularies: printable ones for themselves."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class CountingTransducer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:

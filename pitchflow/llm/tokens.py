@@ -1,4 +1,10 @@
-"""Token ids by the tokenizers library, a unit of text at a time.
+"""Token ids as the tokenizers library gives them, fast.
+
+The vocabularies' merges also run in tiktoken, several times as fast, with the same result: it merges the pair whose
+whole has the lowest id, and ids are in the order of the merges here (which is checked), so that the two could only
+differ for a token that isn't its own encoding (tests encode every token). It gets what needs no normalization and where
+both libraries cut alike: texts of characters below U+0100 without a special string, and words of letters. All else goes
+to the tokenizers library, a unit of text at a time.
 
 A unit is a stretch of text that the tokenizer is known to treat by itself. Units repeat, so each Python worker keeps
 the ids of the units that it has met in a bounded table and calls the library for the others only, many in one text.
@@ -11,11 +17,14 @@ by adding up the tokens' lengths. Any other unit is a text of its own.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pitchflow.llm.common import held
 
@@ -39,7 +48,14 @@ _SPACED = re.compile(r" \S+")
 #: A word and the marks behind it are pieces of their own. One unit a line.
 _WORD_AND_MARKS = re.compile(rb"^((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?$&%#*]*)$", re.MULTILINE)
 #: Bytes of text that are taken apart at a time, and units that the library gets as one text.
-WINDOW, JOINED = 1 << 20, 4096
+WINDOW, JOINED = 4 << 20, 4096
+
+
+def _bytes_of_characters() -> dict[str, int]:
+    """The characters that stand for the 256 bytes in byte-level vocabularies: printable ones for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 class UnitTokenizer:
@@ -62,11 +78,32 @@ class UnitTokenizer:
         self.sizes = np.zeros(max(tokens.values()) + 1, dtype=np.int64)
         for token, i in tokens.items():  # a byte of text is a character of a token
             self.sizes[i] = len(token) if token in added or not token.endswith("</w>") else len(token) - 4
+        self.special = tuple(x.encode() for x in added)
+        self.quick, self.closes = self._quick_model(tokens)
         self.plain = re.compile(("[" + "".join(re.escape(c) for c in self._unchanged()) + "]+") if self.by_word else r"\S+")
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.line = b"" if self.by_word else self._alone([b"\n"])[0]
 
+    def _quick_model(self, tokens: dict[str, int]):
+        """The merges in tiktoken, and whether each id ends a word. A word's end is written as a zero byte."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(vocabulary(WORD_BPE if self.by_word else BYTE_BPE), encoding="utf-8") as file:
+            merges = [m if isinstance(m, list) else m.split(" ") for m in json.load(file)["model"]["merges"]]
+        first = 512 if self.by_word else 256  # below are bytes, and bytes at a word's end
+        if any(tokens.get(a + b) != first + k for k, (a, b) in enumerate(merges)):
+            raise ValueError("ids aren't in the order of merges")
+        byte, end = _bytes_of_characters(), "</w>" if self.by_word else ""
+        raw = lambda t: bytes(byte[c] for c in t[: len(t) - len(end)]) + b"\0" if end and t.endswith(end) else bytes(byte[c] for c in t)
+        ranks = {raw(t): i for t, i in tokens.items() if i < first + len(merges)}
+        closes = np.zeros(max(tokens.values()) + 1, dtype=bool)
+        if end:
+            closes[[i for t, i in tokens.items() if t.endswith(end)]] = True
+        pattern = r"[^\x00]+\x00" if self.by_word else public_tokenizers.PATTERN
+        return tiktoken.Encoding(f"quick {first}", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), closes
+
     def _unchanged(self) -> Iterator[str]:
         """Characters below U+0100 whose normal form is as long, whatever stands beside them."""
         for c in map(chr, (*range(0x21, 0x7F), *range(0xA1, 0x100))):
@@ -81,7 +118,10 @@ class UnitTokenizer:
     def _joined(self, units: list[bytes]) -> list[bytes]:
         """Ids of units without white space, each behind a space, as one text."""
         text = b" " + b" ".join(units)
-        ids = np.array(self.model.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u2")
+        if (short := self._short(text)) and not self.by_word:
+            ids = np.array(self.quick.encode_ordinary(short), dtype="<u2")
+        else:
+            ids = np.array(self.model.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, dtype="<u2")
         ends, reached = np.cumsum([len(u) + (not self.by_word) for u in units]), np.cumsum(self.sizes[ids])
         at = np.searchsorted(reached, ends)
         if not len(ids) or at[-1] != len(ids) - 1 or (reached[at] != ends).any():
@@ -89,10 +129,28 @@ class UnitTokenizer:
         raw, stops = ids.tobytes(), ((at + 1) * 2).tolist()
         return [raw[a:b] for a, b in zip([0, *stops], stops)]
 
+    def _short(self, text: bytes) -> str | None:
+        """A text of characters below U+0100 without special strings, else nothing."""
+        if any(x in text for x in self.special):
+            return None
+        decoded = text.decode()
+        try:
+            decoded.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return decoded
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters in lower case."""
+        ids = np.array(self.quick.encode_ordinary((b"\0".join(words) + b"\0").decode()), dtype="<u2")
+        raw, stops = ids.tobytes(), ((np.nonzero(self.closes[ids])[0] + 1) * 2).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
     def _learn(self, missing: set[bytes]) -> None:
         known, odd = self.known, []
         found = _WORD_AND_MARKS.findall(b"\n".join([u for u in missing if u[:1] != b"\n"]))
-        units, words, marks = [w + m for w, m in found], [w.lower() if self.by_word else w for w, _ in found], [m for _, m in found]
+        units, words, marks = [w + m for w, m in found], [w.decode().lower().encode() if self.by_word else w for w, _ in found], [m for _, m in found]
+        lettered = set(words)
         for unit in missing.difference(units):
             if unit[:1] not in b" \n" and self.plain.fullmatch(unit.decode()):
                 units.append(unit)
@@ -105,9 +163,10 @@ class UnitTokenizer:
         ids_of.update(zip(every, self._alone(every)))
         of_word = {w: known.get(w) for w in words}
         new = [w for w, ids in of_word.items() if ids is None]
-        for k in range(0, len(new), JOINED):
-            part = new[k : k + JOINED]
-            of_word.update(zip(part, self._joined(part)))
+        for kind, own in ((self._words, [w for w in new if w in lettered]), (self._joined, [w for w in new if w not in lettered])) if self.by_word else ((self._joined, new),):
+            for k in range(0, len(own), JOINED):
+                part = own[k : k + JOINED]
+                of_word.update(zip(part, kind(part)))
         known.update([(u, of_word[w] + ids_of[m]) for u, w, m in zip(units, words, marks)])
         for k in range(0, len(odd), JOINED):
             part = odd[k : k + JOINED]
@@ -122,39 +181,80 @@ class UnitTokenizer:
         if missing := missing.difference(old):
             self._learn(missing)
 
-    def units(self, text: bytes) -> Iterator[list[bytes]]:
-        """The units of each window of a text, as if a line break stood before it where breaks count."""
-        if self.by_word:  # units end at ASCII white space, a part of what is dropped
-            yield from (w.split() for w in _windows(text))
-        elif any(x in text for x in _RUNS) or any(x in text for x in _WIDE) or text[-2:] == b"\n\n":
-            yield [b"\n"]
-            for window in _odd_windows(text.decode()):
-                yield [(u[1:] if _SPACED.fullmatch(u) else " " + u).encode() for u in _AT_SPACE.split(window)]
+    def _odd(self, text: bytes) -> bool:
+        """Whether white space stands in a text in other ways than by single spaces and lines."""
+        return not self.by_word and (any(x in text for x in _RUNS) or any(x in text for x in _WIDE) or text[-2:] == b"\n\n")
+
+    def _odd_ids(self, text: bytes) -> np.ndarray:
+        parts = []
+        for window in _odd_windows(text.decode()):
+            units = [(u[1:] if _SPACED.fullmatch(u) else " " + u).encode() for u in _AT_SPACE.split(window)]
+            self._provide(set(units))
+            parts.append(b"".join(map(self.known.__getitem__, units)))
+        return np.frombuffer(b"".join(parts), dtype="<u2")
+
+    def _ids(self, windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all windows, and where each begins and ends. Units are told apart by Arrow, so that the table is asked
+        once for each of them. Where lines count, a window begins with the break or space before its first unit."""
+        if self.by_word:
+            lists = pc.ascii_split_whitespace(pa.array(windows, pa.binary()).cast(pa.string()))
         else:
-            for k, window in enumerate(_windows(text)):
-                yield ((b"\n" if not k else b"") + window).replace(b"\n", b" \n").split(b" ")[1:]
+            lists = pc.split_pattern(pa.array([w.replace(b"\n", b" \n") for w in windows], pa.binary()), b" ")
+        coded = lists.flatten().dictionary_encode()
+        units, index = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        self._provide(set(units))
+        found = list(map(self.known.__getitem__, units))
+        raw, size = np.frombuffer(b"".join(found), dtype="<u2"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        first = lists.offsets.to_numpy().astype(np.int64)
+        each = size[index]
+        if not self.by_word:
+            each[first[:-1]] = 0  # nothing stands before the first space
+        ends = np.cumsum(each)
+        shift = (np.cumsum(size) - size)[index] - (ends - each)
+        ids = raw[np.repeat(shift, each) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.concatenate([[0], ends])[first]
 
     def encode(self, texts: Iterable[bytes], end: bytes = b"") -> Iterator[np.ndarray]:
         """Ids of each text, and end behind them."""
-        group: list[list[list[bytes]]] = []
+        group: list[bytes] = []
         size = 0
         for text in texts:
-            group.append(list(self.units(text)))
+            group.append(text)
             size += len(text)
-            if size > WINDOW or len(group) >= 1000:
+            if size > WINDOW:
                 yield from self._encode(group, end)
                 group, size = [], 0
         yield from self._encode(group, end)
 
-    def _encode(self, group: list[list[list[bytes]]], end: bytes) -> Iterator[np.ndarray]:
-        units: set[bytes] = set()
-        for windows in group:
-            units.update(*windows)
-        self._provide(units)
-        get, line = self.known.__getitem__, len(self.line)
-        for windows in group:
-            ids = b"".join(map(get, windows[0])) if len(windows) == 1 else b"".join([b"".join(map(get, w)) for w in windows])
-            yield np.frombuffer(ids[line:] + end, dtype="<u2")
+    def _encode(self, group: list[bytes], end: bytes) -> Iterator[np.ndarray]:
+        before, last, line = b"" if self.by_word else b"\n", np.frombuffer(end, dtype="<u2"), len(self.line) // 2
+        parts: list[list[np.ndarray]] = [[] for _ in group]
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush() -> None:
+            ids, at = self._ids([w for _, w in waiting])
+            for (i, _), a, b in zip(waiting, at[:-1].tolist(), at[1:].tolist()):
+                parts[i].append(ids[a if parts[i] else a + line : b])
+            waiting.clear()
+
+        for i, text in enumerate(group):
+            if not self.by_word and (short := self._short(text)) is not None:
+                parts[i] += [np.array(self.quick.encode_ordinary(w), dtype="<u2") for w in _odd_windows(short)]
+                continue
+            if self._odd(text):
+                parts[i].append(self._odd_ids(text))
+                continue
+            for k, window in enumerate(_windows(text)):
+                waiting.append((i, window if k else before + window))
+                size += len(window)
+                if size > WINDOW:
+                    flush()
+                    size = 0
+        if waiting:
+            flush()
+        for own in parts:
+            yield np.concatenate([*own, last])
 
 
 def _windows(text: bytes) -> Iterator[bytes]:

@@ -114,6 +114,28 @@ def test_units_share_a_table(name):
     assert got == ids_of(name, values)
 
 
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_tokens_are_their_own_encoding(name):
+    """The merges in both libraries agree where every token is what its own text encodes to."""
+    model = UnitTokenizer(name)
+    byte = tokens._bytes_of_characters()
+    special = set(model.model.get_added_tokens_decoder())
+    for token, i in model.model.get_vocab().items():
+        end = token.endswith("</w>") and model.by_word
+        raw = bytes(byte[c] for c in (token[:-4] if end else token)) + (b"\0" if end else b"")
+        assert i in special or model.quick._core_bpe.encode_single_piece(raw) == [i]
+    assert model.closes.sum() == sum(t.endswith("</w>") for t in model.model.get_vocab()) * model.by_word
+
+
+@pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
+def test_short_characters(name):
+    """Random texts of characters below U+0100 alone, by the quick way."""
+    rng = np.random.default_rng(30)
+    alphabet = [*map(chr, range(256)), *" \n'aeé" * 12]
+    values = ["".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(0, 20)))) for _ in range(20_000)]
+    assert [x.tolist() for x in UnitTokenizer(name).encode(v.encode() for v in values)] == ids_of(name, values)
+
+
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
 def test_units_in_windows(name, monkeypatch):
     monkeypatch.setattr(tokens, "WINDOW", 700)
