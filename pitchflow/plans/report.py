@@ -9,11 +9,14 @@ from pitchflow.operators import report as op
 from pitchflow.params import DEFAULT
 from pitchflow.plans import fixture
 from pitchflow.plans import identity as names
-from pitchflow.plans.fixture import sql
-from pitchflow.plans.play import _GOAL, _SHOT, Match
+from pitchflow.plans.fixture import debounced, sql
+from pitchflow.plans.play import _DRIB, _GOAL, _KEPT, _SAVE, _SHOT, Match
 
 TRACK = ["match_id", "track_id"]
 METRICS = ["passes_total", "passes_complete", "shots", "xg", "goals", "touches"]
+REACH = ("short", "medium", "long")
+#: What a player's events add to.
+EVENTS = [*METRICS, "crosses", *[f"passes_{r}" for r in REACH], *[f"passes_{r}_accurate" for r in REACH], "shots_close", "shots_mid", "shots_long", "interceptions", "interceptions_opponent_half", "dribbles", "dribbles_retained", "tackles", "saves", "saves_jumping", "in_box_touches"]
 ID = "track_id"
 
 
@@ -27,19 +30,42 @@ def _counters(s, d):
     return op.counters(parts, METRICS)
 
 
+def _all_counters(s, d):
+    """Every kind of event, in one aggregation."""
+    m, one = Match(s, d, keep=True), (lambda c: c.cast("double"))
+    passed, taken, tried = play.passes(m.trans), m.shots, m.dribbles
+    is_reach = lambda r: F.col("reach") == r
+    of_pass = {"passes_total": 1.0, "passes_complete": one(F.col("complete")), "crosses": one(F.col("is_cross"))}
+    of_pass |= {f"passes_{r}": one(is_reach(r)) for r in REACH} | {f"passes_{r}_accurate": one(is_reach(r) & F.col("complete")) for r in REACH}
+    touched = m.owned.filter("owner is not null").select("match_id", F.col("owner").alias(ID))
+    in_box = op.in_box_touches(m.segs, m.ball)
+    parts = [
+        (passed.withColumn(ID, F.col("a")), of_pass),
+        (taken, {"shots": 1.0, "xg": F.col("xg")} | {f"shots_{r}": one(is_reach(r)) for r in ("close", "mid", "long")}),
+        (play.goals(taken, m.ball, m.boxes, m.teams, m.directions), {"goals": 1.0}),
+        (touched, {"touches": 1.0}),
+        (play.interceptions(passed), {"interceptions": 1.0, "interceptions_opponent_half": one(F.coalesce(F.col("half") == "opponent", F.lit(False)))}),
+        (tried, {"dribbles": 1.0, "dribbles_retained": one(F.col("retained"))}),
+        (play.tackles(tried), {"tackles": 1.0}),
+        (play.saves(m.ball, m.boxes, m.classes, m.owned), {"saves": 1.0, "saves_jumping": one(F.col("jumping"))}),
+        (in_box, {"in_box_touches": one(F.col("in_box_touches"))}),
+    ]
+    return op.counters(parts, EVENTS)
+
+
 def player_counters(s, d):
-    return _counters(s, d).withColumn("xg", F.round("xg", 4))
+    return _all_counters(s, d).withColumn("xg", F.round("xg", 4))
 
 
-def _stats(s, d):
+def _stats(s, d, counters=None, events=METRICS):
     boxes = play.players(fixture.detections(s, d))
     base = boxes.groupBy(*TRACK).agg(F.count("*").alias("weight")).join(fixture.teams(s, d), TRACK)
     named = identity.majority(fixture.reads(s, d), "number", TRACK).select(*TRACK, "number")
-    return base.join(named, TRACK, "left").join(_counters(s, d), TRACK, "left").fillna(0.0, METRICS)
+    return base.join(named, TRACK, "left").join((counters or _counters)(s, d), TRACK, "left").fillna(0.0, events)
 
 
 def fragment_merge(s, d):
-    return op.fragment_merge(_stats(s, d), METRICS, most=3).withColumn("xg", F.round("xg", 4))
+    return op.fragment_merge(_stats(s, d, _all_counters, EVENTS), EVENTS, most=3).withColumn("xg", F.round("xg", 4))
 
 
 def rate_caps(s, d):
@@ -131,11 +157,37 @@ _C = _GOAL | {
 }
 
 
-def _merged(most: int) -> dict[str, str]:
-    total = ", ".join(f"sum(CASE WHEN place <= {most} AND {m} > 0 THEN {m} ELSE 0 END) AS {m}" for m in METRICS if m != "goals")
+def _part(rows: str, who: str, **adds: str) -> str:
+    return f"SELECT match_id, {who} AS track_id, " + ", ".join(f"CAST({adds.get(m, '0')} AS DOUBLE) AS {m}" for m in EVENTS) + f" FROM {rows}"
+
+
+def _if(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1 ELSE 0 END"
+
+
+_E = {k: v for k, v in _C.items() if k not in ("long", "counted", "stats")} | _DRIB | _KEPT | {"failed": "SELECT match_id, frame_idx, opponent AS track_id, track_id AS on_track FROM drib WHERE NOT retained", "lost": "SELECT match_id, b AS track_id, b_start AS frame_idx, e.mx AS end_x FROM trans WHERE status = 'counted' AND NOT complete AND distance > 3"} | debounced("won", "failed", "match_id, track_id", 500, order="frame_idx, on_track") | debounced("cuts", "lost", "match_id, track_id", 250) | _SAVE
+_E |= {
+    "boxed": 'SELECT s.match_id, s.owner AS track_id, count(*) AS n FROM segs s JOIN ball b ON b.match_id = s.match_id AND b.frame_idx = s."end" WHERE s.owner IS NOT NULL AND (mx BETWEEN 0 AND 16.5 OR mx BETWEEN 88.5 AND 105) AND my BETWEEN 34 - 20.15e0 AND 34 + 20.15e0 GROUP BY s.match_id, s.owner',
+    "long": " UNION ALL ".join([
+        _part("trans WHERE status = 'counted'", "a", passes_total="1", passes_complete=_if("complete"), crosses=_if("is_cross"), **{f"passes_{r}": _if(f"reach = '{r}'") for r in REACH}, **{f"passes_{r}_accurate": _if(f"reach = '{r}' AND complete") for r in REACH}),
+        _part("shots", "track_id", shots="1", xg="xg", **{f"shots_{r}": _if(f"reach = '{r}'") for r in ("close", "mid", "long")}),
+        _part("scored", "track_id", goals="1"),
+        _part("owned WHERE owner IS NOT NULL", "owner", touches="1"),
+        _part("cuts", "track_id", interceptions="1", interceptions_opponent_half=_if("end_x > 52.5")),
+        _part("drib", "track_id", dribbles="1", dribbles_retained=_if("retained")),
+        _part("won", "track_id", tackles="1"),
+        _part("origin", "track_id", saves="1", saves_jumping=_if("d > 15")),
+        _part("boxed", "track_id", in_box_touches="n"),
+    ]),
+}
+_E |= {"counted": _C["counted"].replace(", ".join(f"CAST(sum({m}) AS DOUBLE) AS {m}" for m in METRICS), ", ".join(f"CAST(sum({m}) AS DOUBLE) AS {m}" for m in EVENTS)), "stats": _C["stats"].replace(", ".join(f"coalesce(c.{m}, 0) AS {m}" for m in METRICS), ", ".join(f"coalesce(c.{m}, 0) AS {m}" for m in EVENTS))}
+
+
+def _merged(most: int, before: dict[str, str] = _C, events: list[str] = METRICS) -> dict[str, str]:
+    total = ", ".join(f"sum(CASE WHEN place <= {most} AND {m} > 0 THEN {m} ELSE 0 END) AS {m}" for m in events if m != "goals")
     own, rest = f"sum(CASE WHEN place <= {most} THEN goals ELSE 0 END)", f"sum(CASE WHEN place > {most} THEN goals ELSE 0 END)"
     goals = f"CASE WHEN {own} > 0 THEN {own} ELSE least(1, {rest}) END"
-    return _C | {"merged": f"SELECT match_id, team, number, count(*) AS fragments, arg_min(track_id, place) AS primary_, CAST(sum(weight) AS BIGINT) AS weight, {total}, CASE WHEN count(*) > 1 THEN least(2, {goals}) ELSE {goals} END AS goals FROM (SELECT *, row_number() OVER (PARTITION BY match_id, team, number ORDER BY weight DESC, track_id) AS place FROM stats) t GROUP BY match_id, team, number"}
+    return before | {"merged": f"SELECT match_id, team, number, count(*) AS fragments, arg_min(track_id, place) AS primary_, CAST(sum(weight) AS BIGINT) AS weight, {total}, CASE WHEN count(*) > 1 THEN least(2, {goals}) ELSE {goals} END AS goals FROM (SELECT *, row_number() OVER (PARTITION BY match_id, team, number ORDER BY weight DESC, track_id) AS place FROM stats) t GROUP BY match_id, team, number"}
 
 
 _KITS = {"ranked": "SELECT *, row_number() OVER (PARTITION BY match_id, cls ORDER BY n DESC, color) AS k FROM (SELECT match_id, cls, color, count(*) AS n FROM color_obs WHERE color <> 'Unknown' GROUP BY match_id, cls, color) t", "kits": "SELECT match_id, color FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY n DESC, color) AS place FROM ranked r WHERE cls = 2 AND k <= 4 AND NOT EXISTS (SELECT 1 FROM ranked f WHERE f.cls = 3 AND f.k = 1 AND f.match_id = r.match_id AND f.color = r.color AND NOT EXISTS (SELECT 1 FROM ranked q WHERE q.cls = 1 AND q.k <= 2 AND q.match_id = f.match_id AND q.color = f.color))) t WHERE place <= 2", "worn": "SELECT match_id, track_id, color FROM (" + names._MAJ.format(v="color", t="(SELECT * FROM color_obs WHERE color <> 'Unknown')") + ") t", "named": _C["named"]}
@@ -144,8 +196,8 @@ _SIDES = [_SIDE.format(ax="s.x2", ay="s.y2", bx="s.goal_x", by="30.34e0"), _SIDE
 _INSIDE = "((" + " AND ".join(f"{x} > 0" for x in _SIDES) + ") OR (" + " AND ".join(f"{x} < 0" for x in _SIDES) + "))"
 _TRUTH = "SELECT * FROM (VALUES ('passes_total','Red',30e0),('passes_total','White',20e0),('shots','Red',5e0),('shots','White',0e0),('goals','Red',1e0),('offsides','Red',0e0)) t(metric, team, truth)"
 ORACLE = {
-    "player_counters": sql("SELECT match_id, track_id, passes_total, passes_complete, shots, round(xg, 4) AS xg, goals, touches FROM counted", _C),
-    "fragment_merge": sql('SELECT match_id, team, number, fragments, primary_ AS "primary", weight, passes_total, passes_complete, shots, round(xg, 4) AS xg, goals, touches FROM merged', _merged(3)),
+    "player_counters": sql("SELECT * REPLACE (round(xg, 4) AS xg) FROM counted", _E),
+    "fragment_merge": sql('SELECT * EXCLUDE (primary_, xg), primary_ AS "primary", round(xg, 4) AS xg FROM merged', _merged(3, _E, EVENTS)),
     "rate_caps": sql("SELECT m.match_id, team, number, " + ", ".join(f"least({m}, greatest(1, round_even({c} * r, 0))) AS {m}" for m, c in (("passes_total", 160), ("passes_complete", 150), ("shots", 14))) + " FROM merged m JOIN (SELECT match_id, greatest(0.05e0, count(*) / (25e0/3) / 60 / 90) AS r FROM frames GROUP BY match_id) f ON f.match_id = m.match_id", _merged(20)),
     "team_totals": sql("SELECT match_id, team, " + ", ".join(f"round(sum({m}), 4) AS {m}" for m in METRICS) + " FROM stats GROUP BY match_id, team", _C),
     "player_documents": sql("SELECT match_id, CASE WHEN number IS NOT NULL THEN 'Player ' || number ELSE 'Unknown_' || primary_ END AS player_name, number AS jersey_number, coalesce(team, 'White') AS team, weight AS observations, round(least(1, weight / 100), 2) AS confidence_score, passes_total, CASE WHEN passes_total > 0 THEN round(100 * passes_complete / passes_total, 1) ELSE 0 END AS pass_accuracy, goals, round(touches / (25e0/3), 2) AS time_on_ball FROM merged", _merged(20)),
