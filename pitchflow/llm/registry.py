@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality
+from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, op11_merkle
 
-MODULES = (op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality)
+MODULES = (op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, op11_merkle)
 
 
 def queries() -> dict:
