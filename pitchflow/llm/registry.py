@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, op11_merkle, op12_licenses
+from pitchflow.llm import op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, op11_merkle, op12_licenses, op13_collocations
 
-MODULES = (op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, op11_merkle, op12_licenses)
+MODULES = (op1_kdtree, op2_toxicity, op3_language, op4_tokens, op5_simhash, op6_packing, op7_lines, op8_rans, op9_mixing, op10_quality, op11_merkle, op12_licenses, op13_collocations)
 
 
 def queries() -> dict:
