@@ -1,15 +1,17 @@
 """Collocations: phrases of two to LONGEST words that stand together more often than their parts suggest.
 
-Counting goes over a prefix-free parse. A piece of a text (what lies between marks and line ends) is cut before every
-trigger, a word whose hash is a multiple of WINDOW; where a trigger is long in coming, every FAR-th word after the last is
-cut too, so chunks are of bounded length. A chunk carries the LONGEST - 1 words that follow its own, so every phrase that
-starts among its own words lies inside it, and in no other chunk counts as its own: overlaps are assigned once. Equal text
-is cut equally, so a dictionary of distinct chunks with their frequencies is all that is counted from here on.
+Counting goes over a prefix-free parse. A text is a row of words, with a dot where a piece ends (at marks and line ends).
+It is cut before every trigger, a word that hashes with the one before to a multiple of WINDOW; where a trigger is long in
+coming, every FAR-th word after the last is cut too, so chunks are of bounded length. A chunk carries the LONGEST - 1
+words that follow its own, so every phrase that starts among its own words lies inside it, and in no other chunk counts as
+its own: overlaps are assigned once. Equal text is cut equally, so a dictionary of distinct chunks with their frequencies
+is all that is counted from here on.
 
 Phrases are counted level by level inside the distinct chunks, weighted by their frequencies. A phrase of k words can
 only be frequent where both phrases of k - 1 words in it are; those are marked in a bit table of fixed most size, which
-tasks ask before they emit anything. The table answers by hash: it may let a rare phrase through, which is then counted
-exactly and dropped, and never loses one. So only phrases that may be frequent are shuffled, pre-aggregated.
+tasks ask before they emit anything. Pairs, which words alone hardly narrow down, are counted by hash first, so that
+only their hashes are shuffled. The table may let a rare phrase through, which is then counted exactly and dropped, and
+never loses one. So only phrases that may be frequent are shuffled, pre-aggregated.
 
 Cases: null and empty texts have no pieces; a null lang is `und`, as is one of that name; other letters than A-Z keep
 their case; copies and repeated rows count each time; very long texts and pieces are parsed whole, in memory of a small
@@ -32,11 +34,13 @@ from pyspark.sql import functions as F
 from pitchflow.llm.common import stored, table
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-WINDOW, FAR = 16, 64
+WINDOW, FAR = 32, 128
+#: Bits of the hashes by which phrases are told apart before they are counted.
+HASH_BITS = 40
 #: Bits of the table for each frequent phrase, and log2 of its most bits (16 MB).
 BITS_EACH, MOST_BITS = 16, 27
 #: Characters that a task parses at once, about.
-_AT_ONCE = 2_000_000
+_AT_ONCE = 8_000_000
 _MARKS = r"[.,;:!?\n\x0b\x0c\r]"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,70 +71,80 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - starts, sizes)
 
 
-def cuts(hashes: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """Places of the words before which pieces are cut: their first words, triggers, and every FAR-th word from those."""
-    edge = np.flatnonzero((np.diff(piece, prepend=-1) != 0) | (hashes % np.uint64(WINDOW) == 0))
-    room = np.diff(edge, append=len(piece))
+def cuts(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Places of the words before which texts are cut: their first words, triggers, and every FAR-th word from those."""
+    pair = _join_hash(np.concatenate([hashes[:1], hashes[:-1]]), hashes)
+    edge = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (pair % np.uint64(WINDOW) == 0))
+    room = np.diff(edge, append=len(text))
     more = -(-room // FAR)
     return np.repeat(edge, more) + FAR * _ranges(np.zeros(len(more), dtype=np.int64), more)
 
 
-def parse(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """The text, the words (own and following, space-joined) and the number of own words of every chunk."""
-    pieces = pc.split_pattern_regex(pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), _MARKS, "\n"), "\n")
-    text_of = np.repeat(np.arange(len(texts)), pc.list_value_length(pieces).to_numpy())
-    split = pc.split_pattern_regex(pieces.flatten(), r"[ \t]+")
-    piece = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy())
-    words = split.flatten()
-    real = pc.not_equal(words, "")
-    words, piece = words.filter(real), piece[real.to_numpy(zero_copy_only=False)]
-    if not len(words):
-        return np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64)
-    coded = words.dictionary_encode()
-    start = cuts(_word_hash(coded.dictionary)[coded.indices.to_numpy()], piece)
-    own = np.diff(start, append=len(piece))
-    piece_end = np.searchsorted(piece, piece[start], side="right")
-    size = np.minimum(own + LONGEST - 1, piece_end - start)
+def parse(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """The text, the words (own and following, space-joined) and the number of own ones, and of those that aren't dots, of
+    every chunk."""
+    dotted = pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), _MARKS, " . ")
+    split = pc.split_pattern_regex(dotted, r"[ \t]+")
+    text = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy())
+    coded = split.flatten().dictionary_encode()
+    place = lambda word: (pc.index(coded.dictionary, word).as_py())
+    code, nothing, dot = coded.indices.to_numpy(), place(""), place(".")
+    real = code != nothing
+    # a dot stands between words only, and once
+    code, text = code[real], text[real]
+    again = (code == dot) & ((np.diff(text, prepend=-1) != 0) | (np.concatenate([[-1], code[:-1]]) == dot))
+    code, text = code[~again], text[~again]
+    if not len(code):
+        none = np.zeros(0, np.int64)
+        return none, pa.array([], pa.string()), none, none
+    start = cuts(_word_hash(coded.dictionary)[code], text)
+    own = np.diff(start, append=len(text))
+    size = np.minimum(own + LONGEST - 1, np.searchsorted(text, text[start], side="right") - start)
     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
-    chunks = pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(_ranges(start, size)))), " ")
-    return text_of[piece[start]], chunks, own
+    chunks = pc.binary_join(pa.ListArray.from_arrays(offsets, coded.dictionary.take(pa.array(code[_ranges(start, size)]))), " ")
+    return text[start], chunks, own, np.add.reduceat((code != dot).astype(np.int64), start)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches, "text"):
-        text, chunks, own = parse(batch.column("text"))
-        found = pa.table({"lang": batch.column("lang").take(pa.array(text)), "chunk": chunks, "own": pa.array(own, pa.int32())})
-        yield from found.group_by(["lang", "chunk", "own"], use_threads=False).aggregate([([], "count_all")]).rename_columns(["lang", "chunk", "own", "n"]).cast(_CHUNK).combine_chunks().to_batches()
+        text, chunks, own, words = parse(batch.column("text"))
+        found = pa.table({"lang": batch.column("lang").take(pa.array(text)), "chunk": chunks, "own": pa.array(own, pa.int32()), "words": pa.array(words, pa.int32())})
+        keys = ["lang", "chunk", "own", "words"]
+        yield from found.group_by(keys, use_threads=False).aggregate([([], "count_all")]).rename_columns([*keys, "n"]).cast(_CHUNK).combine_chunks().to_batches()
 
 
-_CHUNK = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("own", pa.int32()), ("n", pa.int64())])
-_GRAM = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
+_CHUNK = pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("own", pa.int32()), ("words", pa.int32()), ("n", pa.int64())])
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """(lang, chunk, own, n): the distinct chunks of docs(lang, text), how many words are their own, how often they come."""
+    """(lang, chunk, own, words, n): the distinct chunks of docs(lang, text), how many words are their own, with and
+    without dots, and how often they come."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    chunks = rows.mapInArrow(_chunks, "lang string, chunk string, own int, n long")
-    return stored(chunks.groupBy("lang", "chunk", "own").agg(F.sum("n").alias("n")), "chunks")
+    chunks = rows.mapInArrow(_chunks, "lang string, chunk string, own int, words int, n long")
+    return stored(chunks.groupBy("lang", "chunk", "own", "words").agg(F.sum("n").alias("n")), "chunks")
+
+
+def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bit of a hash of HASH_BITS bits in a table."""
+    return (hashes * _MIX) >> np.uint64(64 - bits)
 
 
 class Marks:
-    """A bit for each hash of a frequent phrase."""
+    """A bit for each hash of a frequent phrase of so many words."""
 
-    def __init__(self, bits: int, words: np.ndarray):
-        self.shift, self.words = np.uint64(64 - bits), words
+    def __init__(self, words_each: int, bits: int, words: np.ndarray):
+        self.words_each, self.bits, self.words = words_each, bits, words
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes * _MIX) >> self.shift
+        at = _place(hashes >> np.uint64(64 - HASH_BITS), self.bits)
         return (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def phrase_hashes(chunks: pa.Array, langs: pa.Array, longest: int) -> list[np.ndarray]:
-    """For k = 1 .. longest, the hash of the phrase of k words at each word of the chunks; it is of use where the chunk
-    still has k words. Phrases of different languages differ."""
-    words = pc.split_pattern(chunks, " ").flatten()
-    coded, spoken = words.dictionary_encode(), langs.dictionary_encode()
-    sizes = pc.add(pc.count_substring(chunks, " "), 1).to_numpy()
+def phrase_hashes(flat: pa.Array, batch: pa.RecordBatch, longest: int) -> list[np.ndarray]:
+    """For k = 1 .. longest, the hash of the phrase of k words at each word (flat) of a batch's chunks; it is of use where
+    the chunk still has k words. Phrases of different languages differ."""
+    coded, spoken = flat.dictionary_encode(), batch.column("lang").dictionary_encode()
+    sizes = pc.add(pc.count_substring(batch.column("chunk"), " "), 1).to_numpy()
     own = _word_hash(coded.dictionary)[coded.indices.to_numpy()]
     seed = np.repeat(_word_hash(spoken.dictionary)[spoken.indices.to_numpy()], sizes)
     out = [_join_hash(seed, own)]
@@ -139,65 +153,83 @@ def phrase_hashes(chunks: pa.Array, langs: pa.Array, longest: int) -> list[np.nd
     return out
 
 
-def _count(k: int, marks):
-    """Phrases of k words that may be frequent, pre-aggregated, of the dictionary's chunks."""
+def _starts(batch: pa.RecordBatch, k: int, known: Marks | None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of a batch of the dictionary, and where phrases of k words start that may be frequent, with their chunks.
+    Phrases start among a chunk's own words, end in the chunk and hold no dot."""
+    words = pc.split_pattern(batch.column("chunk"), " ")
+    sizes, own = pc.list_value_length(words).to_numpy().astype(np.int64), batch.column("own").to_numpy()
+    starts_in = np.maximum(np.minimum(own, sizes - k + 1), 0)
+    start, owner = _ranges(np.cumsum(sizes) - sizes, starts_in), np.repeat(np.arange(len(sizes)), starts_in)
+    flat = words.flatten()
+    dots = np.concatenate([[0], np.cumsum(pc.equal(flat, ".").to_numpy(zero_copy_only=False))])
+    whole = dots[start + k] == dots[start]
+    return flat, start[whole], owner[whole]
+
+
+def _count(k: int, marks, by_hash: bool = False):
+    """Phrases of k words that may be frequent, pre-aggregated, of the dictionary's chunks; by_hash: their hashes only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = marks.value if marks else None
+        known = marks.value if marks else []
         for batch in _slices(batches, "chunk"):
-            chunks = batch.column("chunk")
-            words = pc.split_pattern(chunks, " ")
-            sizes, own = pc.list_value_length(words).to_numpy().astype(np.int64), batch.column("own").to_numpy()
-            first = np.cumsum(sizes) - sizes
-            # phrases start among a chunk's own words and end in the chunk
-            starts_in = np.maximum(np.minimum(own, sizes - k + 1), 0)
-            start, owner = _ranges(first, starts_in), np.repeat(np.arange(len(sizes)), starts_in)
-            if known is not None and len(start):
-                shorter = phrase_hashes(chunks, batch.column("lang"), k - 1)[-1]
-                may = known.has(shorter[start]) & known.has(shorter[start + 1])
+            flat, start, owner = _starts(batch, k, known)
+            hashes = phrase_hashes(flat, batch, k) if known else []
+            for table_ in known:
+                of = hashes[table_.words_each - 1]
+                may = np.ones(len(start), dtype=bool)
+                for j in range(k - table_.words_each + 1):
+                    may &= table_.has(of[start + j])
                 start, owner = start[may], owner[may]
             if not len(start):
                 continue
-            flat = words.flatten()
-            if k == 1:
-                phrase = flat.take(pa.array(start))
+            n = batch.column("n").take(pa.array(owner))
+            if by_hash:
+                found = pa.table({"hash": pa.array((hashes[-1][start] >> np.uint64(64 - HASH_BITS)).astype(np.int64)), "n": n})
             else:
                 parts = [flat.take(pa.array(start + j)) for j in range(k)]
-                phrase = pc.binary_join_element_wise(*parts, " ")
-            found = pa.table({"lang": batch.column("lang").take(pa.array(owner)), "phrase": phrase, "n": batch.column("n").take(pa.array(owner))})
-            yield from found.group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"]).cast(_GRAM).combine_chunks().to_batches()
+                found = pa.table({"lang": batch.column("lang").take(pa.array(owner)), "phrase": parts[0] if k == 1 else pc.binary_join_element_wise(*parts, " "), "n": n})
+            names = found.column_names
+            yield from found.group_by(names[:-1], use_threads=False).aggregate([("n", "sum")]).rename_columns(names).cast(pa.schema([(c, pa.int64() if c in ("n", "hash") else pa.string()) for c in names])).combine_chunks().to_batches()
 
     return run
 
 
+def _bits_of(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
+    at = np.unique(_place(hashes, bits))
+    word = (at >> np.uint64(6)).astype(np.int64)
+    begins = np.flatnonzero(np.diff(word, prepend=-1))
+    ones = np.left_shift(np.uint64(1), at & np.uint64(63))
+    return pa.RecordBatch.from_arrays([pa.array(word[begins]), pa.array(np.bitwise_or.reduceat(ones, begins).view(np.int64))], ["word", "bits"])
+
+
 def _marked(bits: int):
-    """The words of the bit table that a batch of frequent phrases sets."""
+    """The words of the bit table that a batch of frequent phrases, or of their hashes, sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            phrases = batch.column("phrase")
-            sizes = pc.add(pc.count_substring(phrases, " "), 1).to_numpy()
-            k = int(sizes[0])
-            hashes = phrase_hashes(phrases, batch.column("lang"), k)[-1][np.cumsum(sizes) - sizes]
-            at = np.unique((hashes * _MIX) >> np.uint64(64 - bits))
-            word = (at >> np.uint64(6)).astype(np.int64)
-            begins = np.flatnonzero(np.diff(word, prepend=-1))
-            ones = np.left_shift(np.uint64(1), at & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array(word[begins]), pa.array(np.bitwise_or.reduceat(ones, begins).view(np.int64))], ["word", "bits"])
+            if "hash" in batch.schema.names:
+                yield _bits_of(batch.column("hash").to_numpy().astype(np.uint64), bits)
+                continue
+            words = pc.split_pattern(batch.column("phrase"), " ")
+            sizes = pc.list_value_length(words).to_numpy().astype(np.int64)
+            one = pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("phrase")], ["lang", "chunk"])
+            yield _bits_of(phrase_hashes(words.flatten(), one, int(sizes[0]))[-1][np.cumsum(sizes) - sizes] >> np.uint64(64 - HASH_BITS), bits)
 
     return run
 
 
-def marks(frequent: DataFrame) -> Marks:
-    """The bit table of frequent(lang, phrase), all of one length: at most 2^MOST_BITS bits, however many there are."""
+def marks(frequent: DataFrame, words_each: int) -> Marks:
+    """The bit table of frequent(lang, phrase, ...) or (hash, ...), phrases of so many words: at most 2^MOST_BITS bits,
+    however many there are."""
     bits = min(MOST_BITS, max(10, int(BITS_EACH * frequent.count()).bit_length()))
-    found = frequent.select("lang", "phrase").mapInArrow(_marked(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    asked = frequent.select(*[c for c in ("hash", "lang", "phrase") if c in frequent.columns])
+    found = asked.mapInArrow(_marked(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     table_ = np.zeros(1 << (bits - 6), dtype=np.uint64)
     for row in found.toArrow().to_batches():
         table_[row.column("word").to_numpy()] = row.column("bits").to_numpy().view(np.uint64)
-    return Marks(bits, table_)
+    return Marks(words_each, bits, table_)
 
 
 def frequent_phrases(chunks: DataFrame, longest: int = LONGEST, least: int = LEAST) -> list[DataFrame]:
@@ -205,8 +237,11 @@ def frequent_phrases(chunks: DataFrame, longest: int = LONGEST, least: int = LEA
     sc = chunks.sparkSession.sparkContext
     out: list[DataFrame] = []
     for k in range(1, longest + 1):
-        asked = sc.broadcast(marks(out[-1])) if out else None
-        grams = chunks.mapInArrow(_count(k, asked), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+        known = [marks(out[-1], k - 1)] if out else []
+        if k == 2:
+            hashed = chunks.mapInArrow(_count(k, sc.broadcast(known), by_hash=True), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+            known = [marks(stored(hashed.filter(F.col("n") >= least).select("hash"), "pairs"), k)]
+        grams = chunks.mapInArrow(_count(k, sc.broadcast(known)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
         out.append(stored(grams.filter(F.col("n") >= least), f"phrases-{k}"))
     return out
 
@@ -221,7 +256,7 @@ def _parts(phrases: DataFrame, least: int, most) -> DataFrame:
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best phrases of each language."""
     chunks = dictionary(docs)
-    total = chunks.groupBy("lang").agg(F.sum(F.col("own") * F.col("n")).alias("n"))
+    total = chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("n")).alias("n"))
     levels = frequent_phrases(chunks, longest, least)
     counted = reduce(DataFrame.unionByName, levels).withColumnRenamed("n", "a")
     phrases = reduce(DataFrame.unionByName, levels[1:]).select("lang", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))

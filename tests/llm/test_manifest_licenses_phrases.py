@@ -222,13 +222,19 @@ def test_collocations_by_brute_force(spark):
         assert got == _collocations(rows, least, top)
 
 
+def _whole(ws):
+    return "." not in ws
+
+
 def test_chunks_hold_every_phrase_once():
     texts = [t for _, t in _corpus()]
     want = Counter(tuple(ws[i : i + k]) for t in texts for ws in _pieces(t) for k in range(1, 6) for i in range(len(ws) - k + 1))
-    _, chunks, own = op13_collocations.parse(pa.array(texts))
-    got = Counter(tuple(ws[i : i + k]) for ws, n in zip((c.split(" ") for c in chunks.to_pylist()), own.tolist()) for k in range(1, 6) for i in range(min(n, len(ws) - k + 1)))
+    _, chunks, own, words = op13_collocations.parse(pa.array(texts))
+    split = [c.split(" ") for c in chunks.to_pylist()]
+    got = Counter(tuple(ws[i : i + k]) for ws, n in zip(split, own.tolist()) for k in range(1, 6) for i in range(min(n, len(ws) - k + 1)) if _whole(ws[i : i + k]))
     assert got == want
-    assert max(own) <= op13_collocations.FAR and max(len(c.split(" ")) for c in chunks.to_pylist()) <= op13_collocations.FAR + 4
+    assert words.tolist() == [sum(w != "." for w in ws[:n]) for ws, n in zip(split, own.tolist())]
+    assert max(own) <= op13_collocations.FAR and max(map(len, split)) <= op13_collocations.FAR + 4
     # what follows a trigger is cut alike, whatever came before
     first, second = (op13_collocations.parse(pa.array([t]))[1].to_pylist() for t in (texts[0], "And else " + texts[0]))
     assert len(set(first) - set(second)) <= 1
@@ -236,11 +242,12 @@ def test_chunks_hold_every_phrase_once():
 
 def test_marks_lose_nothing(spark):
     frequent = spark.range(3_000).select(F.lit("en").alias("lang"), F.concat_ws(" ", F.lit("a"), F.col("id").cast("string")).alias("phrase"))
-    marks = op13_collocations.marks(frequent)
-    phrases = pa.array([r.phrase for r in frequent.collect()])
-    hashes = lambda p, lang: op13_collocations.phrase_hashes(p, pa.array([lang] * len(p)), 2)[-1][::2]
-    assert marks.has(hashes(phrases, "en")).all()
-    assert marks.has(hashes(phrases, "de")).mean() < 0.2 and len(marks.words) * 64 <= 2 * 16 * 3_000
+    marks = op13_collocations.marks(frequent, 2)
+    phrases = [r.phrase for r in frequent.collect()]
+    flat = pa.array([w for p in phrases for w in p.split(" ")])
+    hashes = lambda lang: op13_collocations.phrase_hashes(flat, pa.RecordBatch.from_pydict({"lang": [lang] * len(phrases), "chunk": phrases}), 2)[-1][::2]
+    assert marks.has(hashes("en")).all()
+    assert marks.has(hashes("de")).mean() < 0.2 and len(marks.words) * 64 <= 2 * 16 * 3_000
 
 
 def test_collocations_of_odd_rows(spark, odd, clashing, empty, tmp_path):
