@@ -37,29 +37,32 @@ def _claims(reads: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts).sort_values(["frame_idx", "track_id"], kind="stable")
 
 
+EVENT = ["event", "track_id", "team", "number", "frame_idx", "score", "stolen_from"]
+
+
+def settle(claims: pd.DataFrame, held: dict[tuple, tuple[int, float]], locked: dict[int, int], registered: set[int]) -> list[tuple]:
+    """The events of claims in time. held: (team, number) to the track and its score; it, locked and registered go on."""
+    out: list[tuple] = []
+    of_note = claims[claims["may"].astype(bool) | (claims["best"] >= REGISTER)]
+    for frame, track, team, number, score, may in of_note[["frame_idx", "track_id", "team", "leader", "best", "may"]].to_numpy().tolist():
+        if track in locked:
+            continue
+        if score >= REGISTER and number not in registered:
+            registered.add(number)
+            out.append(("registered", track, team, number, frame, score, None))
+        owner = held.get((team, number))
+        if may and (owner is None or score > owner[1] + STEAL):
+            held[team, number] = (track, score)
+            locked[track] = number
+            out.append(("locked", track, team, number, frame, score, owner and owner[0]))
+    return out
+
+
 def _settle(reads: pd.DataFrame) -> pd.DataFrame:
     """A match's locks and registrations, in time."""
     own = reads[reads["confidence"] >= FLOOR].sort_values(["track_id", "frame_idx"], kind="stable")
-    out: list[tuple] = []
-    if len(own):
-        claims = _claims(own)
-        held: dict[tuple, tuple[int, float]] = {}
-        locked: dict[int, int] = {}
-        registered: set[int] = set()
-        of_note = claims[claims["may"] | (claims["best"] >= REGISTER)]
-        for frame, track, team, number, score, may in of_note[["frame_idx", "track_id", "team", "leader", "best", "may"]].to_numpy().tolist():
-            if track in locked:
-                continue
-            if score >= REGISTER and number not in registered:
-                registered.add(number)
-                out.append(("registered", track, team, number, frame, score, None))
-            owner = held.get((team, number))
-            if may and (owner is None or score > owner[1] + STEAL):
-                held[team, number] = (track, score)
-                locked[track] = number
-                out.append(("locked", track, team, number, frame, score, owner and owner[0]))
-    found = pd.DataFrame(out, columns=["event", "track_id", "team", "number", "frame_idx", "score", "stolen_from"])
-    return found.assign(match_id=reads["match_id"].iloc[0])
+    found = settle(_claims(own), {}, {}, set()) if len(own) else []
+    return pd.DataFrame(found, columns=EVENT).assign(match_id=reads["match_id"].iloc[0])
 
 
 def vote_locks(reads: DataFrame, teams: DataFrame) -> DataFrame:
