@@ -118,6 +118,31 @@ def xg(mx: Column, my: Column, goal_x: Column | None = None, header: Column | No
     return F.least(F.lit(0.95), F.greatest(F.lit(0.01), chance))
 
 
+def _goal_mouths(p: Params) -> tuple[float, float, float]:
+    """Left and right in pixels, and the height of both."""
+    return 0.12 * p.width, 0.88 * p.width, 0.50 * p.height
+
+
+def pixel_goal_distance(x: Column, y: Column, p: Params = DEFAULT) -> Column:
+    """Pixels to the nearer goal."""
+    left, right, mid = _goal_mouths(p)
+    return F.least(distance(x, y, F.lit(left), F.lit(mid)), distance(x, y, F.lit(right), F.lit(mid)))
+
+
+def pixel_goal_angle(x: Column, y: Column, p: Params = DEFAULT) -> Column:
+    """The angle between both goals as seen from a place, 1 for half a turn."""
+    left, right, mid = _goal_mouths(p)
+    return angle_between(left - x, mid - y, right - x, mid - y) / math.pi
+
+
+def pixel_xg(x: Column, y: Column, header: Column | None = None, pressed: Column | None = None, p: Params = DEFAULT) -> Column:
+    """Chance of a shot from a place in pixels."""
+    far = F.greatest(F.lit(0.0), F.least(F.lit(1.0), pixel_goal_distance(x, y, p) / (0.6 * p.width)))
+    chance = 1 / (1 + F.exp(-(-3.2 + 4.8 * (1.0 - far) + 1.8 * pixel_goal_angle(x, y, p))))
+    less = lambda c, share: F.lit(1.0) if c is None else F.when(c, share).otherwise(1.0)
+    return F.greatest(F.lit(0.02), F.least(F.lit(0.75), chance * less(header, 0.80) * less(pressed, 0.75)))
+
+
 def density_xg(defenders: Column) -> Column:
     return F.greatest(F.lit(0.01), 0.30 - 0.05 * defenders)
 

@@ -40,6 +40,17 @@ def duplicates(first: DataFrame, second: DataFrame, distance: float = 0.15) -> D
     return pairs.select(*FRAME, F.when(F.col("a_age") > F.col("b_age"), F.col("b_id")).otherwise(F.col("a_id")).alias("track_id")).distinct()
 
 
+def overlapping(boxes: DataFrame, least: float = 0.05, cell: int = 64) -> DataFrame:
+    """Pairs of boxes of a frame whose overlap is above least: a_id < b_id, iou, whether a lies inside b, and how far apart
+    they are. Boxes meet by the columns of cells that they touch, each pair in the first column that both touch."""
+    low = F.floor(F.col("x1") / cell)
+    in_cells = boxes.withColumn("low", low).withColumn("cell", F.explode(F.sequence(low, F.floor(F.col("x2") / cell))))
+    a, b = (_side(in_cells, p, "low", "cell") for p in ("a_", "b_"))
+    met = a.withColumnRenamed("a_cell", "cell").join(b.withColumnRenamed("b_cell", "cell"), [*FRAME, "cell"])
+    met = met.filter((F.col("a_id") < F.col("b_id")) & (F.col("cell") == F.greatest("a_low", "b_low"))).withColumn("iou", g.iou("a_", "b_")).filter(F.col("iou") > least)
+    return met.select(*FRAME, "a_id", "b_id", "iou", g.contains("a_", "b_").alias("inside"), g.center_distance_norm("a_", "b_").alias("apart"))
+
+
 def rescue_pairs(lost: DataFrame, found: DataFrame, oldest: int = 45, distance: float = 0.5, near: float = 0.7) -> DataFrame:
     """Last boxes of lost tracks and boxes of new ones up to oldest frames later, that overlap too little to be matched but
     lie close, neither inside the other. Frames fall into buckets, and a box meets the same and the next bucket only."""
@@ -87,10 +98,13 @@ def appearance_gate(pairs: DataFrame, strong: float = 0.70, weak: float = 0.55,
 
 
 def running_quantile(rows: DataFrame, value: str, q: float = 0.05, last: int = 1000, every: int = 100, least: int = 500, default: float = 0.28) -> DataFrame:
-    """Every so many rows of a match, the quantile of its last values; a default before there are enough."""
-    w = frames_window()
-    numbered = rows.withColumn("n", F.row_number().over(w)).withColumn("recent", F.collect_list(value).over(w.rowsBetween(1 - last, 0)))
-    asked = numbered.filter(F.col("n") % every == 0).select("match_id", "n", F.sort_array("recent").alias("v"))
+    """Every so many rows of a match, the quantile of its last values (last: a multiple of every); a default before there
+    are enough. Rows fall into blocks of every; a window of the last blocks exists only where a block is full, so a value
+    is held in as many lists as blocks make a window, and not in as many as rows."""
+    numbered = rows.select("match_id", value, F.row_number().over(frames_window()).alias("n"))
+    blocks = numbered.groupBy("match_id", F.expr(f"(n - 1) div {every}").alias("block")).agg(F.collect_list(value).alias("own"), F.count("*").alias("size"))
+    recent = F.flatten(F.collect_list("own").over(Window.partitionBy("match_id").orderBy("block").rowsBetween(1 - last // every, 0)))
+    asked = blocks.withColumn("v", F.sort_array(recent)).filter(F.col("size") == every).select("match_id", ((F.col("block") + 1) * every).cast("int").alias("n"), "v")
     place = (F.size("v") - 1) * F.lit(q)
     low = F.floor(place).cast("int")
     at = lambda i: F.element_at("v", i + 1)

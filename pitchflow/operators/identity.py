@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchflow.functions import labels as l
-from pitchflow.operators.lineage import cut
+from pitchflow.operators.lineage import cut, shared
 from pitchflow.operators.sequence import debounce
 
 TRACK = ["match_id", "track_id"]
@@ -127,12 +127,33 @@ def registry(reads: DataFrame, least: float = 0.5) -> DataFrame:
     return first.select("match_id", F.col("f.track_id").alias("track_id"), "number")
 
 
-def track_to_jersey(reads: DataFrame, registered: DataFrame) -> DataFrame:
-    """Number of each track: a lock, else registered, else recovered by votes, else by raw reads; the earlier source wins.
-    A track that registered several numbers takes the smallest."""
-    locks, votes = tier_lock(reads).select(*TRACK, "number"), vote_recovery(reads)
-    sources = [locks, registered.select(*TRACK, "number"), votes]
-    raw = raw_read_recovery(reads, reduce(DataFrame.unionByName, sources)).select(*TRACK, "number")
+def tallies(reads: DataFrame, needed: float = 6.0, floor: float = 0.40, sure: float = 0.5) -> DataFrame:
+    """(match_id, track_id, number): all that the rules for a track's number ask of its reads, in one pass: when the number
+    locks it (tier_lock), its score and tally (scores), all its reads, and when it was first read surely."""
+    rows = reads.repartition(*TRACK)  # the windows and the groups need no other layout
+    own = F.sum(l.confidence_tier(F.col("confidence"))).over(_in_order(*TRACK, "number").rowsBetween(Window.unboundedPreceding, 0))
+    run = rows.withColumn("own", own).withColumn("most", F.max("own").over(_in_order().rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda test: F.min(F.when(test, F.col("frame_idx")))
+    rated, voted = F.when(F.col("confidence") >= floor, F.col("confidence")), F.col("confidence") >= floor
+    return run.groupBy(*TRACK, "number").agg(at((F.col("own") >= needed) & (F.col("own") >= F.col("most"))).alias("locked_at"), F.round(F.sum(rated), 6).alias("score"), F.count_if(voted).alias("tally"), F.count("*").alias("reads"), at(F.col("confidence") >= sure).alias("sure_at"))
+
+
+def track_to_jersey(reads: DataFrame, registered: DataFrame | None = None) -> DataFrame:
+    """Number of each track: a lock, else registered (registered(match_id, track_id, number), or by registry()), else
+    recovered by votes, else by raw reads; the earlier source wins. A track that registered several numbers takes the
+    smallest. The reads are gone through once; all sources come from a row for each number of a track."""
+    told = shared(tallies(reads))
+    locks = told.filter("locked_at is not null").groupBy(*TRACK).agg(F.min_by("number", "locked_at").alias("number"))
+    if registered is None:
+        first = told.filter("sure_at is not null").groupBy("match_id", "number").agg(F.min(F.struct("sure_at", "track_id")).alias("f"))
+        registered = first.select("match_id", F.col("f.track_id").alias("track_id"), "number")
+    rank = Window.partitionBy(*TRACK).orderBy(F.desc("score"), F.desc(F.col("number").cast("string")))
+    votes = told.filter("tally > 0").withColumn("place", F.row_number().over(rank)).withColumn("second", F.coalesce(F.lead("score").over(rank), F.lit(0.0)))
+    votes = votes.filter("place = 1 and tally >= 2 and score - second >= 0.3 and score >= 0.50")
+    sources = [rows.select(*TRACK, "number") for rows in (locks, registered, votes)]
+    held = reduce(DataFrame.unionByName, sources).select("match_id", "number").distinct()
+    most = told.groupBy("match_id", "number").agg(F.sum("reads").alias("n"), F.min(F.struct((-F.col("reads")).alias("n"), F.col("track_id").alias("t"))).alias("b"))
+    raw = most.filter("n >= 20").join(held, ["match_id", "number"], "left_anti").select("match_id", F.col("b.t").alias("track_id"), "number")
     every = reduce(DataFrame.unionByName, [rows.withColumn("source", F.lit(k)) for k, rows in enumerate([*sources, raw], 1)])
     return every.groupBy(*TRACK).agg(F.min(F.struct("source", "number")).alias("b")).select(*TRACK, "b.number", "b.source")
 

@@ -27,8 +27,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared(df: DataFrame) -> DataFrame:
     """Written once as Parquet into the shared folder and read back: columns are pruned, filters pushed down, and the
-    size is known, so that a small table is broadcast and a large one isn't."""
+    size is known, so that a small table is broadcast and a large one isn't. Row groups are small, for the next plan may be
+    heavier for each byte than a scan."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/match-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,9 @@
 """Ball, possession, passes, duels, shots and goals.
 
 Inputs: frames(match_id, frame_idx), detections(match_id, frame_idx, box_idx, cls, track_id, x1 .. y2, conf),
-teams(match_id, track_id, team). Everything is joined on the frame within a match and windowed by match."""
+teams(match_id, track_id, team). Everything is joined on the frame within a match and windowed by match. Where an operator
+looks at the boxes of a frame together it takes them as one row (in_frames), so that joins move a row for each frame and
+not one for each box; it packs them itself if it is given single boxes."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pitchflow.functions import geometry as g
 from pitchflow.operators.sequence import debounce, frames_window, islands, known_before
+from pitchflow.operators.tracks import let
 from pitchflow.params import DEFAULT, Params
 
 FRAME = ["match_id", "frame_idx"]
@@ -42,11 +45,37 @@ def players(detections: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return detections.filter("track_id is not null").select(*FRAME, "box_idx", "cls", "track_id", px.alias("px"), py.alias("py"))
 
 
+def in_frames(boxes: DataFrame) -> DataFrame:
+    """A row for each frame: boxes, in their order. Rows that are packed already stay as they are."""
+    if "boxes" in boxes.columns:
+        return boxes.select(*FRAME, "boxes")
+    return boxes.groupBy(*FRAME).agg(F.array_sort(F.collect_list(F.struct("box_idx", "track_id", "cls", "px", "py"))).alias("boxes"))
+
+
+def one_by_one(frames: DataFrame, *more: str) -> DataFrame:
+    """The boxes of packed frames as rows again."""
+    return frames.select(*FRAME, *more, F.inline("boxes"))
+
+
+def first_boxes(boxes: DataFrame) -> DataFrame:
+    """The first box of each id in each frame."""
+    if "boxes" not in boxes.columns:
+        return boxes.groupBy(*FRAME, "track_id").agg(F.min(F.struct("box_idx", "cls", "px", "py")).alias("b")).select(*FRAME, "track_id", "b.*")
+    rare = lambda ids: F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.col("boxes")).otherwise(F.filter("boxes", lambda x, i: F.array_position(ids, x["track_id"]) == i + 1))
+    return one_by_one(boxes.withColumn("boxes", let(F.col("boxes.track_id"), rare)))
+
+
+def owner_in(boxes: Column, mx: Column, my: Column, p: Params = DEFAULT) -> Column:
+    """Of a frame's boxes the nearest to a place within the radius, of any class, the first of equals: (d, box_idx, track_id)."""
+    near = F.array_min(F.transform(boxes, lambda x: F.struct(g.distance(x["px"], x["py"], mx, my).alias("d"), x["box_idx"].alias("box_idx"), x["track_id"].alias("track_id"))))
+    return F.when(mx.isNotNull(), let(near, lambda m: F.when(m["d"] <= p.owner_radius, m)))
+
+
 def nearest_owner(balls: DataFrame, boxes: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Each frame's owner: the nearest box of any class within the radius, the first of equals."""
-    d = g.distance(F.col("px"), F.col("py"), F.col("mx"), F.col("my"))
-    near = boxes.join(balls.filter("mx is not null").select(*FRAME, "mx", "my"), FRAME).withColumn("d", d).filter(F.col("d") <= p.owner_radius)
-    return near.groupBy(*FRAME).agg(F.min(F.struct("d", "box_idx", "track_id")).alias("m")).select(*FRAME, F.col("m.track_id").alias("owner"), F.col("m.d").alias("owner_distance"))
+    """Each frame's owner."""
+    # both sides have a row for each frame, so neither is ever small enough to be sent to all
+    both = in_frames(boxes).hint("merge").join(balls.filter("mx is not null").select(*FRAME, "mx", "my"), FRAME)
+    return both.select(*FRAME, owner_in(F.col("boxes"), F.col("mx"), F.col("my"), p).alias("m")).filter("m is not null").select(*FRAME, F.col("m.track_id").alias("owner"), F.col("m.d").alias("owner_distance"))
 
 
 def ownership(frames: DataFrame, owners: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -62,16 +91,19 @@ def segments(owned: DataFrame) -> DataFrame:
 
 def dominant_class(boxes: DataFrame) -> DataFrame:
     """Most frequent class of each id over its first box of each frame; ties to the class seen first."""
-    first = boxes.groupBy(*FRAME, "track_id").agg(F.min_by("cls", "box_idx").alias("cls"))
-    counted = first.groupBy("match_id", "track_id", "cls").agg(F.count("*").alias("n"), F.min("frame_idx").alias("seen"))
+    counted = first_boxes(boxes).groupBy("match_id", "track_id", "cls").agg(F.count("*").alias("n"), F.min("frame_idx").alias("seen"))
     return counted.groupBy("match_id", "track_id").agg(F.max_by("cls", F.struct(F.col("n"), -F.col("seen"))).alias("dominant_class"))
 
 
 def steps(boxes: DataFrame) -> DataFrame:
-    """Distance of each id to where it was last seen, over the first box of each frame."""
-    first = boxes.groupBy(*FRAME, "track_id").agg(F.min(F.struct("box_idx", "px", "py")).alias("b")).select(*FRAME, "track_id", "b.px", "b.py")
-    w = frames_window("match_id", "track_id")
-    return first.withColumn("step", g.distance(F.col("px"), F.col("py"), F.lag("px").over(w), F.lag("py").over(w)))
+    """Distance of each id to where it was last seen, over the first box of each frame. One shuffle: windows of one order
+    tell first boxes from others and carry the last first one."""
+    w = Window.partitionBy("match_id", "track_id").orderBy("frame_idx", "box_idx")
+    before = F.lag("frame_idx").over(w)
+    marked = boxes.select(*FRAME, "track_id", "box_idx", "px", "py", (before.isNull() | (before != F.col("frame_idx"))).alias("leads"))
+    last = F.last(F.when(F.col("leads"), F.struct("px", "py")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    first = marked.withColumn("last", last).filter("leads")
+    return first.select(*FRAME, "track_id", "px", "py", g.distance(F.col("px"), F.col("py"), F.col("last.px"), F.col("last.py")).alias("step"))
 
 
 def distance_covered(boxes: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -93,10 +125,11 @@ def attack_direction(resident: DataFrame, teams: DataFrame) -> DataFrame:
 
 def opponent_near(asked: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
     """asked(match_id, frame_idx, track_id) with the first other box in array order nearer than radius."""
-    other = boxes.select(*FRAME, "box_idx", F.col("track_id").alias("opponent"), F.col("px").alias("ox"), F.col("py").alias("oy"))
-    own = asked.join(boxes.select(*FRAME, "track_id", "box_idx", "px", "py"), [*FRAME, "track_id"]).groupBy(*asked.columns).agg(F.min(F.struct("box_idx", "px", "py")).alias("me"))
-    near = own.join(other, FRAME).filter((F.col("opponent") != F.col("track_id")) & (g.distance(F.col("me.px"), F.col("me.py"), F.col("ox"), F.col("oy")) < radius))
-    return near.groupBy(*asked.columns).agg(F.min_by("opponent", "box_idx").alias("opponent"))
+    both = asked.distinct().join(in_frames(boxes), FRAME)
+    own = F.get(F.filter("boxes", lambda x: x["track_id"] == F.col("track_id")), F.lit(0))
+    near = lambda me: F.get(F.filter("boxes", lambda x: (x["track_id"] != F.col("track_id")) & (g.distance(me["px"], me["py"], x["px"], x["py"]) < radius)), F.lit(0))["track_id"]
+    found = both.select(*asked.columns, let(own, near).alias("opponent"))
+    return found.filter("opponent is not null").select(*asked.columns, "opponent")
 
 
 def transitions(segs: DataFrame, balls: DataFrame, boxes: DataFrame, teams: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -110,11 +143,9 @@ def transitions(segs: DataFrame, balls: DataFrame, boxes: DataFrame, teams: Data
     seen = balls.select(*FRAME, F.last(at, ignorenulls=True).over(around.rowsBetween(-7, 0)).alias("before"), F.first(at, ignorenulls=True).over(around.rowsBetween(0, 7)).alias("after"))
     pairs = pairs.join(seen.select("match_id", F.col("frame_idx").alias("a_end"), F.col("before").alias("s")), ["match_id", "a_end"], "left")
     pairs = pairs.join(seen.select("match_id", F.col("frame_idx").alias("b_start"), F.col("after").alias("e")), ["match_id", "b_start"], "left")
-    keys = [c for c in pairs.columns]
-    at_end = boxes.select("match_id", F.col("frame_idx").alias("a_end"), "track_id", F.struct("box_idx", "px", "py").alias("box"))
-    who = lambda c: F.max(F.when(F.col("track_id") == F.col(c), F.col("box"))).alias(f"{c}_box")
-    same = (pairs.match_id == at_end.match_id) & (pairs.a_end == at_end.a_end) & at_end.track_id.isin(pairs.a, pairs.b)
-    pairs = pairs.join(at_end, same, "left").select(*[pairs[c] for c in keys], "track_id", "box").groupBy(*keys).agg(who("a"), who("b"))
+    at_end = in_frames(boxes).select("match_id", F.col("frame_idx").alias("a_end"), "boxes")
+    who = lambda c: F.array_max(F.filter("boxes", lambda x: x["track_id"] == F.col(c))).alias(f"{c}_box")
+    pairs = pairs.join(at_end, ["match_id", "a_end"], "left").select(*pairs.columns, who("a"), who("b"))
     team = lambda who: teams.select("match_id", F.col("track_id").alias(who), F.col("team").alias(f"{who}_team"))
     pairs = pairs.join(team("a"), ["match_id", "a"], "left").join(team("b"), ["match_id", "b"], "left")
     contact = g.distance(F.col("a_box.px"), F.col("a_box.py"), F.col("b_box.px"), F.col("b_box.py")) < 0.8
@@ -208,7 +239,7 @@ def goals(taken: DataFrame, balls: DataFrame, boxes: DataFrame, teams: DataFrame
     found = found.join(aims, ["match_id", "team"], "left")
     wrong = found.filter(F.col("attacks_x") != F.col("goal_x")).select(*FRAME, "goal_x")
     rivals = wrong.join(directions.select("match_id", F.col("team").alias("rival"), F.col("attacks_x").alias("goal_x")), ["match_id", "goal_x"])
-    near = boxes.join(rivals, FRAME).join(team_of.withColumnRenamed("team", "rival"), ["match_id", "track_id", "rival"]).join(balls.filter("mx is not null").select(*FRAME, "mx", "my"), FRAME)
+    near = one_by_one(in_frames(boxes).join(rivals, FRAME), "rival").join(team_of.withColumnRenamed("team", "rival"), ["match_id", "track_id", "rival"]).join(balls.filter("mx is not null").select(*FRAME, "mx", "my"), FRAME)
     near = near.withColumn("d", g.distance(F.col("px"), F.col("py"), F.col("mx"), F.col("my"))).filter("d < 15.0")
     better = near.groupBy(*FRAME).agg(F.min(F.struct("d", "box_idx", "track_id", "rival")).alias("m")).select(*FRAME, F.col("m.track_id").alias("other"), F.col("m.rival").alias("rival"))
     found = found.join(better, FRAME, "left").select(*FRAME, F.coalesce("other", "track_id").alias("track_id"), F.coalesce("rival", "team", F.lit("unknown")).alias("team"), F.col("track_id").alias("shooter"), "goal_x")
@@ -223,9 +254,9 @@ def saves(balls: DataFrame, boxes: DataFrame, classes: DataFrame, owned: DataFra
     fast = fast_balls(balls, p).filter((F.col("x2") < 5.0) | (F.col("x2") > 100.0)).join(later, FRAME).filter("x3 is not null and frame_idx < last - 4")
     speed = g.distance(F.col("x3"), F.col("y3"), F.col("x2"), F.col("y2")) / (3.0 / p.effective_fps)
     fast = fast.filter((speed < 5.0) | (F.signum(F.col("x3") - F.col("x2")) != F.signum(F.col("x2") - F.col("x1"))))
-    keepers = boxes.join(classes.filter("dominant_class = 1").select("match_id", "track_id"), ["match_id", "track_id"], "left_semi")
-    keepers = keepers.groupBy(*FRAME, "track_id").agg(F.min(F.struct("box_idx", "px", "py")).alias("k"))
-    near = fast.join(keepers, FRAME).filter(g.distance(F.col("k.px"), F.col("k.py"), F.col("x2"), F.col("y2")) < 2.0)
+    keepers = classes.filter("dominant_class = 1").select("match_id", "track_id")
+    seen = first_boxes(in_frames(boxes).join(fast.select(*FRAME).distinct(), FRAME, "left_semi")).join(keepers, ["match_id", "track_id"], "left_semi")
+    near = fast.join(seen.select(*FRAME, "track_id", "px", "py"), FRAME).filter(g.distance(F.col("px"), F.col("py"), F.col("x2"), F.col("y2")) < 2.0)
     found = debounce(near.select(*FRAME, "track_id"), ["match_id"], max(20, int(p.effective_fps)), strict=False, order=("frame_idx", "track_id"))
     back = found.select("match_id", "track_id", F.col("frame_idx").alias("at"), F.explode(F.expr("sequence(greatest(1, frame_idx - 49), frame_idx)")).alias("frame_idx"))
     back = back.join(owned.filter("owner is not null"), FRAME).filter("owner <> track_id").groupBy("match_id", "track_id", "at").agg(F.max("frame_idx").alias("frame_idx"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ def apart(a: Column, b: Column) -> Column:
     return F.round(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x), 9)
 
 
-def cluster_teams(rows: DataFrame, rounds: int = 5) -> DataFrame:
+def cluster_teams(rows: DataFrame) -> DataFrame:
     """rows(match_id, track_id, features): two clusters for each match by Lloyd's steps, the bigger one 0; matches with
-    fewer than two rows have one. Starts from the row farthest from the match's mean and the row farthest from that."""
+    fewer than two rows have one. Starts from the row farthest from the match's mean and the row farthest from that, and
+    goes on until no centre of any match moves; a match whose centres stand takes no part in later rounds. Centres are
+    rounded to nine digits, so that they come to stand and the order of addition decides nothing."""
     rows = shared(rows.select(*TRACK, "features"))
     width = rows.select(F.size("features")).first()
     size = width[0] if width else 0
@@ -40,10 +43,15 @@ def cluster_teams(rows: DataFrame, rounds: int = 5) -> DataFrame:
     first = rows.join(rows.groupBy("match_id").agg(mean.alias("m")), "match_id").groupBy("match_id").agg(far(apart(F.col("features"), F.col("m"))).alias("a"))
     centers = rows.join(first, "match_id").groupBy("match_id").agg(F.first("a").alias("a"), far(apart(F.col("features"), F.col("a"))).alias("b"))
     side = F.when(apart(F.col("features"), F.col("b")) < apart(F.col("features"), F.col("a")), 1).otherwise(0)
-    for _ in range(rounds):
-        placed = rows.join(centers, "match_id").withColumn("cluster", side)
-        moved = lambda k, old: F.when(F.count_if(F.col("cluster") == k) > 0, F.array(*[F.avg(F.when(F.col("cluster") == k, F.col("features")[i])) for i in range(size)])).otherwise(F.first(old)).alias(old)
-        centers = placed.groupBy("match_id").agg(moved(0, "a"), moved(1, "b"))
+    moved = lambda k, old: F.when(F.count_if(F.col("cluster") == k) > 0, F.array(*[F.round(F.avg(F.when(F.col("cluster") == k, F.col("features")[i])), 9) for i in range(size)])).otherwise(F.first(old)).alias(old)
+    still, stand = shared(centers), []
+    while not still.isEmpty():
+        placed = rows.join(still, "match_id").withColumn("cluster", side)
+        new = placed.groupBy("match_id").agg(F.first("a").alias("a0"), F.first("b").alias("b0"), moved(0, "a"), moved(1, "b"))
+        new = shared(new.withColumn("stands", (F.col("a") == F.col("a0")) & (F.col("b") == F.col("b0"))).drop("a0", "b0"))
+        stand.append(new.filter("stands").drop("stands"))
+        still = new.filter("not stands").drop("stands")
+    centers = reduce(DataFrame.unionByName, stand, centers.limit(0))
     placed = rows.join(centers, "match_id").select(*TRACK, side.alias("cluster"))
     w = Window.partitionBy("match_id")
     ones = F.count_if(F.col("cluster") == 1).over(w)

@@ -40,7 +40,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spine = frames(spark, sf_dir)
+    """The boxes of all frames. A narrow row becomes 24 wide ones, so the rows are dealt out, by match, before they grow."""
+    spine = frames(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "match_id")
     men = spine.select("*", F.explode(F.sequence(F.lit(1), F.lit(23))).alias("p")).selectExpr("match_id", "frame_idx", "p", f"{_x('p')} AS cx", f"{_y('p')} AS cy")
     men = men.selectExpr(
         "match_id", "frame_idx", "p - 1 AS box_idx", "CASE WHEN p=23 THEN 3 WHEN p IN (1,12) THEN 1 ELSE 2 END AS cls", "CAST(p*100 + (frame_idx + p*37) DIV 400 AS INT) AS track_id",

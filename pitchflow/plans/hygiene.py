@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchflow.functions import geometry as g
 from pitchflow.functions import labels as l
+from pitchflow.functions import palette
 from pitchflow.operators import hygiene as op
 from pitchflow.operators import identity, votes
 from pitchflow.plans import fixture
@@ -14,7 +15,6 @@ from pitchflow.plans.fixture import sql
 from pitchflow.plans.identity import _MAJ, _S, _T
 
 TRACK, FRAME = ["match_id", "track_id"], ["match_id", "frame_idx"]
-PALETTE = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (0, 0, 255), "lime": (0, 255, 0), "blue": (255, 0, 0), "yellow": (0, 255, 255), "gray": (128, 128, 128)}
 
 
 def _boxes(s, d):
@@ -109,11 +109,13 @@ def systematic_sample(s, d):
 
 
 def batch_scores(s, d):
+    import numpy as np
     import pandas as pd
 
     def predict(batch):
-        best = batch["v"].map(lambda v: int(max(range(len(v)), key=lambda i: v[i])))
-        return pd.DataFrame({"vec_id": batch["vec_id"], "best": best, "score": [round(float(v[i]), 6) for v, i in zip(batch["v"], best)]})
+        v = np.stack(batch["v"].to_numpy())
+        best = v.argmax(axis=1)
+        return pd.DataFrame({"vec_id": batch["vec_id"], "best": best, "score": v[np.arange(len(v)), best].round(6)})
 
     return op.score_batches(_vectors(s, d).select("vec_id", "v"), predict, "vec_id long, best int, score double")
 
@@ -155,7 +157,7 @@ def ball_near_feet(s, d):
 def named_colors(s, d):
     part = s.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey", "p_partkey * 7 % 256 AS b", "p_partkey * 13 % 256 AS g", "p_partkey * 29 % 256 AS r")
     b, gr, r = F.col("b"), F.col("g"), F.col("r")
-    return part.select("p_partkey", l.nearest_named(b, gr, r, PALETTE).alias("name"), l.nearer_reference(b, gr, r, (40, 40, 200), (220, 220, 220), ("home", "away")).alias("side"))
+    return palette.nearest_names(part).select("p_partkey", "name", l.nearer_reference(b, gr, r, (40, 40, 200), (220, 220, 220), ("home", "away")).alias("side"))
 
 
 QUERIES = {f.__name__: f for f in (duplicate_tracks, rescue_pairs, near_miss_spawns, ghost_merge, gallery_consistent, appearance_gate, running_quantile, aerial_balls, scene_cuts, rolling_color_mode, rolling_number_mode, lock_metrics, best_crops, systematic_sample, batch_scores, verifier_cascade, output_filter, accuracy_by_player, vote_locks, nearest_owner_px, under_pressure_px, ball_near_feet, named_colors)}
@@ -198,5 +200,5 @@ ORACLE = {
     "nearest_owner_px": sql("SELECT match_id, frame_idx, owner, round(d, 4) AS d FROM own_px", _TRACKED | _OWN_PX),
     "under_pressure_px": sql(f"SELECT DISTINCT a.match_id, a.frame_idx, a.track_id FROM own_px o JOIN tracked a ON a.match_id = o.match_id AND a.frame_idx = o.frame_idx AND a.track_id = o.owner JOIN teams ta ON ta.match_id = a.match_id AND ta.track_id = a.track_id JOIN tracked b ON b.match_id = a.match_id AND b.frame_idx = a.frame_idx JOIN teams tb ON tb.match_id = b.match_id AND tb.track_id = b.track_id WHERE a.cls IN (1,2) AND b.cls IN (1,2) AND ta.team <> tb.team AND {_C} <= 90", _TRACKED | _OWN_PX),
     "ball_near_feet": sql("SELECT DISTINCT a.match_id, a.frame_idx, a.track_id FROM tracked a JOIN detections b ON b.match_id = a.match_id AND b.frame_idx = a.frame_idx AND b.cls = 32 WHERE sqrt(((a.x1+a.x2)/2-(b.x1+b.x2)/2)*((a.x1+a.x2)/2-(b.x1+b.x2)/2) + (a.y2-(b.y1+b.y2)/2)*(a.y2-(b.y1+b.y2)/2)) < greatest(CAST(0.9 AS DOUBLE)*(a.x2-a.x1), CAST(0.25 AS DOUBLE)*(a.y2-a.y1))", _TRACKED),
-    "named_colors": "SELECT p_partkey, list_sort([" + ", ".join(f"struct_pack(d := {_ORD(ref)}, k := {k}, n := '{name}')" for k, (name, ref) in enumerate(PALETTE.items())) + f"])[1].n AS name, CASE WHEN {_ORD((40, 40, 200))} < {_ORD((220, 220, 220))} THEN 'home' ELSE 'away' END AS side FROM (SELECT p_partkey, p_partkey * 7 % 256 AS b, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS r FROM part) t",
+    "named_colors": "SELECT p_partkey, list_sort([" + ", ".join(f"struct_pack(d := {_ORD(ref)}, k := {k}, n := '{name}')" for k, (name, ref) in enumerate(palette.WEB.items())) + f"])[1].n AS name, CASE WHEN {_ORD((40, 40, 200))} < {_ORD((220, 220, 220))} THEN 'home' ELSE 'away' END AS side FROM (SELECT p_partkey, p_partkey * 7 % 256 AS b, p_partkey * 13 % 256 AS g, p_partkey * 29 % 256 AS r FROM part) t",
 }

@@ -82,7 +82,7 @@ def raw_read_recovery(s, d):
 
 def track_to_jersey(s, d):
     reads = fixture.reads(s, d)
-    return op.track_to_jersey(reads, op.registry(reads))
+    return op.track_to_jersey(reads)
 
 
 def _mapped(s, d):

@@ -17,10 +17,10 @@ from pitchflow.plans.fixture import debounced, sql
 class Match:
     """The tables that queries share, built when asked for.
 
-    keep: tables that several branches of a plan read are written once."""
+    keep: the frames with their ball, owner and boxes are written once, for plans that read them in several branches."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
-        self.spark, self.sf_dir, self.kept = spark, sf_dir, shared if keep else (lambda df: df)
+        self.spark, self.sf_dir, self.keep = spark, sf_dir, keep
 
     @cached_property
     def frames(self) -> DataFrame:
@@ -34,45 +34,59 @@ class Match:
     def teams(self) -> DataFrame:
         return fixture.teams(self.spark, self.sf_dir)
 
+    @cached_property
+    def table(self) -> DataFrame:
+        """A row for each frame: ball, owner and boxes. Only narrow rows of the ball travel to the packed boxes."""
+        both = play.ball_track(self.frames, self.detections).join(play.in_frames(play.players(self.detections)).hint("merge"), play.FRAME, "left")
+        return shared(both.withColumn("m", play.owner_in(F.col("boxes"), F.col("mx"), F.col("my"))))
+
     @cached_property
     def ball(self) -> DataFrame:
-        return self.kept(play.ball_track(self.frames, self.detections))
+        return self.table.drop("boxes", "m") if self.keep else play.ball_track(self.frames, self.detections)
 
     @cached_property
     def boxes(self) -> DataFrame:
-        return self.kept(play.players(self.detections))
+        """Packed in frames where they are kept, else single."""
+        return self.table.filter("boxes is not null").select(*play.FRAME, "boxes") if self.keep else play.players(self.detections)
+
+    @cached_property
+    def men(self) -> DataFrame:
+        """A row for each box."""
+        return play.one_by_one(self.boxes) if self.keep else self.boxes
 
     @cached_property
     def owners(self) -> DataFrame:
+        if self.keep:
+            return self.table.filter("m is not null").select(*play.FRAME, F.col("m.track_id").alias("owner"), F.col("m.d").alias("owner_distance"))
         return play.nearest_owner(self.ball, self.boxes)
 
     @cached_property
     def owned(self) -> DataFrame:
-        return self.kept(play.ownership(self.frames, self.owners))
+        return play.ownership(self.frames, self.owners)
 
     @cached_property
     def segs(self) -> DataFrame:
-        return self.kept(play.segments(self.owned))
+        return play.segments(self.owned)
 
     @cached_property
     def trans(self) -> DataFrame:
-        return self.kept(play.transitions(self.segs, self.ball, self.boxes, self.teams))
+        return play.transitions(self.segs, self.ball, self.boxes, self.teams)
 
     @cached_property
     def classes(self) -> DataFrame:
-        return self.kept(play.dominant_class(self.boxes))
+        return play.dominant_class(self.boxes)
 
     @cached_property
     def directions(self) -> DataFrame:
-        return play.attack_direction(play.residency(self.boxes), self.teams)
+        return play.attack_direction(play.residency(self.men), self.teams)
 
     @cached_property
     def shots(self) -> DataFrame:
-        return self.kept(play.shots(self.ball, self.owned, self.boxes, self.classes))
+        return play.shots(self.ball, self.owned, self.boxes, self.classes)
 
     @cached_property
     def dribbles(self) -> DataFrame:
-        return self.kept(play.dribbles(self.owned, self.ball, self.boxes))
+        return play.dribbles(self.owned, self.ball, self.boxes)
 
 
 def _r(*names: str, digits: int = 4):

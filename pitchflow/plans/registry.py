@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pitchflow.plans import hygiene, identity, play, report, scalars, teams, tracks
+from pitchflow.plans import events, hygiene, identity, play, report, scalars, teams, tracks
 
-MODULES = (play, scalars, identity, teams, tracks, hygiene, report)
+MODULES = (play, scalars, identity, teams, tracks, hygiene, report, events)
 
 
 def queries() -> dict:

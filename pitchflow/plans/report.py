@@ -124,12 +124,12 @@ def accuracy_compare(s, d):
 
 def pass_packing(s, d):
     m = Match(s, d, keep=True)
-    return op.packing(play.passes(m.trans), m.boxes, m.teams)
+    return op.packing(play.passes(m.trans), m.men, m.teams)
 
 
 def cone_density(s, d):
     m = Match(s, d, keep=True)
-    return op.defenders_in_cone(m.shots, m.boxes, m.teams).withColumn("density_xg", F.round("density_xg", 4))
+    return op.defenders_in_cone(m.shots, m.men, m.teams).withColumn("density_xg", F.round("density_xg", 4))
 
 
 def expected_assists(s, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pitchflow.functions import geometry as g
 from pitchflow.functions import labels as l
+from pitchflow.operators import hygiene as op
 from pitchflow.operators import play
 from pitchflow.params import DEFAULT
 from pitchflow.plans import fixture
@@ -48,12 +49,7 @@ def shot_geometry(s, d):
 
 def pixel_xg(s, d):
     x, y = g.center("x1", "y1", "x2", "y2")
-    left, right, mid = 0.12 * DEFAULT.width, 0.88 * DEFAULT.width, 0.50 * DEFAULT.height
-    angle = g.angle_between(left - x, mid - y, right - x, mid - y) / math.pi
-    near = F.least(g.distance(x, y, F.lit(left), F.lit(mid)), g.distance(x, y, F.lit(right), F.lit(mid)))
-    far = F.greatest(F.lit(0.0), F.least(F.lit(1.0), near / (0.6 * DEFAULT.width)))
-    chance = 1 / (1 + F.exp(-(-3.2 + 4.8 * (1.0 - far) + 1.8 * angle)))
-    return fixture.detections(s, d).filter("cls <> 32").select(*_ID, F.round(F.greatest(F.lit(0.02), F.least(F.lit(0.75), chance)), 4).alias("xg"))
+    return fixture.detections(s, d).filter("cls <> 32").select(*_ID, F.round(g.pixel_xg(x, y), 4).alias("xg"))
 
 
 def box_filters(s, d):
@@ -66,10 +62,7 @@ def frame_sampling(s, d):
 
 
 def box_pairs(s, d):
-    boxes = fixture.detections(s, d).filter("cls <> 32")
-    side = lambda p: boxes.select("match_id", "frame_idx", F.col("track_id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")])
-    pairs = side("a_").join(side("b_"), ["match_id", "frame_idx"]).filter("a_id < b_id").withColumn("iou", g.iou("a_", "b_")).filter("iou > 0.05")
-    return pairs.select("match_id", "frame_idx", "a_id", "b_id", F.round("iou", 4).alias("iou"), g.contains("a_", "b_").alias("inside"), F.round(g.center_distance_norm("a_", "b_"), 4).alias("apart"))
+    return op.overlapping(fixture.detections(s, d).filter("cls <> 32")).withColumn("iou", F.round("iou", 4)).withColumn("apart", F.round("apart", 4))
 
 
 def _hsv(s, d):
@@ -163,7 +156,7 @@ ORACLE = {
     "pixel_xg": sql("SELECT match_id, frame_idx, box_idx, round(greatest(0.02, least(0.75, 1 / (1 + exp(-(-3.2 + 4.8*(1 - greatest(0, least(1, least(n1, n2) / (0.6e0*1920)))) + 1.8 * (acos(greatest(-1, least(1, dot/(n1*n2)))) / pi())))))), 4) AS xg FROM (SELECT *, sqrt((l-x)*(l-x) + (540-y)*(540-y)) AS n1, sqrt((r-x)*(r-x) + (540-y)*(540-y)) AS n2, (l-x)*(r-x) + (540-y)*(540-y) AS dot FROM (SELECT *, (x1+x2)/2 AS x, (y1+y2)/2 AS y, 0.12e0*1920 AS l, 0.88e0*1920 AS r FROM detections WHERE cls <> 32) t) t"),
     "box_filters": sql("SELECT match_id, cls, count(*) AS boxes, " + _counts({"valid": "x1 >= 0 AND x1 < x2 AND x2 <= 1920 AND y1 >= 0 AND y1 < y2 AND y2 <= 1080", "strict": "x2 > x1 AND y2 > y1 AND x1 >= 30 AND y1 >= 30 AND x2 <= 1890 AND y2 <= 1050 AND (x2-x1)/(y2-y1) BETWEEN 0.2 AND 4", "high": "conf >= 0.45", "low": "conf > 0.08 AND conf < 0.45", "ball": "cls = 32 AND conf >= 0.15"}) + " FROM detections GROUP BY match_id, cls"),
     "frame_sampling": sql("SELECT match_id, count(*) AS boxes, count(DISTINCT frame_idx) AS frames FROM detections WHERE frame_idx % 3 = 0 AND frame_idx <= 900 GROUP BY match_id"),
-    "box_pairs": sql("SELECT match_id, frame_idx, a_id, b_id, round(iou, 4) AS iou, inside, round(apart, 4) AS apart FROM (SELECT *, iw*ih / (aa + ba - iw*ih + 1e-6) AS iou FROM (SELECT a.match_id, a.frame_idx, a.track_id AS a_id, b.track_id AS b_id, greatest(0, least(a.x2,b.x2)-greatest(a.x1,b.x1)) AS iw, greatest(0, least(a.y2,b.y2)-greatest(a.y1,b.y1)) AS ih, (a.x2-a.x1)*(a.y2-a.y1) AS aa, (b.x2-b.x1)*(b.y2-b.y1) AS ba, a.x1 >= b.x1 AND a.y1 >= b.y1 AND a.x2 <= b.x2 AND a.y2 <= b.y2 AS inside, sqrt(((a.x1+a.x2)/2-(b.x1+b.x2)/2)*((a.x1+a.x2)/2-(b.x1+b.x2)/2) + ((a.y1+a.y2)/2-(b.y1+b.y2)/2)*((a.y1+a.y2)/2-(b.y1+b.y2)/2)) / greatest(1, b.x2-b.x1, b.y2-b.y1) AS apart FROM detections a JOIN detections b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.track_id < b.track_id) t) t WHERE iou > 0.05"),
+    "box_pairs": sql("SELECT match_id, frame_idx, a_id, b_id, round(iou, 4) AS iou, inside, round(apart, 4) AS apart FROM (SELECT *, iw*ih / (aa + ba - iw*ih + 1e-6) AS iou FROM (SELECT a.match_id, a.frame_idx, a.track_id AS a_id, b.track_id AS b_id, least(a.x2,b.x2)-greatest(a.x1,b.x1) AS iw, least(a.y2,b.y2)-greatest(a.y1,b.y1) AS ih, (a.x2-a.x1)*(a.y2-a.y1) AS aa, (b.x2-b.x1)*(b.y2-b.y1) AS ba, a.x1 >= b.x1 AND a.y1 >= b.y1 AND a.x2 <= b.x2 AND a.y2 <= b.y2 AS inside, sqrt(((a.x1+a.x2)/2-(b.x1+b.x2)/2)*((a.x1+a.x2)/2-(b.x1+b.x2)/2) + ((a.y1+a.y2)/2-(b.y1+b.y2)/2)*((a.y1+a.y2)/2-(b.y1+b.y2)/2)) / greatest(1, b.x2-b.x1, b.y2-b.y1) AS apart FROM celled a JOIN celled b ON a.match_id = b.match_id AND a.frame_idx = b.frame_idx AND a.cell = b.cell AND a.track_id < b.track_id AND a.cell = greatest(a.low, b.low) WHERE least(a.x2,b.x2) > greatest(a.x1,b.x1) AND least(a.y2,b.y2) > greatest(a.y1,b.y1)) t) t WHERE iou > 0.05", {"celled": "SELECT *, unnest(range(low, CAST(floor(x2 / 64) AS BIGINT) + 1)) AS cell FROM (SELECT *, CAST(floor(x1 / 64) AS BIGINT) AS low FROM detections WHERE cls <> 32) t"}),
     "color_labels": f"SELECT p_partkey, CASE WHEN s <= 70 AND v > 150 THEN 'White' WHEN s <= 70 AND v < 80 THEN 'Black' WHEN s <= 70 THEN 'White' {_RANGES} WHEN h > 165 THEN 'Red' {_FALL} ELSE 'Red' END AS kit, CASE WHEN s/255.0 < 0.25 THEN CASE WHEN v/255.0 > 0.75 THEN 'white' WHEN v/255.0 < 0.35 THEN 'black' ELSE 'gray' END WHEN v/255.0 > 0.8 THEN 'light_' || {_BASIC} WHEN v/255.0 < 0.35 THEN 'dark_' || {_BASIC} ELSE {_BASIC} END AS described, CASE WHEN h > 200 AND s > 200 AND v > 200 THEN 'White' WHEN h < 50 AND s < 50 AND v < 50 THEN 'Black' WHEN h > 150 AND s < 100 AND v < 100 THEN 'Red' WHEN v > 150 AND h < 100 AND s < 100 THEN 'Blue' WHEN h > 200 AND s > 200 AND v < 100 THEN 'Yellow' WHEN s > 150 AND h < 100 AND v < 100 THEN 'Green' ELSE 'Unknown' END AS rgb, CASE WHEN (h < 15 OR h > 165) AND s > 50 THEN 'Red' ELSE 'White' END AS red_or_white FROM {_COLORS}",
     "hue_feature": f"SELECT p_partkey, round(cos(h * (pi()/90)), 4) AS cos_h, round(sin(h * (pi()/90)), 4) AS sin_h FROM {_COLORS}",
     "canonical_color": f"SELECT p_partkey, CASE WHEN trim(a) <> '' THEN {_SYN} END AS canonical, coalesce({_APART}, 180) AS apart, CASE WHEN i IN ('Red', 'Green') THEN i WHEN least(ha, 180-ha) <= 30 AND least(ha, 180-ha) <= abs(ha-60) THEN 'Red' WHEN least(abs(ha-60), 180-abs(ha-60)) <= 30 THEN 'Green' ELSE i END AS kit FROM (SELECT *, upper(trim(a)[1]) || lower(trim(a))[2:] AS i, {_HUE.format(c='a')} AS ha, {_HUE.format(c='b')} AS hb FROM (SELECT p_partkey, {_LIST}[p_partkey % 12 + 1] AS a, {_LIST}[CAST(floor(p_partkey / 12.0 % 12 + 1) AS INT)] AS b FROM part) t) t",

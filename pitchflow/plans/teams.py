@@ -111,9 +111,11 @@ _CLUSTER = {
     "seed_a": f"SELECT p.match_id, arg_max(f, struct_pack(d := {_D.format(c='m')}, t := -track_id)) AS a FROM points p JOIN means m ON m.match_id = p.match_id GROUP BY p.match_id",
     "center0": f"SELECT p.match_id, any_value(a) AS a, arg_max(f, struct_pack(d := {_D.format(c='a')}, t := -track_id)) AS b FROM points p JOIN seed_a s ON s.match_id = p.match_id GROUP BY p.match_id",
 }
-for _k in range(5):
-    _CLUSTER[f"center{_k + 1}"] = f"SELECT match_id, CASE WHEN count(*) FILTER (WHERE c = 0) > 0 THEN {_MEAN.format(w='c = 0')} ELSE any_value(a) END AS a, CASE WHEN count(*) FILTER (WHERE c = 1) > 0 THEN {_MEAN.format(w='c = 1')} ELSE any_value(b) END AS b FROM (SELECT p.match_id, f, a, b, {_SIDE} AS c FROM points p JOIN center{_k} q ON q.match_id = p.match_id) t GROUP BY match_id"
-_CLUSTER["clusters"] = f"SELECT match_id, track_id, CASE WHEN 2 * sum(c) OVER (PARTITION BY match_id) > count(*) OVER (PARTITION BY match_id) THEN 1 - c ELSE c END AS cluster FROM (SELECT p.match_id, track_id, {_SIDE} AS c FROM points p JOIN center5 q ON q.match_id = p.match_id) t"
+_ROUND = lambda w: "list_transform(" + _MEAN.format(w=w) + ", lambda x: round(x, 9))"
+# rounds until the centres stand, however many
+_CLUSTER["walk"] = f"SELECT match_id, a, b, FALSE AS stands FROM center0 UNION ALL SELECT match_id, na, nb, na = a AND nb = b FROM (SELECT match_id, any_value(a) AS a, any_value(b) AS b, CASE WHEN count(*) FILTER (WHERE c = 0) > 0 THEN {_ROUND('c = 0')} ELSE any_value(a) END AS na, CASE WHEN count(*) FILTER (WHERE c = 1) > 0 THEN {_ROUND('c = 1')} ELSE any_value(b) END AS nb FROM (SELECT p.match_id, f, a, b, {_SIDE} AS c FROM points p JOIN walk q ON q.match_id = p.match_id WHERE NOT q.stands) t GROUP BY match_id) t"
+_CLUSTER["final"] = "SELECT match_id, a, b FROM walk WHERE stands"
+_CLUSTER["clusters"] = f"SELECT match_id, track_id, CASE WHEN 2 * sum(c) OVER (PARTITION BY match_id) > count(*) OVER (PARTITION BY match_id) THEN 1 - c ELSE c END AS cluster FROM (SELECT p.match_id, track_id, {_SIDE} AS c FROM points p JOIN final q ON q.match_id = p.match_id) t"
 
 _PLAYERS = {
     "named": _MAJ.format(v="number", t="reads"),
