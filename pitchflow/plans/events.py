@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitchflow import sources
 from pitchflow.functions import geometry as g
 from pitchflow.operators import events as op
-from pitchflow.operators import play
+from pitchflow.operators import play, reid
 from pitchflow.plans import fixture
 from pitchflow.plans.fixture import debounced, sql
 from pitchflow.plans.play import _DRIB, _KEPT, _NEAR, Match
@@ -70,7 +70,29 @@ def status_upsert(s, d):
     return out.select("unique_id", "task_id", "status", F.round("size_mb", 4).alias("size_mb"), F.unix_micros("updated_at").alias("updated_us"), F.unix_micros("created_at").alias("created_us"))
 
 
-QUERIES = {f.__name__: f for f in (project_moving, ocr_window_lock, segment_peak_shot, transition_tackle, random_frames, first_jobs, status_upsert)}
+def _seen(s, d):
+    """Each vector is a track; one in three holds a number, one in seven has no colour."""
+    rows = s.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.expr("CAST(vec_id DIV 100 AS INT)").alias("match_id"), F.col("vec_id").alias("track_id"), F.col("vec_id").alias("born"), F.expr("CASE WHEN vec_id % 7 = 3 THEN 'Unknown' WHEN label % 2 = 0 THEN 'Red' ELSE 'White' END").alias("color"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def _bound(tracks):
+    return tracks.filter("track_id % 3 = 0").select(*TRACK, F.expr("CAST(track_id % 29 AS INT) AS number"))
+
+
+def reid_by_look(s, d):
+    tracks = _seen(s, d)
+    return reid.reid_by_look(tracks, _bound(tracks), 0.25)
+
+
+def reid_by_color(s, d):
+    tracks = _seen(s, d)
+    bound = _bound(tracks)
+    registered = bound.join(tracks.select(*TRACK, "color", F.col("born").alias("frame_idx")), TRACK)
+    return reid.reid_by_color(tracks, bound, registered)
+
+
+QUERIES = {f.__name__: f for f in (project_moving, ocr_window_lock, segment_peak_shot, transition_tackle, random_frames, first_jobs, status_upsert, reid_by_look, reid_by_color)}
 
 _LOCK = {
     "voted": f"SELECT match_id, track_id, frame_idx, list(struct_pack(n := number, c := confidence)) FILTER (WHERE confidence >= 0.85 AND iou >= 0.2 AND 1 - cosine <= 0.45) OVER (PARTITION BY match_id, track_id ORDER BY frame_idx RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS l FROM (SELECT match_id, track_id, frame_idx, CAST({_WNUM} AS INT) AS number, {_WCONF} AS confidence, {_WIOU} AS iou, {_WCOS} AS cosine FROM detections WHERE cls IN (1, 2)) t",
@@ -93,7 +115,14 @@ _TURN = _DRIB | _KEPT | {"failed": "SELECT match_id, frame_idx, opponent AS trac
     "tnear": _NEAR.format(asked="turns").replace("< 3)", "< 12)"),
     "turned": "SELECT t.match_id, t.frame_idx, t.b AS track_id, t.track_id AS on_track FROM turns t JOIN reacts r ON r.match_id = t.match_id AND r.frame_idx = t.frame_idx JOIN tnear n ON n.match_id = t.match_id AND n.frame_idx = t.frame_idx AND n.track_id = t.track_id LEFT JOIN teams x ON x.match_id = t.match_id AND x.track_id = t.track_id LEFT JOIN teams y ON y.match_id = t.match_id AND y.track_id = t.b WHERE NOT coalesce(x.team = y.team, FALSE) AND NOT EXISTS (SELECT 1 FROM won w WHERE w.match_id = t.match_id AND abs(w.frame_idx - t.frame_idx) < 25e0/3)",
 } | debounced("tturn", "turned", "match_id, track_id", 375, strict=False)
+_SEEN = {
+    "etracks": "SELECT CAST(vec_id // 100 AS INT) AS match_id, vec_id AS track_id, CASE WHEN vec_id % 7 = 3 THEN NULL WHEN label % 2 = 0 THEN 'Red' ELSE 'White' END AS color, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CASE WHEN vec_id % 3 = 0 THEN CAST(vec_id % 29 AS INT) END AS number FROM embeddings",
+    "elike": "SELECT match_id, track_id, color, number, other FROM (SELECT a.*, b.track_id AS other, row_number() OVER (PARTITION BY a.match_id, a.track_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.track_id) AS rn FROM etracks a JOIN etracks b ON b.match_id = a.match_id AND b.track_id < a.track_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.25) t WHERE rn = 1",
+    "eroot": "SELECT match_id, track_id, track_id AS root, number, color, CAST(NULL AS VARCHAR) AS rejected FROM etracks e WHERE NOT EXISTS (SELECT 1 FROM elike k WHERE k.match_id = e.match_id AND k.track_id = e.track_id) UNION ALL SELECT match_id, track_id, CASE WHEN why IS NULL THEN r_root ELSE track_id END, CASE WHEN why IS NULL THEN r_number ELSE number END, CASE WHEN why IS NULL THEN r_color ELSE color END, why FROM (SELECT k.*, r.root AS r_root, r.number AS r_number, r.color AS r_color, CASE WHEN r.number IS NULL THEN 'number' WHEN k.color <> r.color THEN 'color' END AS why FROM elike k JOIN eroot r ON r.match_id = k.match_id AND r.track_id = k.other) t",
+}
 ORACLE = {
+    "reid_by_look": sql("SELECT match_id, track_id, root, number, rejected FROM eroot", _SEEN),
+    "reid_by_color": sql("SELECT match_id, track_id, root, number FROM (SELECT e.match_id, e.track_id, f.track_id AS root, f.number, row_number() OVER (PARTITION BY e.match_id, e.track_id ORDER BY f.track_id) AS rn FROM etracks e JOIN etracks f ON f.match_id = e.match_id AND f.color = e.color AND f.number IS NOT NULL WHERE e.number IS NULL) t WHERE rn = 1", _SEEN),
     "project_moving": sql("SELECT p.match_id, p.frame_idx, box_idx, round(CASE WHEN m.frame_idx IS NULL THEN x * (105e0/1920) ELSE (x*h0 + y*h1 + h2) / (x*h6 + y*h7 + h8) END, 4) AS mx, round(CASE WHEN m.frame_idx IS NULL THEN y * (68e0/1080) ELSE (x*h3 + y*h4 + h5) / (x*h6 + y*h7 + h8) END, 4) AS my FROM pts p ASOF LEFT JOIN mats m ON m.match_id = p.match_id AND m.frame_idx <= p.frame_idx", {"pts": "SELECT match_id, frame_idx, box_idx, (x1+x2)/2 AS x, (y1+y2)/2 AS y FROM detections", "mats": "SELECT match_id, frame_idx, " + ", ".join(f"{h} AS h{i}" for i, h in enumerate(_H)) + " FROM frames WHERE frame_idx % 60 = 30"}),
     "ocr_window_lock": sql("SELECT match_id, track_id, s.number AS number, s.first_number AS first_number, s.locked_at AS locked_at, s.changed_at AS changed_at, s.flips AS flips, s.refused AS refused FROM folded", _LOCK),
     "segment_peak_shot": sql("SELECT s.match_id, s.frame_idx, s.track_id, round(v, 4) AS speed, p.track_id IS NOT NULL AS pressed, round(greatest(0.02, least(0.75, CASE WHEN p.track_id IS NOT NULL THEN 0.75e0 ELSE 1e0 END / (1 + exp(-(-3.2 + 4.8*(1 - greatest(0, least(1, least(n1, n2) / (0.6e0*1920)))) + 1.8 * (acos(greatest(-1, least(1, dot/(n1*n2)))) / pi())))))), 4) AS xg FROM pshots s LEFT JOIN ppress p ON p.match_id = s.match_id AND p.frame_idx = s.frame_idx AND p.track_id = s.track_id WHERE least(n1, n2) <= 0.5e0 * 1920", _PEAK),
