@@ -190,16 +190,22 @@ def color_settle(colors: DataFrame, at: int = 10) -> DataFrame:
     return known.filter((F.col("k") == 1) | ((F.col("k") == at) & (F.col("cls") != 1))).groupBy(*TRACK).agg(F.max_by("color", "k").alias("color"))
 
 
-def kit_discovery(colors: DataFrame) -> DataFrame:
+def kit_discovery(colors: DataFrame, forced: DataFrame | None = None) -> DataFrame:
     """The two kits of a match: the two most frequent of the four most frequent player colours, referees' top colour
-    left out unless keepers wear it."""
+    left out unless keepers wear it. forced(match_id, color, place): kits that are known beforehand, instead of what a
+    match shows."""
     counted = colors.filter("color <> 'Unknown'").groupBy("match_id", "cls", "color").agg(F.count("*").alias("n"))
     rank = Window.partitionBy("match_id", "cls").orderBy(F.desc("n"), "color")
     ranked = counted.withColumn("k", F.row_number().over(rank))
     keepers = ranked.filter("cls = 1 and k <= 2").select("match_id", "color")
     referees = ranked.filter("cls = 3 and k = 1").select("match_id", "color").join(keepers, ["match_id", "color"], "left_anti")
     left = ranked.filter("cls = 2 and k <= 4").join(referees, ["match_id", "color"], "left_anti")
-    return left.withColumn("place", F.row_number().over(rank)).filter("place <= 2").select("match_id", "color", "n", "place")
+    found = left.withColumn("place", F.row_number().over(rank)).filter("place <= 2").select("match_id", "color", "n", "place")
+    if forced is None:
+        return found
+    seen = counted.filter("cls = 2").select("match_id", "color", "n")
+    given = forced.select("match_id", "color", F.col("place").cast("int").alias("place")).join(seen, ["match_id", "color"], "left")
+    return found.join(forced.select("match_id").distinct(), "match_id", "left_anti").unionByName(given.select("match_id", "color", F.coalesce("n", F.lit(0)).alias("n"), "place"))
 
 
 def team_colors(colors: DataFrame, most: int = 2) -> DataFrame:

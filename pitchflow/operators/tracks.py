@@ -152,3 +152,22 @@ def health(jobs: DataFrame, last: int = 100) -> DataFrame:
     share = F.col("failed") / F.greatest(F.lit(1), F.col("finished") + F.col("failed"))
     state = F.when(share > 0.5, "unhealthy").when(share > 0.2, "degraded").otherwise("healthy")
     return counts.join(recent, F.lit(True)).withColumn("state", state)
+
+
+def monitor(log: DataFrame, last: int = 100, most_running: int = 10, most_db_errors: int = 5) -> DataFrame:
+    """The state of all processing, one row. log(video_id, event, at, seq, frames): event is start, complete, failed,
+    db_error or api_error; at in seconds; seq orders equal times. An end counts if the video's last event before it is a
+    start, from which it also lasts; of the last ends, durations and frame rates are averaged."""
+    ends = F.col("event").isin("complete", "failed")
+    w = Window.partitionBy("video_id").orderBy("at", "seq")
+    of_video = log.filter(ends | (F.col("event") == "start")).withColumn("was", F.lag("event").over(w)).withColumn("since", F.lag("at").over(w))
+    counted = of_video.withColumn("ended", ends & (F.col("was") == "start"))
+    n = lambda test, name: F.count_if(test).alias(name)
+    totals = counted.agg(n(F.col("ended") & (F.col("event") == "complete"), "processed"), n(F.col("ended") & (F.col("event") == "failed"), "failed"), (F.count_if(F.col("event") == "start") - F.count_if("ended")).alias("running"))
+    errors = log.agg(n(F.col("event") == "db_error", "db_errors"), n(F.col("event") == "api_error", "api_errors"))
+    # each task keeps the latest ends
+    recent = counted.filter(F.col("ended") & (F.col("event") == "complete")).orderBy(F.desc("at"), F.desc("seq")).limit(last)
+    lasted = F.col("at") - F.col("since")
+    means = recent.agg(F.coalesce(F.round(F.avg(lasted), 2), F.lit(0.0)).alias("mean_duration_s"), F.coalesce(F.round(F.avg(F.when((F.col("frames") > 0) & (lasted > 0), F.col("frames") / lasted)), 2), F.lit(0.0)).alias("mean_frame_rate"))
+    state = F.when(F.col("running") > most_running, "degraded").when(F.col("db_errors") > most_db_errors, "unhealthy").when(F.col("failed") > F.col("processed"), "unhealthy").otherwise("healthy")
+    return totals.join(errors, F.lit(True)).join(means, F.lit(True)).withColumn("state", state)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import argparse
+import os
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -55,3 +58,27 @@ class Params:
 
 
 DEFAULT = Params()
+#: What the parameters are called in files and in the environment.
+PREFIX = "PITCHFLOW_"
+
+
+def load(path: str | None = None, env: Mapping[str, str] | None = None, args: Sequence[str] | None = None) -> Params:
+    """Parameters from a YAML file (its section `heuristics`, or all of it), over these the environment (PITCHFLOW_FPS=50),
+    over these the command line (--fps 50). Names are those of Params in any case; other names in the file are left alone,
+    for it may hold more; a value that isn't a number raises ValueError."""
+    kinds = {f.name: float if f.type == "float" else int for f in fields(Params)}
+    found: dict[str, object] = {}
+    if path:
+        import yaml  # asked for here, so that the library works where it isn't installed
+
+        with open(path, encoding="utf-8") as file:
+            read = yaml.safe_load(file) or {}
+        found |= {k.lower(): v for k, v in (read.get("heuristics") or read).items() if v is not None}
+    environment = os.environ if env is None else env
+    found |= {n: environment[PREFIX + n.upper()] for n in kinds if PREFIX + n.upper() in environment}
+    if args is not None:
+        parser = argparse.ArgumentParser(allow_abbrev=False)
+        for n in kinds:
+            parser.add_argument("--" + n.replace("_", "-"), dest=n)
+        found |= {n: v for n, v in vars(parser.parse_known_args(list(args))[0]).items() if v is not None}
+    return replace(DEFAULT, **{n: kinds[n](found[n]) for n in kinds if n in found})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitchflow import sources
 from pitchflow.functions import geometry as g
 from pitchflow.operators import events as op
-from pitchflow.operators import play, reid
+from pitchflow.operators import identity, play, reid, tracks
 from pitchflow.plans import fixture
 from pitchflow.plans.fixture import debounced, sql
 from pitchflow.plans.play import _DRIB, _KEPT, _NEAR, Match
@@ -92,7 +92,19 @@ def reid_by_color(s, d):
     return reid.reid_by_color(tracks, bound, registered)
 
 
-QUERIES = {f.__name__: f for f in (project_moving, ocr_window_lock, segment_peak_shot, transition_tackle, random_frames, first_jobs, status_upsert, reid_by_look, reid_by_color)}
+def forced_kits(s, d):
+    """Matches of which the kits are given beforehand (every third), and all others."""
+    forced = fixture.frames(s, d).filter("match_id % 3 = 1").select("match_id").distinct().select("match_id", F.explode(F.array(F.struct(F.lit("White").alias("color"), F.lit(1).alias("place")), F.struct(F.lit("Purple").alias("color"), F.lit(2).alias("place")))).alias("k")).select("match_id", "k.*")
+    return identity.kit_discovery(fixture.color_obs(s, d), forced)
+
+
+def processing_state(s, d):
+    log = s.read.parquet(f"{d}/events.parquet")
+    kind = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE CASE WHEN value > 90 THEN 'db_error' WHEN value > 50 THEN 'api_error' ELSE 'call' END END"
+    return tracks.monitor(log.select(F.col("user_id").alias("video_id"), F.expr(kind).alias("event"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), F.expr("event_id % 50 * 100").alias("frames")))
+
+
+QUERIES = {f.__name__: f for f in (project_moving, ocr_window_lock, segment_peak_shot, transition_tackle, random_frames, first_jobs, status_upsert, reid_by_look, reid_by_color, forced_kits, processing_state)}
 
 _LOCK = {
     "voted": f"SELECT match_id, track_id, frame_idx, list(struct_pack(n := number, c := confidence)) FILTER (WHERE confidence >= 0.85 AND iou >= 0.2 AND 1 - cosine <= 0.45) OVER (PARTITION BY match_id, track_id ORDER BY frame_idx RANGE BETWEEN 30 PRECEDING AND CURRENT ROW) AS l FROM (SELECT match_id, track_id, frame_idx, CAST({_WNUM} AS INT) AS number, {_WCONF} AS confidence, {_WIOU} AS iou, {_WCOS} AS cosine FROM detections WHERE cls IN (1, 2)) t",
@@ -120,7 +132,23 @@ _SEEN = {
     "elike": "SELECT match_id, track_id, color, number, other FROM (SELECT a.*, b.track_id AS other, row_number() OVER (PARTITION BY a.match_id, a.track_id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.track_id) AS rn FROM etracks a JOIN etracks b ON b.match_id = a.match_id AND b.track_id < a.track_id WHERE round(list_cosine_similarity(a.v, b.v), 9) >= 0.25) t WHERE rn = 1",
     "eroot": "SELECT match_id, track_id, track_id AS root, number, color, CAST(NULL AS VARCHAR) AS rejected FROM etracks e WHERE NOT EXISTS (SELECT 1 FROM elike k WHERE k.match_id = e.match_id AND k.track_id = e.track_id) UNION ALL SELECT match_id, track_id, CASE WHEN why IS NULL THEN r_root ELSE track_id END, CASE WHEN why IS NULL THEN r_number ELSE number END, CASE WHEN why IS NULL THEN r_color ELSE color END, why FROM (SELECT k.*, r.root AS r_root, r.number AS r_number, r.color AS r_color, CASE WHEN r.number IS NULL THEN 'number' WHEN k.color <> r.color THEN 'color' END AS why FROM elike k JOIN eroot r ON r.match_id = k.match_id AND r.track_id = k.other) t",
 }
+_MON = {
+    "mlog": "SELECT user_id AS video_id, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' ELSE CASE WHEN value > 90 THEN 'db_error' WHEN value > 50 THEN 'api_error' ELSE 'call' END END AS event, epoch_us(ts) / 1e6 AS tm, event_id AS seq, event_id % 50 * 100 AS frames FROM events",
+    "mlife": "SELECT *, was = 'start' AND event <> 'start' AS ended FROM (SELECT *, lag(event) OVER w AS was, lag(tm) OVER w AS since FROM mlog WHERE event IN ('start', 'complete', 'failed') WINDOW w AS (PARTITION BY video_id ORDER BY tm, seq)) t",
+    "mrecent": "SELECT round(avg(tm - since), 2) AS mean_duration_s, round(avg(CASE WHEN frames > 0 AND tm > since THEN frames / (tm - since) END), 2) AS mean_frame_rate FROM (SELECT * FROM mlife WHERE ended AND event = 'complete' ORDER BY tm DESC, seq DESC LIMIT 100) t",
+    "mtotal": "SELECT count(*) FILTER (WHERE ended AND event = 'complete') AS processed, count(*) FILTER (WHERE ended AND event = 'failed') AS failed, count(*) FILTER (WHERE event = 'start') - count(*) FILTER (WHERE ended) AS running FROM mlife",
+    "merrors": "SELECT count(*) FILTER (WHERE event = 'db_error') AS db_errors, count(*) FILTER (WHERE event = 'api_error') AS api_errors FROM mlog",
+}
+_KITS = {
+    "kcount": "SELECT match_id, cls, color, count(*) AS n FROM color_obs WHERE color <> 'Unknown' GROUP BY ALL",
+    "krank": "SELECT *, row_number() OVER (PARTITION BY match_id, cls ORDER BY n DESC, color) AS k FROM kcount",
+    "kref": "SELECT match_id, color FROM krank r WHERE cls = 3 AND k = 1 AND NOT EXISTS (SELECT 1 FROM krank g WHERE g.match_id = r.match_id AND g.cls = 1 AND g.k <= 2 AND g.color = r.color)",
+    "kleft": "SELECT match_id, color, n, row_number() OVER (PARTITION BY match_id ORDER BY n DESC, color) AS place FROM krank r WHERE cls = 2 AND k <= 4 AND NOT EXISTS (SELECT 1 FROM kref f WHERE f.match_id = r.match_id AND f.color = r.color)",
+    "kgiven": "SELECT DISTINCT match_id, color, place FROM frames, (VALUES ('White', 1), ('Purple', 2)) v(color, place) WHERE match_id % 3 = 1",
+}
 ORACLE = {
+    "forced_kits": sql("SELECT match_id, color, n, CAST(place AS INT) AS place FROM kleft WHERE place <= 2 AND match_id % 3 <> 1 UNION ALL SELECT g.match_id, g.color, coalesce(c.n, 0) AS n, g.place FROM kgiven g LEFT JOIN kcount c ON c.match_id = g.match_id AND c.color = g.color AND c.cls = 2", _KITS),
+    "processing_state": sql("SELECT *, CASE WHEN running > 10 THEN 'degraded' WHEN db_errors > 5 THEN 'unhealthy' WHEN failed > processed THEN 'unhealthy' ELSE 'healthy' END AS state FROM mtotal, merrors, mrecent", _MON),
     "reid_by_look": sql("SELECT match_id, track_id, root, number, rejected FROM eroot", _SEEN),
     "reid_by_color": sql("SELECT match_id, track_id, root, number FROM (SELECT e.match_id, e.track_id, f.track_id AS root, f.number, row_number() OVER (PARTITION BY e.match_id, e.track_id ORDER BY f.track_id) AS rn FROM etracks e JOIN etracks f ON f.match_id = e.match_id AND f.color = e.color AND f.number IS NOT NULL WHERE e.number IS NULL) t WHERE rn = 1", _SEEN),
     "project_moving": sql("SELECT p.match_id, p.frame_idx, box_idx, round(CASE WHEN m.frame_idx IS NULL THEN x * (105e0/1920) ELSE (x*h0 + y*h1 + h2) / (x*h6 + y*h7 + h8) END, 4) AS mx, round(CASE WHEN m.frame_idx IS NULL THEN y * (68e0/1080) ELSE (x*h3 + y*h4 + h5) / (x*h6 + y*h7 + h8) END, 4) AS my FROM pts p ASOF LEFT JOIN mats m ON m.match_id = p.match_id AND m.frame_idx <= p.frame_idx", {"pts": "SELECT match_id, frame_idx, box_idx, (x1+x2)/2 AS x, (y1+y2)/2 AS y FROM detections", "mats": "SELECT match_id, frame_idx, " + ", ".join(f"{h} AS h{i}" for i, h in enumerate(_H)) + " FROM frames WHERE frame_idx % 60 = 30"}),

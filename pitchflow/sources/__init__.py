@@ -85,6 +85,23 @@ def write_flat_report(players: DataFrame, path: str, kind: str = "csv") -> None:
     players.write.mode("overwrite").option("header", True).format(kind).save(path)
 
 
+def match_reports(players: DataFrame, teams: DataFrame, events: DataFrame) -> DataFrame:
+    """A document for each match: players_flat (their rows in the order of their ids, with the share of accurate passes),
+    team_labels, and events in time. players(match_id, track_id, team, number, passes, accurate, ...); teams(match_id, team,
+    label); events(match_id, frame_idx, type, by). A match without events or labels has empty lists."""
+    label = teams.select("match_id", "team", "label")
+    rate = F.when(F.col("passes") > 0, 100.0 * F.col("accurate") / F.col("passes")).otherwise(0.0)
+    rows = players.join(label, ["match_id", "team"], "left").withColumn("team", F.coalesce("label", F.lit("unknown"))).withColumn("accurate_passes_percent", rate).drop("label", "accurate")
+    listed = lambda df, name, first: df.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct(first, *[c for c in df.columns if c not in ("match_id", first)]))).alias(name))
+    both = listed(rows, "players_flat", "track_id").join(listed(label, "team_labels", "team"), "match_id", "left").join(listed(events, "events", "frame_idx"), "match_id", "left")
+    none = lambda name: F.coalesce(name, F.array().cast(both.schema[name].dataType)).alias(name)
+    return both.select("match_id", "players_flat", none("team_labels"), none("events"))
+
+
+def write_match_reports(reports: DataFrame, path: str) -> None:
+    reports.write.mode("overwrite").partitionBy("match_id").json(path)
+
+
 def write_kits(kits: DataFrame, path: str) -> None:
     """kits(match_id, color, place): a document for each match, kits in order."""
     listed = kits.groupBy("match_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "color"))), lambda k: k.color).alias("players"))

@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitchflow import params, sources
 from pitchflow.functions import palette
-from pitchflow.operators import events, hygiene, play, reid, teams
+from pitchflow.operators import events, hygiene, play, reid, teams, tracks
 
 ROWS = "match_id int, track_id int, frame_idx int, number int, confidence double, iou double, cosine double"
 
@@ -206,3 +207,39 @@ def test_packed_frames_change_nothing(spark):
             want.append((f, t, round(math.hypot(x - last[t][1], y - last[t][2]), 9) if t in last else None))
             last[t] = (f, x, y)
     assert sorted(want) == sorted((r.frame_idx, r.track_id, None if r.step is None else round(r.step, 9)) for r in play.steps(boxes).collect())
+
+
+def _log(*events):
+    return [("v%d" % v, e, float(at), k, frames) for k, (v, e, at, frames) in enumerate(events)]
+
+
+@pytest.mark.parametrize("more, state", [([], "healthy"), ([(9, "db_error", 50, 0)] * 6, "unhealthy"), ([(8, "start", 60, 0), (8, "failed", 61, 0), (7, "start", 60, 0), (7, "failed", 62, 0), (6, "start", 60, 0), (6, "failed", 62, 0)], "unhealthy"), ([(k, "start", 70, 0) for k in range(20, 32)], "degraded")])
+def test_monitor(spark, more, state):
+    """Ends without a start don't count; a restart counts anew."""
+    log = _log((1, "start", 0, 0), (1, "complete", 10, 100), (1, "complete", 12, 100), (2, "start", 0, 0), (2, "start", 5, 0), (2, "complete", 25, 0), (3, "failed", 9, 0), (4, "start", 20, 0), (4, "failed", 30, 0), *more)
+    got = tracks.monitor(spark.createDataFrame(log, "video_id string, event string, at double, seq long, frames long")).first()
+    assert (got.processed, got.mean_duration_s, got.mean_frame_rate, got.state) == (2, 15.0, 10.0, state)
+    assert got.running == 1 + sum(e == "start" for _, e, *_ in more) - sum(e == "failed" for _, e, *_ in more)
+
+
+def test_parameters_by_rank(tmp_path):
+    """File under environment under command line; what is not a parameter is left alone."""
+    pytest.importorskip("yaml")
+    (tmp_path / "p.yaml").write_text("heuristics:\n  FPS: 50\n  STRIDE: 2\n  JNR_GATE: 0.35\n  WIDTH: null\n")
+    got = params.load(f"{tmp_path}/p.yaml", {"PITCHFLOW_STRIDE": "4", "STRIDE": "9"}, ["--shot-speed", "20", "--else", "1"])
+    assert (got.fps, got.stride, got.shot_speed, got.width, got.effective_fps) == (50.0, 4, 20.0, 1920, 12.5)
+    assert params.load(env={}) == params.DEFAULT
+    with pytest.raises(ValueError):
+        params.load(env={"PITCHFLOW_WIDTH": "wide"})
+
+
+def test_match_reports(spark, tmp_path):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    players = frame([(0, 2, "a", 7, 4, 3, 1), (0, 1, "b", 9, 0, 0, 0), (1, 5, None, None, 1, 1, 0)], "match_id int, track_id int, team string, number int, passes int, accurate int, goals int")
+    labels = frame([(0, "a", "Red"), (0, "b", "White")], "match_id int, team string, label string")
+    events_ = frame([(0, 9, "goal", 2), (0, 3, "shot", 2)], "match_id int, frame_idx int, type string, by int")
+    sources.write_match_reports(sources.match_reports(players, labels, events_), f"{tmp_path}/r")
+    got = {r.match_id: r for r in spark.read.json(f"{tmp_path}/r").collect()}
+    assert [(p.track_id, p.team, p.accurate_passes_percent, p.goals) for p in got[0].players_flat] == [(1, "White", 0.0, 0), (2, "Red", 75.0, 1)]
+    assert [e.type for e in got[0].events] == ["shot", "goal"] and [t.label for t in got[0].team_labels] == ["Red", "White"]
+    assert [p.team for p in got[1].players_flat] == ["unknown"] and got[1].events == [] and got[1].team_labels == []
