@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables that shared() wrote in this process, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names; a temporary one only where none is named and all runs on this machine."""
@@ -31,5 +34,17 @@ def shared(df: DataFrame) -> DataFrame:
     heavier for each byte than a scan."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/match-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that shared() wrote for this application; their number. Call it when the results that read them
+    have been written or collected: a DataFrame can't know whether it will be asked again."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)

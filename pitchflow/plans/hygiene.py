@@ -178,7 +178,21 @@ _MODE = "SELECT match_id, track_id, frame_idx, m.v AS {v}, round(m.n / len(l), 4
 _OWN_PX = {"first_ball": "SELECT * FROM (SELECT match_id, frame_idx, (x1+x2)/2 AS x, (y1+y2)/2 AS y, row_number() OVER (PARTITION BY match_id, frame_idx ORDER BY box_idx) AS rn FROM detections WHERE cls = 32) t WHERE rn = 1", "own_px": "SELECT match_id, frame_idx, track_id AS owner, d FROM (SELECT *, row_number() OVER (PARTITION BY match_id, frame_idx ORDER BY d, box_idx) AS rn FROM (SELECT a.match_id, a.frame_idx, a.track_id, a.box_idx, sqrt(((a.x1+a.x2)/2-b.x)*((a.x1+a.x2)/2-b.x) + ((a.y1+a.y2)/2-b.y)*((a.y1+a.y2)/2-b.y)) AS d FROM tracked a JOIN first_ball b ON b.match_id = a.match_id AND b.frame_idx = a.frame_idx WHERE a.cls IN (1,2,3)) t WHERE d < 80) t WHERE rn = 1"}
 _ORD = lambda ref: " + ".join(f"({c}-{x})*({c}-{x})" for c, x in zip("bgr", ref))
 _WINDOW1000 = "list(conf) OVER (PARTITION BY match_id ORDER BY frame_idx ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)"
+# a fold over a match's claims in time; the state has the claims' own fields, and lists of what is held, locked, registered and told
+_OWNER = "list_filter(s.held, lambda h: h.team = x.team AND h.number = x.number)"
+_FREE = "NOT list_contains(s.locked, x.track)"
+_REG = f"({_FREE} AND x.score >= 0.6 AND NOT list_contains(s.registered, x.number))"
+_GETS = f"({_FREE} AND x.may AND (len({_OWNER}) = 0 OR x.score > {_OWNER}[1].score + 3))"
+_TOLD = "struct_pack(event := '{e}', track := x.track, team := x.team, number := x.number, frame := x.frame, score := x.score, stolen := {f}, ok := {ok})"
+_VOTES = {
+    "vread": "SELECT r.match_id, r.frame_idx, r.track_id, coalesce(t.team, 'Unknown') AS team, list(struct_pack(n := number, c := confidence)) OVER (PARTITION BY r.match_id, r.track_id ORDER BY r.frame_idx) AS l FROM reads r LEFT JOIN teams t ON t.match_id = r.match_id AND t.track_id = r.track_id WHERE confidence >= 0.40",
+    "vrank": "SELECT *, list_sort(list_transform(list_distinct(list_transform(l, lambda x: x.n)), lambda n: struct_pack(total := round(list_sum(list_transform(list_filter(l, lambda x: x.n = n), lambda x: x.c)), 9), s := CAST(n AS VARCHAR), n := n)), 'DESC') AS ranked, list_transform(l[-10:], lambda x: x.n) AS w FROM vread",
+    "vclaim": "SELECT match_id, frame_idx, track_id, team, ranked[1].n AS leader, ranked[1].total AS best, round(ranked[1].total - coalesce(ranked[2].total, 0), 9) >= 0.5 AND (len(w) < 5 OR len(list_filter(w, lambda y: y = ranked[1].n)) >= 0.5 * len(w)) AS may FROM vrank",
+    "vlist": "SELECT match_id, list(struct_pack(track := track_id, team := team, number := leader, frame := frame_idx, score := best, may := may, held := CAST([] AS STRUCT(team VARCHAR, number INT, track INT, score DOUBLE)[]), locked := CAST([] AS INT[]), registered := CAST([] AS INT[]), told := CAST([] AS STRUCT(event VARCHAR, track INT, team VARCHAR, number INT, frame INT, score DOUBLE, stolen INT, ok BOOLEAN)[])) ORDER BY frame_idx, track_id) AS rows FROM vclaim WHERE may OR best >= 0.6 GROUP BY match_id",
+    "vfold": f"SELECT match_id, list_reduce(list_prepend(rows[1], rows), lambda s, x: struct_pack(track := x.track, team := x.team, number := x.number, frame := x.frame, score := x.score, may := x.may, held := CASE WHEN {_GETS} THEN list_append(list_filter(s.held, lambda h: NOT (h.team = x.team AND h.number = x.number)), struct_pack(team := x.team, number := x.number, track := x.track, score := x.score)) ELSE s.held END, locked := CASE WHEN {_GETS} THEN list_append(s.locked, x.track) ELSE s.locked END, registered := CASE WHEN {_REG} THEN list_append(s.registered, x.number) ELSE s.registered END, told := list_concat(s.told, list_filter([{_TOLD.format(e='registered', f='CAST(NULL AS INT)', ok=_REG)}, {_TOLD.format(e='locked', f=_OWNER + '[1].track', ok=_GETS)}], lambda e: e.ok)))) AS s FROM vlist",
+}
 ORACLE = {
+    "vote_locks": sql("SELECT match_id, e.event AS event, e.track AS track_id, e.team AS team, e.number AS number, e.frame AS frame_idx, round(e.score, 4) AS score, e.stolen AS stolen_from FROM (SELECT match_id, unnest(s.told) AS e FROM vfold) t", _VOTES),
     "duplicate_tracks": sql(f"SELECT DISTINCT a.match_id, a.frame_idx, CASE WHEN a.age > b.age THEN b.track_id ELSE a.track_id END AS track_id FROM aged a JOIN aged b ON b.match_id = a.match_id AND b.frame_idx = a.frame_idx WHERE a.track_id // 100 <= 11 AND b.track_id // 100 > 11 AND 1 - {_IOU} < 0.6", _TRACKED),
     "rescue_pairs": sql(f"SELECT b.match_id, b.frame_idx, a.track_id AS a_id, b.track_id AS b_id, b.frame_idx - a.frame_idx AS gap, round({_C} / greatest(1, b.x2-b.x1, b.y2-b.y1), 4) AS apart FROM last_ a JOIN first_ b ON b.match_id = a.match_id AND b.frame_idx - a.frame_idx BETWEEN 1 AND 45 AND a.track_id <> b.track_id WHERE 1 - {_IOU} > 0.05 AND NOT {_IN.format(p='a', q='b')} AND NOT {_IN.format(p='b', q='a')} AND {_C} / greatest(1, b.x2-b.x1, b.y2-b.y1) <= 0.7", _TRACKED),
     "near_miss_spawns": sql(f"SELECT DISTINCT a.match_id, a.frame_idx, a.track_id FROM spawned a JOIN tracked b ON b.match_id = a.match_id AND b.frame_idx = a.frame_idx AND b.track_id <> a.track_id WHERE {_C} < CAST(0.6 AS DOUBLE) * (b.x2-b.x1) UNION SELECT match_id, frame_idx, track_id FROM spawned WHERE conf < 0.5 AND y2 - y1 < 40", _TRACKED | {"spawned": "SELECT * REPLACE (conf - (track_id % 3) * CAST(0.2 AS DOUBLE) AS conf, y1 + (track_id % 4) * 15 AS y1) FROM first_"}),

@@ -22,3 +22,13 @@ def spark(tmp_path_factory):
     built = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"{folder}/shared").config("spark.sql.warehouse.dir", f"{folder}/warehouse").config("spark.driver.memory", "4g").getOrCreate()
     yield built
     built.stop()
+
+
+@pytest.fixture(autouse=True)
+def released(request):
+    """Tables that a test wrote go with it."""
+    yield
+    if "spark" in request.fixturenames:
+        from pitchflow.operators.lineage import release
+
+        release(request.getfixturevalue("spark"))

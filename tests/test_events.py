@@ -4,6 +4,7 @@ against brute force and by hand."""
 from __future__ import annotations
 
 import math
+import os
 import random
 from collections import Counter
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pitchflow import params, sources
 from pitchflow.functions import palette
-from pitchflow.operators import events, hygiene, play, reid, teams, tracks
+from pitchflow.operators import events, hygiene, lineage, play, reid, teams, tracks
 
 ROWS = "match_id int, track_id int, frame_idx int, number int, confidence double, iou double, cosine double"
 
@@ -243,3 +244,10 @@ def test_match_reports(spark, tmp_path):
     assert [(p.track_id, p.team, p.accurate_passes_percent, p.goals) for p in got[0].players_flat] == [(1, "White", 0.0, 0), (2, "Red", 75.0, 1)]
     assert [e.type for e in got[0].events] == ["shot", "goal"] and [t.label for t in got[0].team_labels] == ["Red", "White"]
     assert [p.team for p in got[1].players_flat] == ["unknown"] and got[1].events == [] and got[1].team_labels == []
+
+
+def test_written_tables_are_released(spark):
+    rows = lineage.shared(spark.range(10))
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:")
+    assert rows.count() == 10 and os.path.isdir(folder)
+    assert lineage.release(spark) >= 1 and not os.path.exists(folder) and lineage.release(spark) == 0
