@@ -143,3 +143,29 @@ def documents(stats: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.round(F.least(F.lit(1.0), F.col("weight") / 100), 2).alias("confidence_score"),
         F.struct("passes_total", "passes_complete", rate.alias("pass_accuracy"), "shots", F.round("xg", 2).alias("xg"), "goals", F.round(F.col("touches") / p.effective_fps, 2).alias("time_on_ball")).alias("stats"),
     )
+
+
+#: Every field of a player's full document, as an expression over the merged counters (the same in SQL). What no operator
+#: can see (woodwork, offside, set pieces, hands, fouls, challenges) is 0, as documents have it.
+STAT_FIELDS = {
+    "total_distance": "round(distance_m, 2)", "time_on_ball_s": "round(touches / (25e0 / 3), 2)", "touch_frames": "touches",
+    "goals_total": "goals", "shots_on_target_total": "shots", "shots_wide_total": "0e0", "penalty_total": "0e0",
+    "crosses_total": "crosses", "crosses_accurate_total": "crosses_complete", "dribbles_total": "dribbles", "dribbles_successful_total": "dribbles_retained",
+    "passes_total": "passes_total", "passes_accurate": "passes_complete", "accurate_passes_percent": "CASE WHEN passes_total > 0 THEN round(100 * passes_complete / passes_total, 1) ELSE 0e0 END",
+    "challenges_total": "0e0", "challenges_won_total": "0e0", "tackles_total": "tackles", "tackles_successful_total": "tackles", "ball_interceptions_total": "interceptions", "fouls_total": "0e0",
+    "xg_foot_no_opponent": "round(xg_free, 2)", "xg_header_no_opponent": "0e0", "xg_foot_opponent_present": "round(xg_pressed, 2)", "xg_header_opponent_present": "0e0",
+    "blocked_shots_by_opponent": "0e0", "shots_on_post_bar": "0e0", "goals_standard_situation": "0e0", "free_kick_scored": "0e0",
+    "expected_assists": "round(expected_assists, 2)", "offsides_total": "0e0", "packing_total": "0e0", "ball_touches_total": "touches", "fouls_suffered": "0e0",
+    "ball_recoveries_opp_half": "interceptions_opponent_half", "ball_recoveries_own_half": "interceptions_own_half", "played_offside": "0e0",
+    "foot_passes_open_play_total": "passes_total", "hand_passes_total": "0e0", "short_passes_total": "passes_short", "medium_passes_total": "passes_medium", "long_passes_total": "passes_long",
+    "accurate_foot_passes_open_play_total": "passes_complete", "hand_passes_accurate_total": "0e0",
+    "short_passes_accurate_total": "passes_short_accurate", "medium_passes_accurate_total": "passes_medium_accurate", "accurate_long_passes_total": "passes_long_accurate",
+    "close_range_shots_total": "shots_close", "mid_range_shots_total": "shots_mid", "long_range_shots_total": "shots_long",
+    "shots_saved_total": "saves", "close_range_saved_total": "saves_close", "mid_range_saved_total": "saves_mid", "long_range_saved_total": "saves_long", "jumping_saves_total": "saves_jumping", "saves_without_jumping_total": "saves - saves_jumping",
+    "penalties_saved_total": "0e0", "freekick_saved_total": "0e0", "corners_saved_total": "0e0", "goals_standard_situation_conceded": "0e0", "xg_per_shot_saved": "0e0", "in_box_touches": "in_box_touches",
+}
+
+
+def stat_documents(merged: DataFrame) -> DataFrame:
+    """What fragment_merge() gives, as (match_id, team, number, stats): a struct of all STAT_FIELDS."""
+    return merged.select("match_id", "team", "number", F.struct(*[F.expr(e).cast("double").alias(n) for n, e in STAT_FIELDS.items()]).alias("stats"))

@@ -10,13 +10,15 @@ from pitchflow.params import DEFAULT
 from pitchflow.plans import fixture
 from pitchflow.plans import identity as names
 from pitchflow.plans.fixture import debounced, sql
-from pitchflow.plans.play import _DRIB, _GOAL, _KEPT, _SAVE, _SHOT, Match
+from pitchflow.plans.play import _STEP, _DRIB, _GOAL, _KEPT, _SAVE, _SHOT, Match
 
 TRACK = ["match_id", "track_id"]
 METRICS = ["passes_total", "passes_complete", "shots", "xg", "goals", "touches"]
 REACH = ("short", "medium", "long")
 #: What a player's events add to.
 EVENTS = [*METRICS, "crosses", *[f"passes_{r}" for r in REACH], *[f"passes_{r}_accurate" for r in REACH], "shots_close", "shots_mid", "shots_long", "interceptions", "interceptions_opponent_half", "dribbles", "dribbles_retained", "tackles", "saves", "saves_jumping", "in_box_touches"]
+#: What the full documents hold beyond that.
+FULL = [*EVENTS, "crosses_complete", "interceptions_own_half", "xg_pressed", "xg_free", "saves_close", "saves_mid", "saves_long", "distance_m", "expected_assists"]
 ID = "track_id"
 
 
@@ -30,27 +32,29 @@ def _counters(s, d):
     return op.counters(parts, METRICS)
 
 
-def _all_counters(s, d):
+def _all_counters(s, d, events=EVENTS):
     """Every kind of event, in one aggregation."""
     m, one = Match(s, d, keep=True), (lambda c: c.cast("double"))
     passed, taken, tried = play.passes(m.trans), m.shots, m.dribbles
     is_reach = lambda r: F.col("reach") == r
-    of_pass = {"passes_total": 1.0, "passes_complete": one(F.col("complete")), "crosses": one(F.col("is_cross"))}
+    of_pass = {"passes_total": 1.0, "passes_complete": one(F.col("complete")), "crosses": one(F.col("is_cross")), "crosses_complete": one(F.col("is_cross") & F.col("complete"))}
     of_pass |= {f"passes_{r}": one(is_reach(r)) for r in REACH} | {f"passes_{r}_accurate": one(is_reach(r) & F.col("complete")) for r in REACH}
     touched = m.owned.filter("owner is not null").select("match_id", F.col("owner").alias(ID))
     in_box = op.in_box_touches(m.segs, m.ball)
     parts = [
         (passed.withColumn(ID, F.col("a")), of_pass),
-        (taken, {"shots": 1.0, "xg": F.col("xg")} | {f"shots_{r}": one(is_reach(r)) for r in ("close", "mid", "long")}),
+        (taken, {"shots": 1.0, "xg": F.col("xg"), "xg_pressed": F.when(F.col("pressed"), F.col("xg")), "xg_free": F.when(~F.col("pressed"), F.col("xg"))} | {f"shots_{r}": one(is_reach(r)) for r in ("close", "mid", "long")}),
         (play.goals(taken, m.ball, m.boxes, m.teams, m.directions), {"goals": 1.0}),
         (touched, {"touches": 1.0}),
-        (play.interceptions(passed), {"interceptions": 1.0, "interceptions_opponent_half": one(F.coalesce(F.col("half") == "opponent", F.lit(False)))}),
+        (play.interceptions(passed), {"interceptions": 1.0, **{f"interceptions_{k}_half": one(F.coalesce(F.col("half") == k, F.lit(False))) for k in ("opponent", "own")}}),
         (tried, {"dribbles": 1.0, "dribbles_retained": one(F.col("retained"))}),
         (play.tackles(tried), {"tackles": 1.0}),
-        (play.saves(m.ball, m.boxes, m.classes, m.owned), {"saves": 1.0, "saves_jumping": one(F.col("jumping"))}),
+        (play.saves(m.ball, m.boxes, m.classes, m.owned), {"saves": 1.0, "saves_jumping": one(F.col("jumping"))} | {f"saves_{r}": one(is_reach(r)) for r in ("close", "mid", "long")}),
         (in_box, {"in_box_touches": one(F.col("in_box_touches"))}),
     ]
-    return op.counters(parts, EVENTS)
+    if "distance_m" in events:
+        parts += [(play.distance_covered(m.men), {"distance_m": F.col("distance_m")}), (op.assists(taken, passed), {"expected_assists": F.col("expected_assists")})]
+    return op.counters(parts, events)
 
 
 def player_counters(s, d):
@@ -81,6 +85,12 @@ def player_documents(s, d):
     return out.select(*[c for c in out.columns if c != "stats"], "stats.passes_total", "stats.pass_accuracy", "stats.goals", "stats.time_on_ball")
 
 
+def stat_documents(s, d):
+    """All fields of each player's document, side by side."""
+    out = op.stat_documents(op.fragment_merge(_stats(s, d, lambda s, d: _all_counters(s, d, FULL), FULL), FULL))
+    return out.select("match_id", "team", "number", "stats.*")
+
+
 def presence_filter(s, d):
     active = (F.col("passes_total") > 0) | (F.col("shots") > 0) | (F.col("touches") > 0)
     rows = _stats(s, d).withColumnRenamed("weight", "frames").withColumn("active", active).join(Match(s, d).classes, TRACK)
@@ -147,7 +157,7 @@ def in_box_touches(s, d):
     return op.in_box_touches(m.segs, m.ball)
 
 
-QUERIES = {f.__name__: f for f in (player_counters, fragment_merge, rate_caps, team_totals, player_documents, presence_filter, presence, role_assignment, role_by_class, gk_side, accuracy_compare, pass_packing, cone_density, expected_assists, turnover_chain, in_box_touches)}
+QUERIES = {f.__name__: f for f in (player_counters, fragment_merge, rate_caps, team_totals, player_documents, stat_documents, presence_filter, presence, role_assignment, role_by_class, gk_side, accuracy_compare, pass_packing, cone_density, expected_assists, turnover_chain, in_box_touches)}
 
 _C = _GOAL | {
     "long": "SELECT match_id, a AS track_id, 1 AS passes_total, CASE WHEN complete THEN 1 ELSE 0 END AS passes_complete, 0 AS shots, 0e0 AS xg, 0 AS goals, 0 AS touches FROM trans WHERE status = 'counted' UNION ALL SELECT match_id, track_id, 0, 0, 1, xg, 0, 0 FROM shots UNION ALL SELECT match_id, track_id, 0, 0, 0, 0, 1, 0 FROM scored UNION ALL SELECT match_id, owner, 0, 0, 0, 0, 0, 1 FROM owned WHERE owner IS NOT NULL",
@@ -158,7 +168,7 @@ _C = _GOAL | {
 
 
 def _part(rows: str, who: str, **adds: str) -> str:
-    return f"SELECT match_id, {who} AS track_id, " + ", ".join(f"CAST({adds.get(m, '0')} AS DOUBLE) AS {m}" for m in EVENTS) + f" FROM {rows}"
+    return f"SELECT match_id, {who} AS track_id, " + ", ".join(f"CAST({adds.get(m, '0')} AS DOUBLE) AS {m}" for m in FULL) + f" FROM {rows}"
 
 
 def _if(condition: str) -> str:
@@ -169,18 +179,29 @@ _E = {k: v for k, v in _C.items() if k not in ("long", "counted", "stats")} | _D
 _E |= {
     "boxed": 'SELECT s.match_id, s.owner AS track_id, count(*) AS n FROM segs s JOIN ball b ON b.match_id = s.match_id AND b.frame_idx = s."end" WHERE s.owner IS NOT NULL AND (mx BETWEEN 0 AND 16.5 OR mx BETWEEN 88.5 AND 105) AND my BETWEEN 34 - 20.15e0 AND 34 + 20.15e0 GROUP BY s.match_id, s.owner',
     "long": " UNION ALL ".join([
-        _part("trans WHERE status = 'counted'", "a", passes_total="1", passes_complete=_if("complete"), crosses=_if("is_cross"), **{f"passes_{r}": _if(f"reach = '{r}'") for r in REACH}, **{f"passes_{r}_accurate": _if(f"reach = '{r}' AND complete") for r in REACH}),
-        _part("shots", "track_id", shots="1", xg="xg", **{f"shots_{r}": _if(f"reach = '{r}'") for r in ("close", "mid", "long")}),
+        _part("trans WHERE status = 'counted'", "a", passes_total="1", passes_complete=_if("complete"), crosses=_if("is_cross"), crosses_complete=_if("is_cross AND complete"), **{f"passes_{r}": _if(f"reach = '{r}'") for r in REACH}, **{f"passes_{r}_accurate": _if(f"reach = '{r}' AND complete") for r in REACH}),
+        _part("shots", "track_id", shots="1", xg="xg", xg_pressed="CASE WHEN pressed THEN xg ELSE 0 END", xg_free="CASE WHEN pressed THEN 0 ELSE xg END", **{f"shots_{r}": _if(f"reach = '{r}'") for r in ("close", "mid", "long")}),
         _part("scored", "track_id", goals="1"),
         _part("owned WHERE owner IS NOT NULL", "owner", touches="1"),
-        _part("cuts", "track_id", interceptions="1", interceptions_opponent_half=_if("end_x > 52.5")),
+        _part("cuts", "track_id", interceptions="1", interceptions_opponent_half=_if("end_x > 52.5"), interceptions_own_half=_if("end_x < 52.5")),
         _part("drib", "track_id", dribbles="1", dribbles_retained=_if("retained")),
         _part("won", "track_id", tackles="1"),
-        _part("origin", "track_id", saves="1", saves_jumping=_if("d > 15")),
+        _part("origin", "track_id", saves="1", saves_jumping=_if("d > 15"), saves_close=_if("d < 6"), saves_mid=_if("d >= 6 AND d < 17"), saves_long=_if("d >= 17")),
         _part("boxed", "track_id", in_box_touches="n"),
     ]),
 }
-_E |= {"counted": _C["counted"].replace(", ".join(f"CAST(sum({m}) AS DOUBLE) AS {m}" for m in METRICS), ", ".join(f"CAST(sum({m}) AS DOUBLE) AS {m}" for m in EVENTS)), "stats": _C["stats"].replace(", ".join(f"coalesce(c.{m}, 0) AS {m}" for m in METRICS), ", ".join(f"coalesce(c.{m}, 0) AS {m}" for m in EVENTS))}
+def _counted(events: list[str]) -> dict[str, str]:
+    """counted and stats over these events."""
+    both = lambda form, of: ", ".join(form.format(m=m) for m in of)
+    swap = lambda name, form: _C[name].replace(both(form, METRICS), both(form, events))
+    return {"counted": swap("counted", "CAST(sum({m}) AS DOUBLE) AS {m}"), "stats": swap("stats", "coalesce(c.{m}, 0) AS {m}")}
+
+
+_ASSISTS = "SELECT match_id, a AS track_id, sum(xg) AS n FROM (SELECT match_id, a, b_start, arg_min(xg, frame_idx) AS xg FROM (SELECT s.match_id, s.frame_idx, s.track_id, s.xg, p.a, p.b, p.b_start, row_number() OVER (PARTITION BY s.match_id, s.frame_idx ORDER BY p.b_start DESC) AS rn FROM shots s JOIN trans p ON p.match_id = s.match_id AND p.status = 'counted' AND p.b_start <= s.frame_idx) t WHERE rn = 1 AND b = track_id GROUP BY match_id, a, b_start) t GROUP BY match_id, a"
+_F = {k: v for k, v in _E.items() if k != "long"} | {"steps": _STEP, "walked": "SELECT match_id, track_id, coalesce(sum(CASE WHEN step < 1.44 THEN step END), 0) AS n FROM steps GROUP BY match_id, track_id", "assisted": _ASSISTS, "long": " UNION ALL ".join([_E["long"], _part("walked", "track_id", distance_m="n"), _part("assisted", "track_id", expected_assists="n")])} | _counted(FULL)
+_E |= _counted(EVENTS)
+#: Fields of the full document in SQL: what they are of the merged counters.
+_FIELDS = ", ".join(f"{e} AS {n}" for n, e in op.STAT_FIELDS.items())
 
 
 def _merged(most: int, before: dict[str, str] = _C, events: list[str] = METRICS) -> dict[str, str]:
@@ -197,6 +218,7 @@ _INSIDE = "((" + " AND ".join(f"{x} > 0" for x in _SIDES) + ") OR (" + " AND ".j
 _TRUTH = "SELECT * FROM (VALUES ('passes_total','Red',30e0),('passes_total','White',20e0),('shots','Red',5e0),('shots','White',0e0),('goals','Red',1e0),('offsides','Red',0e0)) t(metric, team, truth)"
 ORACLE = {
     "player_counters": sql("SELECT * REPLACE (round(xg, 4) AS xg) FROM counted", _E),
+    "stat_documents": sql(f"SELECT match_id, team, number, {_FIELDS} FROM merged", _merged(20, _F, FULL)),
     "fragment_merge": sql('SELECT * EXCLUDE (primary_, xg), primary_ AS "primary", round(xg, 4) AS xg FROM merged', _merged(3, _E, EVENTS)),
     "rate_caps": sql("SELECT m.match_id, team, number, " + ", ".join(f"least({m}, greatest(1, round_even({c} * r, 0))) AS {m}" for m, c in (("passes_total", 160), ("passes_complete", 150), ("shots", 14))) + " FROM merged m JOIN (SELECT match_id, greatest(0.05e0, count(*) / (25e0/3) / 60 / 90) AS r FROM frames GROUP BY match_id) f ON f.match_id = m.match_id", _merged(20)),
     "team_totals": sql("SELECT match_id, team, " + ", ".join(f"round(sum({m}), 4) AS {m}" for m in METRICS) + " FROM stats GROUP BY match_id, team", _C),
