@@ -140,6 +140,16 @@ def rolling_mode(rows: DataFrame, value: str, n: int) -> DataFrame:
     return rows.withColumn("last", F.collect_list(value).over(w)).withColumn("m", ranked).select(*TRACK, "frame_idx", F.col("m.v").alias(value), (F.col("m.n") / F.size("last")).alias("share"))
 
 
+def agreed_reads(reads: DataFrame, n: int = 5, least: int = 2, more: float = 0.1, most: float = 0.99) -> DataFrame:
+    """Each read as a recognizer with a memory gives it: the most frequent of the track's last n numbers (of equals the one
+    that came first), with more confidence, if that came at least so often; else the read itself."""
+    mode = rolling_mode(reads, "number", n).withColumnRenamed("number", "agreed")
+    votes = F.round(F.col("share") * F.least(F.lit(n), F.col("k")))
+    k = F.row_number().over(frames_window(*TRACK))
+    both = reads.withColumn("k", k).join(mode, [*TRACK, "frame_idx"]).withColumn("agrees", votes >= least)
+    return both.select(*TRACK, "frame_idx", F.when(F.col("agrees"), F.col("agreed")).otherwise(F.col("number")).alias("number"), F.when(F.col("agrees"), F.least(F.lit(most), F.col("confidence") + more)).otherwise(F.col("confidence")).alias("confidence"))
+
+
 def lock_metrics(reads: DataFrame, locks: DataFrame) -> DataFrame:
     """Of the tracks of a match with any read: the share that locks, changes of the read number, and the median number of
     frames from the first read to the lock."""

@@ -144,6 +144,16 @@ def tracks_inherit(assigned: DataFrame, numbers: DataFrame) -> DataFrame:
     return numbers.select(*TRACK, "number").join(assigned.select("match_id", "number", "team"), ["match_id", "number"]).select(*TRACK, "number", "team")
 
 
+def teams_by_color(colors: DataFrame, pairs: DataFrame, bound: DataFrame) -> DataFrame:
+    """The team of each track that no number gave one, by its shirt: colors(match_id, track_id, color) of one of the match's
+    two kits, or else nearer to one by hue, the first of equals; a kit without a hue takes what isn't near the other.
+    pairs: what primary_kits() gives; bound(match_id, track_id): tracks that have a team."""
+    kit, a, b = l.team_color(F.col("color")), F.col("a"), F.col("b")
+    lost = colors.select(*TRACK, "color").join(bound.select(*TRACK), TRACK, "left_anti").join(pairs.select("match_id", "a", "b"), "match_id")
+    team = F.when(kit == a, a).when(kit == b, b).otherwise(_nearer_kit(F.col("color"), a, b, a))
+    return lost.select(*TRACK, "color", team.alias("team"))
+
+
 def id_remap(rows: DataFrame, numbers: DataFrame) -> DataFrame:
     """rows with who: the number of a track where one is mapped, else the track itself."""
     return rows.join(numbers.select(*TRACK, "number"), TRACK, "left").withColumn("who", F.coalesce("number", "track_id")).drop("number")

@@ -95,6 +95,10 @@ def rolling_number_mode(s, d):
     return op.rolling_mode(fixture.reads(s, d), "number", 5).withColumn("share", F.round("share", 4))
 
 
+def agreed_reads(s, d):
+    return op.agreed_reads(fixture.reads(s, d)).withColumn("confidence", F.round("confidence", 4))
+
+
 def lock_metrics(s, d):
     reads = fixture.reads(s, d)
     return op.lock_metrics(reads, identity.tier_lock(reads)).withColumn("locked_percent", F.round("locked_percent", 4))
@@ -160,7 +164,7 @@ def named_colors(s, d):
     return palette.nearest_names(part).select("p_partkey", "name", l.nearer_reference(b, gr, r, (40, 40, 200), (220, 220, 220), ("home", "away")).alias("side"))
 
 
-QUERIES = {f.__name__: f for f in (duplicate_tracks, rescue_pairs, near_miss_spawns, ghost_merge, gallery_consistent, appearance_gate, running_quantile, aerial_balls, scene_cuts, rolling_color_mode, rolling_number_mode, lock_metrics, best_crops, systematic_sample, batch_scores, verifier_cascade, output_filter, accuracy_by_player, vote_locks, nearest_owner_px, under_pressure_px, ball_near_feet, named_colors)}
+QUERIES = {f.__name__: f for f in (duplicate_tracks, rescue_pairs, near_miss_spawns, ghost_merge, gallery_consistent, appearance_gate, running_quantile, aerial_balls, scene_cuts, rolling_color_mode, rolling_number_mode, agreed_reads, lock_metrics, best_crops, systematic_sample, batch_scores, verifier_cascade, output_filter, accuracy_by_player, vote_locks, nearest_owner_px, under_pressure_px, ball_near_feet, named_colors)}
 
 _TRACKED = {
     "tracked": "SELECT * FROM detections WHERE track_id IS NOT NULL",
@@ -204,6 +208,7 @@ ORACLE = {
     "scene_cuts": sql("SELECT CAST(match_id AS INT) AS match_id, vec_id, round(r, 4) AS correlation FROM (SELECT match_id, vec_id, list_cosine_similarity(list_transform(v, lambda x: x - list_avg(v)), list_transform(w, lambda x: x - list_avg(w))) AS r FROM (SELECT *, lag(v) OVER (PARTITION BY match_id ORDER BY vec_id) AS w FROM unit) t WHERE w IS NOT NULL) t WHERE r < 0.05", _COS),
     "rolling_color_mode": sql(_MODE.format(v="color", n=29, t="color_obs")),
     "rolling_number_mode": sql(_MODE.format(v="number", n=4, t="reads")),
+    "agreed_reads": sql("SELECT match_id, track_id, frame_idx, CASE WHEN m.n >= 2 THEN m.v ELSE number END AS number, round(CASE WHEN m.n >= 2 THEN least(0.99, confidence + 0.1) ELSE confidence END, 4) AS confidence FROM (SELECT *, list_sort(list_transform(l, lambda x: struct_pack(n := len(list_filter(l, lambda y: y = x)), p := -list_position(l, x), v := x)), 'DESC')[1] AS m FROM (SELECT match_id, track_id, frame_idx, number, confidence, list(number) OVER (PARTITION BY match_id, track_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM reads) t) t"),
     "lock_metrics": sql("SELECT match_id, round(100 * count(k) / count(*), 4) AS locked_percent, CAST(sum(changes) AS BIGINT) AS changes, median(k - f) AS median_frames FROM (SELECT c.match_id, c.track_id, c.changes, c.f, t.frame_idx AS k FROM (SELECT match_id, track_id, sum(x) AS changes, min(frame_idx) AS f FROM (SELECT *, CASE WHEN lag(number) OVER (PARTITION BY match_id, track_id ORDER BY frame_idx) <> number THEN 1 ELSE 0 END AS x FROM reads) t GROUP BY match_id, track_id) c LEFT JOIN tlock t ON t.match_id = c.match_id AND t.track_id = c.track_id) t GROUP BY match_id", _T),
     "best_crops": sql("SELECT match_id, track_id, frame_idx, h, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY match_id, track_id ORDER BY h DESC, frame_idx) AS place FROM (SELECT match_id, track_id, frame_idx, y2 - (y1 - (frame_idx * 7 + track_id) % 31) AS h FROM tracked) t) t WHERE place <= 10", _TRACKED),
     "systematic_sample": sql("SELECT match_id, frame_idx FROM (SELECT *, greatest(1, count(*) OVER (PARTITION BY match_id) // 400) AS step FROM frames) t WHERE frame_idx % step = 0"),

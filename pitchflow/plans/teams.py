@@ -77,6 +77,15 @@ def tracks_inherit(s, d):
     return op.tracks_inherit(op.assign_teams(_players(s, d), _kits(s, d)), identity.majority(fixture.reads(s, d), "number", TRACK))
 
 
+def tracks_by_color(s, d):
+    """Three in four of the tracks with a number have their team by it; the others, and those without one, by colour."""
+    players, colors = _players(s, d), fixture.color_obs(s, d)
+    kits = _kits(s, d)
+    bound = op.tracks_inherit(op.assign_teams(players, kits), identity.majority(fixture.reads(s, d), "number", TRACK)).filter("track_id % 4 <> 0")
+    worn = identity.majority(colors.filter("color <> 'Unknown'"), "color", TRACK)
+    return op.teams_by_color(worn, op.primary_kits(players.withColumn("kit", l.team_color(F.col("color"))), kits), bound)
+
+
 def id_remap(s, d):
     locks = identity.tier_lock(fixture.reads(s, d))
     return op.id_remap(fixture.color_obs(s, d).groupBy(*TRACK).agg(F.count("*").alias("seen")), locks)
@@ -93,7 +102,7 @@ def legacy_top2_teams(s, d):
     return op.largest_two(_players(s, d))
 
 
-QUERIES = {f.__name__: f for f in (hsv_median, cluster_teams, cluster_label, cluster_name, primary_kits, assign_teams, tracks_inherit, id_remap, jersey_consolidate, legacy_top2_teams)}
+QUERIES = {f.__name__: f for f in (hsv_median, cluster_teams, cluster_label, cluster_name, primary_kits, assign_teams, tracks_inherit, tracks_by_color, id_remap, jersey_consolidate, legacy_top2_teams)}
 
 _TIER = "CASE WHEN confidence >= 0.8 THEN 3 WHEN confidence >= 0.5 THEN 2 ELSE 1 END"
 _TEAM = "CASE lower(color) " + " ".join(f"WHEN '{a}' THEN '{b.capitalize()}'" for a, b in l.TEAM_MERGE.items()) + " ELSE upper(color[1]) || lower(color)[2:] END"
@@ -142,8 +151,14 @@ _ASSIGN = _PRIMARY | {
     "movers": "SELECT * FROM (SELECT *, coalesce(max(CASE WHEN NOT goes_on OR ends THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM marked) t WHERE goes_on AND stopped = 0 AND number <> 1",
     "assigned": "SELECT p.match_id, p.number, kit, CASE WHEN m.number IS NOT NULL THEN CASE WHEN sa > sb THEN b ELSE a END ELSE first_ END AS team FROM placed_first p LEFT JOIN movers m ON m.match_id = p.match_id AND m.number = p.number",
 }
+_BY_COLOR = _ASSIGN | {
+    "shirt": "SELECT match_id, track_id, color FROM (" + _MAJ.format(v="color", t="(SELECT * FROM color_obs WHERE color <> 'Unknown')") + ") t",
+    "given": "SELECT n.match_id, n.track_id FROM named n JOIN assigned g ON g.match_id = n.match_id AND g.number = n.number WHERE n.track_id % 4 <> 0",
+    "tinted": f"SELECT w.*, {_TEAM} AS kit, a, b, {_REF.format(c='color')} AS hk, {_REF.format(c='a')} AS ha, {_REF.format(c='b')} AS hb FROM shirt w JOIN pairs_ q ON q.match_id = w.match_id WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.match_id = w.match_id AND g.track_id = w.track_id)",
+}
 _LOCK = {"tiers": f"SELECT *, max(own) OVER (PARTITION BY match_id, track_id ORDER BY frame_idx) AS most FROM (SELECT *, sum({_TIER}) OVER (PARTITION BY match_id, track_id, number ORDER BY frame_idx) AS own FROM reads) t", "tlock": "SELECT match_id, track_id, arg_min(number, frame_idx) AS number FROM tiers WHERE own >= 6 AND own >= most GROUP BY match_id, track_id"}
 ORACLE = {
+    "tracks_by_color": sql(f"SELECT match_id, track_id, color, CASE WHEN kit = a THEN a WHEN kit = b THEN b WHEN ha IS NULL AND hb IS NOT NULL THEN CASE WHEN hk IS NOT NULL AND {_GAP.format(x='hb')} > 30 THEN a ELSE b END WHEN hb IS NULL AND ha IS NOT NULL THEN CASE WHEN hk IS NOT NULL AND {_GAP.format(x='ha')} > 30 THEN b ELSE a END WHEN {_GAP.format(x='ha')} <= {_GAP.format(x='hb')} THEN a ELSE b END AS team FROM tinted", _BY_COLOR),
     "hsv_median": sql("SELECT match_id, track_id, round(h, 4) AS h, round(s, 4) AS s, round(v, 4) AS v FROM medians", _CLUSTER),
     "cluster_teams": sql("SELECT match_id, track_id, CAST(cluster AS INT) AS cluster FROM clusters", _CLUSTER),
     "cluster_label": sql(f"SELECT match_id, CAST(cluster AS INT) AS cluster, members, CASE WHEN low_s < 0.25 AND v > 0.7 THEN 'white' WHEN s < 0.25 THEN CASE WHEN v > 0.75 THEN 'white' WHEN v < 0.35 THEN 'black' ELSE 'gray' END WHEN v > 0.8 THEN 'light_' || {_BASIC} WHEN v < 0.35 THEN 'dark_' || {_BASIC} ELSE {_BASIC} END AS label FROM (SELECT c.match_id, c.cluster, count(*) AS members, median(h) AS h, median(s) AS s, median(v) AS v, quantile_cont(s, 0.1) AS low_s FROM clusters c JOIN medians m ON m.match_id = c.match_id AND m.track_id = c.track_id GROUP BY c.match_id, c.cluster) t", _CLUSTER),
