@@ -11,7 +11,7 @@ their words, and equal neighbours are the windows found twice or more, whatever
 Cases: null and empty text have no words and fail the base rule; repeated rows are repeated; without labelled rows the
 list is empty and the base rule alone decides; a document with several labels counts with its lowest quality; rows that
 share a doc_id all count in learning; a null doc_id has no label; an empty table gives no rows; other columns, whatever
-their names, are not read.
+their names, are not read. A text of any length is read whole; its row holds several arrays of its words and windows.
 """
 
 from __future__ import annotations

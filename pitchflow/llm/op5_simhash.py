@@ -13,7 +13,8 @@ than its pairs. Components then form by alternating large-star and small-star st
 Cases: null or empty text, or one without words, has fingerprint zero and links like any other; fewer than four words
 give one shingle, the whole sequence; repeated rows are kept and share a component; a null doc_id is kept with its
 fingerprint and takes no part in choosing the smallest id (its component is null only if no id is known there); an empty
-table gives no rows; other columns, whatever their names, are not read.
+table gives no rows; other columns, whatever their names, are not read. A text of any length is read whole; a worker
+holds a hash for each of its words, about eight times a long text's size.
 """
 
 from __future__ import annotations

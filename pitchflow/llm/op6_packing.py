@@ -10,7 +10,8 @@ piece follows, so that no ids are shuffled or kept. A crc32 is linear over its b
 of all blocks of many documents are table look-ups and exclusive ors.
 
 Cases: null or empty text is the end id alone; repeated rows are packed each by itself; equal keys are ordered by
-doc_id; a null doc_id sorts first; an empty table gives no rows; other columns, whatever their names, are not read.
+doc_id; a null doc_id sorts first; an empty table gives no rows; other columns, whatever their names, are not read. A text of any
+length is packed whole, in as many pieces as it takes; a worker holds one such text and its ids.
 """
 
 from __future__ import annotations

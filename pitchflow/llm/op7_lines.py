@@ -12,7 +12,7 @@ least.
 Cases: null text stays null, empty text stays empty; blank lines are never touched; a null source is a site of its
 own; rows with a null doc_id count as carriers but keep their lines; rows that share a doc_id are one document; a
 document may lose all of its lines and stays with empty text; other columns are kept, whatever their names, and n_chars
-is counted anew; an empty table gives no rows.
+is counted anew; an empty table gives no rows. A text of any length is read whole, as one array of its lines in a row.
 """
 
 from __future__ import annotations

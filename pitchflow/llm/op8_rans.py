@@ -14,7 +14,8 @@ A segment (a row of the written Parquet files, payload column) is, little-endian
 
 Cases: null or empty text is the end id alone; repeated rows are written one after another; a null doc_id sorts first
 and is flagged in the row; an empty table gives an empty file set and no rows; other columns, whatever their names, are
-not read. A wrong checksum raises an error.
+not read. A text of any length is written whole, in a segment of its own if need be, of which a worker holds one at a
+time. A wrong checksum raises an error.
 """
 
 from __future__ import annotations

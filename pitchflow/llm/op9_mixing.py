@@ -12,7 +12,8 @@ one where the number is reached, and only within that one documents are ranked,
 Cases: null text has no words; documents without words are taken 0 times a word; a null source comes last in order;
 repeated rows count each; ties in the hash go by doc_id; an empty table gives no rows; other columns are kept by
 mixed_rows, whatever their names. Where only documents are left that are longer than what the budget lacks beyond four
-times BUDGET, the longest that fit are taken first, and dynamic programming fills the rest.
+times BUDGET, the longest that fit are taken first, and dynamic programming fills the rest. Of a text of any length only
+its number of words is used.
 """
 
 from __future__ import annotations
