@@ -13,7 +13,7 @@ from pitchflow.streaming import live, queue
 
 SMALL = "/root/testdata/sf0.001"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-LAST = 200
+LAST = 260
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -33,7 +33,7 @@ def timed(rows):
 def batches(rows, folder, shift, seed):
     """Files in which rows come up to shift frames out of order, and one much later row that drives the watermark."""
     rng = random.Random(seed)
-    part = {f: (f + rng.randint(0, shift)) // 60 for f in range(LAST + 1)}
+    part = {f: (f + rng.randint(0, shift)) // 40 for f in range(LAST + 1)}
     kept = rows.filter(F.col("frame_idx") <= LAST).collect()
     rng.shuffle(kept)
     schema = rows.schema
