@@ -31,3 +31,19 @@ def test_matches_are_dealt_out_once(spark):
     m = Match(spark, SMALL, keep=True)
     owned = m.owned.hint("merge").join(m.boxes, ["match_id", "frame_idx"])
     assert "ENSURE_REQUIREMENTS" not in plan(owned)
+
+
+@pytest.mark.parametrize("name", ["box_pairs"])
+def test_boxes_are_not_sent_to_all(spark, name):
+    """Whatever is broadcast was aggregated first, by track or frame."""
+    lines = plan(registry.queries()[name](spark, SMALL)).splitlines()
+    depth = lambda line: len(re.match(r"[\s:+-]*", line).group())
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = []
+            for other in lines[k + 1 :]:
+                if depth(other) <= depth(line):
+                    break
+                below.append(other)
+            grown = next((i for i, x in enumerate(below) if "Generate explode" in x), None)
+            assert grown is None or any("Aggregate" in x for x in below[:grown])
