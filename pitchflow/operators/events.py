@@ -95,7 +95,7 @@ def segment_shots(segs: DataFrame, balls: DataFrame, boxes: DataFrame, teams: Da
     mine = worn.groupBy(*FRAME, "track_id").agg(F.max(F.struct("x", "y", "team")).alias("me"))
     others = worn.filter("cls in (1, 2)").select(*FRAME, F.col("track_id").alias("other"), F.col("team").alias("their"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     close = g.distance(F.col("me.x"), F.col("me.y"), F.col("ox"), F.col("oy")) <= pressure
-    against = shots.select(*FRAME, "track_id").distinct().join(mine, [*FRAME, "track_id"]).join(others, FRAME).filter((F.col("other") != F.col("track_id")) & ~F.col("their").eqNullSafe(F.col("me.team")) & close)
+    against = shots.select(*FRAME, "track_id").distinct().join(mine.hint("merge"), [*FRAME, "track_id"]).join(others.hint("merge"), FRAME).filter((F.col("other") != F.col("track_id")) & ~F.col("their").eqNullSafe(F.col("me.team")) & close)
     pressed = against.select(*FRAME, "track_id", F.lit(True).alias("pressed")).distinct()
     out = shots.join(pressed, [*FRAME, "track_id"], "left").withColumn("pressed", F.coalesce("pressed", F.lit(False)))
     return out.withColumn("xg", g.pixel_xg(F.col("bx"), F.col("by"), pressed=F.col("pressed"), p=p)).drop("bx", "by")
