@@ -49,7 +49,7 @@ def ghost_spawn_suppress(s, d):
 def _pairs(s, d):
     boxes = fixture.detections(s, d).filter("cls in (1, 2)")
     side = lambda p, low: boxes.filter(f"(track_id div 100 <= 11) = {low}").select("match_id", "frame_idx", F.col("track_id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")])
-    return side("a_", "true").join(side("b_", "false"), ["match_id", "frame_idx"]).withColumn("iou", g.iou("a_", "b_"))
+    return side("a_", "true").join(side("b_", "false").hint("merge"), ["match_id", "frame_idx"]).withColumn("iou", g.iou("a_", "b_"))
 
 
 def greedy_iou_match(s, d):

@@ -33,7 +33,7 @@ def test_matches_are_dealt_out_once(spark):
     assert "ENSURE_REQUIREMENTS" not in plan(owned)
 
 
-@pytest.mark.parametrize("name", ["box_pairs", "collision_winner", "ghost_spawn_suppress", "near_miss_spawns", "segment_peak_shot", "under_pressure_px", "duplicate_tracks"])
+@pytest.mark.parametrize("name", ["box_pairs", "collision_winner", "ghost_spawn_suppress", "near_miss_spawns", "segment_peak_shot", "under_pressure_px", "duplicate_tracks", "greedy_iou_match"])
 def test_boxes_are_not_sent_to_all(spark, name):
     """Whatever is broadcast was aggregated first, by track or frame."""
     lines = plan(registry.queries()[name](spark, SMALL)).splitlines()
