@@ -41,13 +41,14 @@ def window_votes(rows: DataFrame, frames: int = 30, most: int = 30, sure: float
     last = F.slice("recent", F.greatest(F.lit(1), F.size("recent") - most + 1), F.lit(most))
 
     def best(v: Column) -> Column:
-        own = lambda n: F.filter(v, lambda x: x["number"] == n)
-        first = lambda n: F.array_position(F.transform(v, lambda x: x["number"]), n)
-        tally = F.transform(F.array_distinct(F.transform(v, lambda x: x["number"])), lambda n: F.struct(F.size(own(n)).alias("votes"), (-first(n)).alias("first"), n.alias("number"), (F.aggregate(own(n), F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size(own(n))).alias("mean")))
-        return let(F.array_max(tally), lambda t: F.struct(t["number"].alias("number"), t["votes"].alias("votes"), (t["votes"] / F.size(v)).alias("share"), F.round(t["mean"], 9).alias("mean"), F.size(v).alias("seen")))
-
-    found = rows.withColumn("recent", recent).select(*TRACK, "frame_idx", let(last, best).alias("t"))
-    return found.select(*TRACK, "frame_idx", "t.*").filter("seen > 0")
+        numbers = v["number"]
+        count = lambda n: F.size(v) - F.size(F.array_remove(numbers, n))
+        tally = F.transform(F.array_distinct(numbers), lambda n: F.struct(count(n).alias("votes"), (-F.array_position(numbers, n)).alias("first"), n.alias("number")))
+        total = lambda n: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.when(x["number"] == n, x["confidence"]).otherwise(0.0))
+        return let(F.array_max(tally), lambda t: F.struct(t["number"].alias("number"), t["votes"].alias("votes"), (t["votes"] / F.size(v)).alias("share"), F.round(total(t["number"]) / t["votes"], 9).alias("mean"), F.size(v).alias("seen")))
+
+    # as rows of a generator the results are computed once: a filter on them is not pushed below, to compute them again
+    return rows.withColumn("recent", recent).filter(F.size("recent") > 0).select(*TRACK, "frame_idx", F.inline(F.array(let(last, best))))
 
 
 def window_locks(led: DataFrame, least: int = 8, share: float = 0.6, mean: float = 0.80, flip: int = 16, flip_mean: float = 0.85, rest: int = 150) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from pitchflow.operators import events
 from pitchflow.plans import fixture, registry
 from pitchflow.plans.play import Match
 
@@ -47,3 +48,12 @@ def test_boxes_are_not_sent_to_all(spark, name):
                 below.append(other)
             grown = next((i for i, x in enumerate(below) if "Generate explode" in x), None)
             assert grown is None or any("Aggregate" in x for x in below[:grown])
+
+
+def test_votes_are_counted_once(spark):
+    """What locks ask of the leading number is not pushed below its count, to count it again for each question."""
+    rows = spark.createDataFrame([(1, 1, k, 7 + (k % 3 == 0), 0.9, 0.5, 0.9) for k in range(40)], "match_id int, track_id int, frame_idx int, number int, confidence double, iou double, cosine double")
+    led = events.window_votes(rows).filter("votes >= 8 and seen >= 8 and share >= 0.6 and mean >= 0.8")
+    assert not [x for x in plan(led).splitlines() if "Filter" in x and "lambda" in x]
+    last = max(led.collect(), key=lambda r: r.frame_idx)
+    assert (last.frame_idx, last.number, last.votes, last.seen) == (39, 7, 20, 30)
