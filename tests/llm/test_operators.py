@@ -256,6 +256,21 @@ def test_near_copies(spark):
         assert dict(shingles.near_copies(df, side).collect()) == brute_near_copies(docs)
 
 
+def test_near_copies_by_anchors(spark):
+    """Near copies that agree in no band are found by op5's anchors, and still held against the rule."""
+    words = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(words), " ".join([*words[:900], "changed", *words[901:]]), " ".join(f"x{k}" for k in range(2000))]
+    sets = [shingles.shingles(t.encode()) for t in texts]
+    fps = [op5_simhash.simhash(t.encode()) for t in texts]
+    assert 0 < (fps[0] ^ fps[1]).bit_count() <= 4
+    fps[2] = fps[0] ^ 1  # near by its fingerprint only
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    nodes = spark.createDataFrame([(signed(shingles.set_key(s)), k, [k], signed(f)) for k, (s, f) in enumerate(zip(sets, fps))], "key long, node long, bands array<long>, fp long")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({r.component for r in shingles.anchored(nodes).collect()}) == 1 and shingles.anchored(nodes).count() == 3
+    assert [sorted(r) for r in shingles.links(docs, nodes).collect()] == [[0, 1]]
+
+
 def test_stage_drops_near_copies(spark, odd, empty):
     words = [f"word{x}" for x in range(60)]
     docs = [(k, " ".join([*words[:at], "changed", *words[at + 1 :]])) for k, at in enumerate((0, 20, 30, 40))]  # 0.82 and more to the first
