@@ -34,6 +34,17 @@ def test_matches_are_dealt_out_once(spark):
     assert "ENSURE_REQUIREMENTS" not in plan(owned)
 
 
+@pytest.mark.parametrize("name", ["rescue_pairs", "stitch_tracks", "nearest_owner_px", "ball_near_feet"])
+def test_large_sides_are_not_shuffled(spark, name):
+    """Where no side is small enough to be sent to all, as in large tables, joins still use the partitioning by match."""
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "ENSURE_REQUIREMENTS" not in plan(registry.queries()[name](spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
 @pytest.mark.parametrize("name", ["box_pairs", "collision_winner", "ghost_spawn_suppress", "near_miss_spawns", "segment_peak_shot", "under_pressure_px", "duplicate_tracks", "greedy_iou_match"])
 def test_boxes_are_not_sent_to_all(spark, name):
     """Whatever is broadcast was aggregated first, by track or frame."""
