@@ -7,6 +7,7 @@ import re
 import pytest
 
 from pitchflow.operators import events
+from pitchflow.operators.lineage import release
 from pitchflow.plans import fixture, registry
 from pitchflow.plans.play import Match
 
@@ -45,6 +46,24 @@ def test_large_sides_are_not_shuffled(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
 
 
+#: Queries on possession and events, and how many shuffles of theirs may come after matches are dealt out: of counts only, a row
+#: for each match, player or team.
+COUNTS = {"cone_density": 0, "stat_documents": 0, "presence_filter": 0, "pass_packing": 0, "player_counters": 0, "fragment_merge": 0, "rate_caps": 2, "player_documents": 0, "accuracy_compare": 3, "team_totals": 0, "goal_confirm": 0, "expected_assists": 0}
+
+
+@pytest.mark.parametrize("name", COUNTS)
+def test_events_shuffle_counts_only(spark, name):
+    """As above, for plans with many branches."""
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = plan(registry.queries()[name](spark, SMALL))
+        assert len(re.findall(r"Exchange [^\n]*ENSURE_REQUIREMENTS", found)) <= COUNTS[name]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+        release(spark)
+
+
 @pytest.mark.parametrize("name", ["box_pairs", "collision_winner", "ghost_spawn_suppress", "near_miss_spawns", "segment_peak_shot", "under_pressure_px", "duplicate_tracks", "greedy_iou_match"])
 def test_boxes_are_not_sent_to_all(spark, name):
     """Whatever is broadcast was aggregated first, by track or frame."""
