@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from pitchflow.operators import events
+from pitchflow.operators import events, play
 from pitchflow.operators.lineage import release
 from pitchflow.plans import fixture, registry
 from pitchflow.plans.play import Match
@@ -87,3 +87,26 @@ def test_votes_are_counted_once(spark):
     assert not [x for x in plan(led).splitlines() if "Filter" in x and "lambda" in x]
     last = max(led.collect(), key=lambda r: r.frame_idx)
     assert (last.frame_idx, last.number, last.votes, last.seen) == (39, 7, 20, 30)
+
+
+#: How often the plans of these make boxes anew: for reads only, whatever the number of events that they count.
+MADE = {"stat_documents": 1}
+
+
+@pytest.mark.parametrize("name", MADE)
+def test_boxes_are_made_once(spark, name):
+    """Plans with many branches read one table of frames, and one each of tracks, teams, changes of owner, shots and take-ons."""
+    found = plan(registry.queries()[name](spark, SMALL))
+    assert len(re.findall(r"Generate explode\(\[1,2,3", found)) <= MADE[name]
+
+
+def test_tracks_in_one_pass(spark):
+    """The same as its two parts, also where a frame holds an id twice, with another class."""
+    rows = [(1, 0, 0, 2, 7, 5.0, 34.0), (1, 0, 1, 1, 7, 50.0, 34.0), (1, 1, 0, 1, 7, 5.0, 30.0), (1, 1, 1, 2, 8, 60.0, 1.0), (1, 1, 2, 2, 7, 5.0, 2.0), (1, 2, 0, 2, 8, 61.0, 1.0), (2, 0, 0, 3, 7, 104.0, 40.0)]
+    boxes = spark.createDataFrame(rows, "match_id int, frame_idx int, box_idx int, cls int, track_id int, px double, py double")
+    packed = play.in_frames(boxes)
+    parts = play.dominant_class(packed).join(play.residency(boxes), ["match_id", "track_id"])
+    got = play.track_summary(packed).select(parts.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, parts.collect()))
+    # of id 7 in match 1 the boxes that lead are one of each class: the class seen first
+    assert {(r.match_id, r.track_id): r.dominant_class for r in got.collect()} == {(1, 7): 2, (1, 8): 2, (2, 7): 3}
