@@ -354,3 +354,10 @@ def test_hygiene_rules(spark):
     assert sorted(tuple(r) for r in hygiene.verify(primary, second, ["k"]).collect()) == [(1, 17, True), (2, 7, False), (3, 19, False), (4, 8, False)]
     stats = spark.createDataFrame([(0, 1, "A", 7, 30, 0.5, False), (0, 2, "A", 7, 90, 0.5, False), (0, 3, "A", 8, 25, 0.5, True), (0, 4, "A", 9, 25, 0.5, False), (0, 5, "A", None, 99, 0.5, False), (0, 6, "B", 120, 99, 0.5, False)], "match_id int, track_id int, team string, number int, observations long, confidence double, recovered boolean")
     assert sorted(r.track_id for r in hygiene.output_filter(stats).collect()) == [2, 3]
+
+
+def test_accuracy_report_holds_tackles(spark):
+    rows = [(1, 5, "Red", 14, 4.0, 3.0, 2.0, 0.456, 1.0), (1, 6, "White", None, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    stats = spark.createDataFrame(rows, "match_id int, track_id int, team string, number int, passes_total double, passes_complete double, tackles double, xg double, goals double")
+    got = {r.track_id: (r.number, r.passes, r.accuracy, r.tackles, r.xg, r.goals) for r in hygiene.flat_rows(stats).collect()}
+    assert got == {5: (14, 4.0, 75.0, 2.0, 0.46, 1.0), 6: (None, 0.0, 0.0, 0.0, 0.0, 0.0)}
