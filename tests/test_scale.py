@@ -90,7 +90,7 @@ def test_votes_are_counted_once(spark):
 
 
 #: How often the plans of these make boxes anew: for reads only, whatever the number of events that they count.
-MADE = {"stat_documents": 1, "team_totals": 1, "rate_caps": 1, "presence_filter": 2, "player_documents": 1, "accuracy_compare": 1, "goal_confirm": 0, "fragment_merge": 1, "player_counters": 0}
+MADE = {"stat_documents": 1, "team_totals": 1, "rate_caps": 1, "presence_filter": 2, "player_documents": 1, "accuracy_compare": 1, "goal_confirm": 0, "fragment_merge": 1, "player_counters": 0, "accuracy_by_player": 1}
 
 
 @pytest.mark.parametrize("name", MADE)
